@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, decontaminate, host_rules, mixing, simhash
+from . import cotrain, decontaminate, host_rules, html_extract, language, mixing, simhash, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op2_host_rules": host_rules.op2_host_rules,
         "op3_cotrain": cotrain.op3_cotrain,
+        "op4_html": html_extract.op4_html,
         "op5_mixing": mixing.op5_mixing,
+        "op6_language": language.op6_language,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_url_filter": url_filter.op8_url_filter,
+        "op9_warc": warc.op9_warc,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": host_rules.SQL}
+    return {"op2_host_rules": host_rules.SQL, "op8_url_filter": url_filter.SQL, "op9_warc": warc.SQL}
