@@ -74,3 +74,17 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
 def word_count(text: Column) -> Column:
     """Words of the whole text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def about(df: DataFrame, most: int, *key: Column | str, seed: int = 0, total: int | None = None) -> DataFrame:
+    """df thinned to about `most` rows by a hash of the key; all rows if there are no more.
+
+    Unlike a sorted limit, no task and not the driver gathers `most` rows from every partition.
+    """
+    total = df.count() if total is None else total
+    return df if total <= most else df.where(unit_hash(*key, seed=seed) < most / total)
+
+
+def unit_hash(*key: Column | str, seed: int = 0) -> Column:
+    """A hash of the key as a number from 0 to 1."""
+    return F.xxhash64(F.lit(seed), *key).bitwiseAND((1 << 62) - 1) / F.lit(2.0**62)

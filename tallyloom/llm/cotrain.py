@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import about, crc_mod, materialize, table, unit_hash
 
 HASHED, SHAPE, META = 96, 16, 48
 TEXT = HASHED + SHAPE
@@ -164,14 +164,14 @@ def co_train(feats: DataFrame, labels: DataFrame, rounds: int = 3, max_labelled:
     """Fit both views.
 
     feats: as features() gives them. labels: doc_id, quality (0, 1; others and nulls are left out; of
-    several labels of one document the larger counts). At most max_labelled labelled rows are used,
-    those first by a hash of doc_id; a quarter of them calibrates and never trains. In each round each
-    view scores all unlabelled documents and gives the other its per_round surest of either class as
+    several labels of one document the larger counts). About max_labelled labelled rows are used,
+    chosen by a hash of doc_id; a quarter of them calibrates and never trains. In each round each
+    view scores all unlabelled documents and gives the other about its per_round surest of either class as
     pseudo-labels of half weight. None if the labels are of fewer than two classes.
     """
     named = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    known = feats.join(named, "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4))).orderBy(F.xxhash64("doc_id"), "t").limit(max_labelled)
-    t, m, y, part = _rows(known, "y", "part")
+    known = feats.join(named, "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)))
+    t, m, y, part = _rows(about(known, max_labelled, "doc_id"), "y", "part")
     held = part == 0
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         return None
@@ -188,9 +188,7 @@ def co_train(feats: DataFrame, labels: DataFrame, rounds: int = 3, max_labelled:
         scored = materialize(pool.select("doc_id", "t", "m", _scored("t", views["t"], TEXT).alias("zt"), _scored("m", views["m"], META).alias("zm")), "pool")
         told = {}
         for teacher, pupil in (("zt", "m"), ("zm", "t")):
-            # only confident ones: surer than 9 in 10
-            sure = [(scored.where(f"{teacher} > 2.2").orderBy(F.desc(teacher), "doc_id"), 1.0), (scored.where(f"{teacher} < -2.2").orderBy(teacher, "doc_id"), 0.0)]
-            got = [(_rows(df.limit(per_round)), label) for df, label in sure]
+            got = [(_rows(_surest(scored, teacher, sign, per_round)), label) for sign, label in ((1, 1.0), (-1, 0.0))]
             told[pupil] = (np.vstack([x[pupil == "m"] for x, _ in got]), np.concatenate([np.full(len(x[0]), label) for x, label in got]))
         extra = told
     z = np.column_stack([views["t"].logit(t[held]), views["m"].logit(m[held])])
@@ -198,6 +196,22 @@ def co_train(feats: DataFrame, labels: DataFrame, rounds: int = 3, max_labelled:
     return Model(views["t"], views["m"], (max(0.0, float(a)), max(0.0, float(b)), float(c)))
 
 
+def _surest(scored: DataFrame, teacher: str, sign: int, k: int, least: float = 2.2) -> DataFrame:
+    """About k rows with the largest logits of the sign, none less sure than 9 in 10 (a logit of 2.2).
+
+    Counts by steps of a tenth tell where the k-th row lies; of its step a share is taken by hash.
+    """
+    z = F.col(teacher) * sign
+    step = F.floor(F.least(z, F.lit(30.0)) * 10).cast("int")
+    steps = {r.step: r["count"] for r in scored.where(z > least).groupBy(step.alias("step")).count().collect()}  # 300 at most
+    above = 0
+    for s in sorted(steps, reverse=True):
+        if above + steps[s] >= k:
+            return scored.where((z > least) & ((step > s) | (step == s) & (unit_hash("doc_id", seed=9) < (k - above) / steps[s])))
+        above += steps[s]
+    return scored.where(z > least)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """Labels that may be learned: those of documents whose crc32(doc_id) mod 5 is not 0."""
     return labels.where(crc_mod("doc_id", 5) != 0).select("doc_id", "quality")

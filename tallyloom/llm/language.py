@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import crc_mod, materialize, table, unit_hash
 
 #: Characters told apart, the two catch-alls included: 0 any other letter, 1 whatever is no letter.
 LETTERS = 64
@@ -112,8 +112,7 @@ def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 32, ridge: floa
         raise ValueError(f"more than {max_langs} languages")
     langs = sorted(counts)
     rates = F.broadcast(spark.createDataFrame([(x, per_lang / counts[x]) for x in langs], "lang string, rate double"))  # max_langs rows
-    place = F.xxhash64(F.lit(11), "doc_id").bitwiseAND((1 << 62) - 1) / F.lit(2.0**62)
-    sample = known.withColumn("place", place).join(rates, "lang").where("place < rate").select("text", "lang", (F.col("place") / F.col("rate")).alias("place"))
+    sample = known.withColumn("place", unit_hash("doc_id", seed=11)).join(rates, "lang").where("place < rate").select("text", "lang", (F.col("place") / F.col("rate")).alias("place"))
     sample = materialize(sample, "language-sample")
 
     letters = sample.select("text").mapInArrow(_count_letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import about, crc_mod, materialize, table
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -217,7 +217,7 @@ def _windows(features: list[str]):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 2_000, max_windows: int = 12_000, surprise: float = 6.5) -> Chain | None:
-    """Fit on at most max_labelled labelled rows, those first by a hash of doc_id.
+    """Fit on about max_labelled labelled rows, chosen by a hash of doc_id.
 
     docs: doc_id, text; labels: doc_id, toxic (0, 1; others and nulls are left out; of several labels
     of one document the larger counts). A feature is kept if three in five
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     spark = docs.sparkSession
     place = F.xxhash64(F.lit(5), "doc_id")
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = F.broadcast(chosen.orderBy(place).limit(max_labelled))  # max_labelled rows
+    chosen = F.broadcast(about(chosen, max_labelled, "doc_id", seed=5))  # about max_labelled rows
     sample = materialize(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("y"), place.alias("place")), "toxicity-sample")
     shares = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(shares) < 2:
@@ -239,7 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     kept = tally.where((over >= surprise) & (F.col("y") >= 0.6 * F.col("n"))).orderBy(F.desc("y"), "f").limit(max_features).collect()
     chain = Chain(sorted(r.f for r in kept), np.zeros(len(kept)))
     if chain.features:
-        got = sample.where(fit).select("text", "y", "place").mapInArrow(_windows(chain.features), "slots array<int>, labels array<int>, place long").orderBy("place", "slots").limit(max_windows).collect()
+        windows = materialize(sample.where(fit).select("text", "y", "place").mapInArrow(_windows(chain.features), "slots array<int>, labels array<int>, place long"), "toxicity-windows")
+        got = sorted(about(windows, max_windows, "place", "slots").collect(), key=lambda r: (r.place, r.slots))  # about max_windows rows
         fit_chain(chain, np.array([r.slots for r in got], np.int32).reshape(-1, WIDTH, SLOTS), np.array([r.labels for r in got]))
 
     rest = sample.where(~fit).select("text", "y").mapInArrow(_aggregates(chain), "any double, count double, share double, y int").collect()

@@ -1,15 +1,608 @@
-"""Catalogue of the reconciliation queries (filled in as operators land)."""
+"""Every reconciliation operator as a query over the harness views, and DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from ..conf import TAXONOMY, Conf
+from ..functions import canonical, money, refs
+from ..operators import adjudicate, blocking, candidates, evaluate, pools, residual, stages, views
+from ..sources import ingest
+from . import engine, harness
+from .harness import oracle, view
 
-def queries():
-    return {}
+CONF = Conf()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+C = F.col
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None):
+    """Register a query under its function's name, and its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return stages.prepared(*harness.sources(spark, sf_dir))
+
+
+# --- money, references, dates -------------------------------------------------------------------
+
+_WHOLE = "cast(gross_paise // 100 as varchar) || '.' || lpad(cast(gross_paise % 100 as varchar), 2, '0')"
+
+
+@query(oracle("""select record_id, cast(case k % 10 when 2 then -gross_paise when 3 then -gross_paise when 4 then gross_paise when 6 then null when 7 then null when 8 then gross_paise // 100 * 100 else gross_paise end as bigint) as paise from ledger"""))
+def money_parse(spark, sf_dir):
+    """Texts of ten shapes: plain, marked, negative, in parentheses, both, blanks around, words, too many decimals, whole, signed."""
+    plain = money.rupee_string(C("gross_paise"))
+    shapes = [plain, F.concat(F.lit("Rs. "), plain), F.concat(F.lit("-"), plain), F.concat(F.lit("("), plain, F.lit(")")), F.concat(F.lit("(-"), plain, F.lit(")")), F.concat(F.lit(" INR "), plain, F.lit("\t")), F.lit("N/A"), F.concat(plain, F.lit("5")), F.regexp_extract(plain, r"^\d+", 0), F.concat(F.lit("+"), plain)]
+    raw = F.lit(None).cast("string")
+    for i, s in enumerate(shapes):
+        raw = F.when(C("k") % 10 == i, s).otherwise(raw)
+    return view(spark, sf_dir, "ledger").select("record_id", money.parse_paise(raw).alias("paise"))
+
+
+_LAKH = """case when w < 1000 then cast(w as varchar) when w < 100000 then cast(w // 1000 as varchar) || ',' || lpad(cast(w % 1000 as varchar), 3, '0')
+  else cast(w // 100000 as varchar) || ',' || lpad(cast(w // 1000 % 100 as varchar), 2, '0') || ',' || lpad(cast(w % 1000 as varchar), 3, '0') end || '.' || lpad(cast(gross_paise % 100 as varchar), 2, '0')"""
+
+
+@query(oracle(f"""select record_id, {_WHOLE} as plain, {_LAKH} as grouped, '-₹' || {_LAKH} as negative, case when k % 3 = 0 then '₹0.00' when k % 3 = 1 then '+₹' || {_LAKH} else '−₹' || {_LAKH} end as variance from (select *, gross_paise // 100 as w from ledger)"""))
+def money_format(spark, sf_dir):
+    p = C("gross_paise")
+    signed = F.when(C("k") % 3 == 0, F.lit(0)).when(C("k") % 3 == 1, p).otherwise(-p).cast("bigint")
+    return view(spark, sf_dir, "ledger").select("record_id", money.rupee_string(p).alias("plain"), money.format_paise(p).alias("grouped"), money.format_inr(-p).alias("negative"), money.format_variance(signed).alias("variance"))
+
+
+@query(oracle("""select record_id, (amount_paise * 137 + 5000) // 10000 as part, cast(floor(fee_paise / amount_paise * 10000 + 0.5) as bigint) as fee_bps,
+  floor(fee_paise / amount_paise * 10000 + 0.5) between case method when 'upi' then 0 else 160 end and case method when 'upi' then 40 else 240 end as in_band from gateway"""))
+def fee_band(spark, sf_dir):
+    fee, amount = C("fee_paise"), C("amount_paise")
+    return view(spark, sf_dir, "gateway").select("record_id", money.rate_bps(amount, 137).alias("part"), money.fee_bps(fee, amount).alias("fee_bps"), money.fee_in_band(fee, amount, C("method")).alias("in_band"))
+
+
+_TOKENS = "list_distinct(list_concat(list_concat(list_concat(regexp_extract_all(narration, '(?i)INV[-\\s]?\\d{4}[-\\s]?\\d{4,6}'), regexp_extract_all(narration, 'order[_-][A-Za-z0-9]{10,20}')), list_concat(regexp_extract_all(narration, 'pay[_-][A-Za-z0-9]{10,20}'), regexp_extract_all(narration, 'setl[_-][A-Za-z0-9]{10,20}'))), list_concat(regexp_extract_all(narration, '\\b[A-Z0-9]{6,14}\\b'), regexp_extract_all(narration, '\\b\\d{6,12}\\b'))))"
+_NORM = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
+_TOKEN_CTE = f"tokens as (select record_id, narration, amount_paise, direction, value_date, unnest({_TOKENS}) as token from bank)"
+_KEY_CTE = f"keys as (select *, {_NORM.format('token')} as key from tokens)"
+
+
+@query(oracle(f"select record_id, string_agg(token, ' ' order by token) as tokens, string_agg(key, ' ' order by token) as keys, string_agg(right(key, 6), ' ' order by token) as tails from keys group by record_id", _TOKEN_CTE, _KEY_CTE))
+def ref_extract(spark, sf_dir):
+    b = _prepared(spark, sf_dir)[2].where(F.size("tokens") > 0)
+    pairs = F.array_sort(F.arrays_zip("tokens", "keys"))
+    joined = lambda f: F.array_join(F.transform(pairs, f), " ")
+    return b.select("record_id", joined(lambda x: x["tokens"]).alias("tokens"), joined(lambda x: x["keys"]["full"]).alias("keys"), joined(lambda x: x["keys"]["last6"]).alias("tails"))
+
+
+_RANK = """case when key = want then 1 when length(key) >= 6 and (contains(key, want) or contains(want, key)) then 2 when length(key) >= 6 and right(key, 6) = right(want, 6) then 3
+  when length(key) = length(want) and length(key) >= 6 and list_sort(string_split(key, '')) = list_sort(string_split(want, '')) and (select count(*) from (select unnest(range(1, cast(length(key) as bigint) + 1)) as i) where substr(key, i, 1) <> substr(want, i, 1)) = 2 then 4 else 5 end"""
+
+
+def _rank_ctes(pairs: str) -> list[str]:
+    """ranked(b, g, rank): pairs(b, g, invoice_no, settlement_id, order_id) by their best kind of reference."""
+    wants = f"wants as (select b, g, {_NORM.format('unnest([invoice_no, settlement_id, order_id])')} as want from pairs)"
+    best = f"ranked as (select p.b, p.g, coalesce(min({_RANK}), 5) as rank from pairs p left join wants w on p.b = w.b and p.g = w.g left join keys on keys.record_id = p.b group by p.b, p.g)"
+    return [_TOKEN_CTE, _KEY_CTE, f"pairs as ({pairs})", wants, best]
+
+
+_KIND = "case rank when 1 then 'exact' when 2 then 'contains' when 3 then 'last6' when 4 then 'transposed' else 'none' end"
+
+
+@query(oracle(f"select b, g, {_KIND} as kind, cast(case rank when 3 then 100 when 4 then 150 else 0 end as integer) as penalty from ranked", *_rank_ctes("select bank.record_id as b, gateway.record_id as g, invoice_no, settlement_id, order_id from bank join gateway on bank.k = gateway.k")))
+def ref_match_kind(spark, sf_dir):
+    _, g, b = _prepared(spark, sf_dir)
+    pairs = b.select(C("record_id").alias("b"), "k", "keys").join(g.select(C("record_id").alias("g"), "k", "invoice_no", "settlement_id", "order_id"), "k")
+    rank = refs.match_kind(C("keys"), F.array("invoice_no", "settlement_id", "order_id"))
+    return pairs.withColumn("rank", rank).select("b", "g", refs.kind_name(C("rank")).alias("kind"), refs.kind_value(C("rank"), 2).alias("penalty"))
+
+
+@query(oracle("""select record_id, length(key) >= 6 and substr(key, n - 1, 1) <> substr(key, n, 1) as swapped, length(key) >= 6 and substr(key, 1, 1) <> substr(key, n, 1) as ends from (
+  select record_id, regexp_replace(invoice_no, '-', '', 'g') as key, length(regexp_replace(invoice_no, '-', '', 'g')) as n from ledger)"""))
+def transposition(spark, sf_dir):
+    """An invoice's key against itself with the last two letters swapped, and with the first and last."""
+    l = _prepared(spark, sf_dir)[0]
+    key, n = C("invoice_key"), F.length("invoice_key")
+    piece = lambda a, m: F.substring(key, a, m)
+    swapped = F.concat(piece(F.lit(1), n - 2), piece(n, F.lit(1)), piece(n - 1, F.lit(1)))
+    ends = F.concat(piece(n, F.lit(1)), piece(F.lit(2), n - 2), piece(F.lit(1), F.lit(1)))
+    return l.select("record_id", refs.is_transposition(key, swapped).alias("swapped"), refs.is_transposition(key, ends).alias("ends"))
+
+
+_SIM = """case when x = y then 1.0 when contains(x, y) or contains(y, x) then 0.85 when right(x, 6) = right(y, 6) then 0.7 when d <= 2 then (75 - d * 10) / 100.0 else greatest(0, 1 - d / greatest(length(x), length(y), 1)) end"""
+
+
+@query(oracle(f"""select a, b, cast({_SIM} as double) as similarity from (select *, case when x = y then 0 when abs(length(x) - length(y)) > 4 or (select min(levenshtein(x, substr(y, 1, n))) from (select unnest(range(0, cast(length(y) as bigint) + 1)) as n)) > 4 then 5 else levenshtein(x, y) end as d
+  from (select l.record_id as a, r.record_id as b, {_NORM.format('l.invoice_no')} as x, {_NORM.format('r.invoice_no')} as y from ledger l join ledger r on r.k = l.k + 7 where l.k % 5 = 0))"""))
+def ref_similarity(spark, sf_dir):
+    l = view(spark, sf_dir, "ledger")
+    a, b = l.where("k % 5 = 0").select(C("record_id").alias("a"), C("invoice_no").alias("x"), (C("k") + 7).alias("k")), l.select(C("record_id").alias("b"), C("invoice_no").alias("y"), "k")
+    return a.join(b, "k").select("a", "b", refs.reference_similarity(C("x"), C("y")).alias("similarity"))
+
+
+@query("""with t as (select p_partkey, unnest(string_split(regexp_replace(upper(p_name), '[^A-Z0-9 ]', ' ', 'g'), ' ')) as w from part),
+u as (select p_partkey, unnest(string_split(regexp_replace(upper(p_type || ' ' || p_name), '[^A-Z0-9 ]', ' ', 'g'), ' ')) as w from part),
+a as (select distinct p_partkey, w from t where length(w) > 1 and w not in ('PVT', 'LTD', 'LLP', 'AND', 'CO')), b as (select distinct p_partkey, w from u where length(w) > 1 and w not in ('PVT', 'LTD', 'LLP', 'AND', 'CO'))
+select p_partkey, cast(case when coalesce(na, 0) = 0 or coalesce(nb, 0) = 0 then 0 else 2 * coalesce(n, 0) / (na + nb) end as double) as dice from part left join (select p_partkey, count(*) as na from a group by 1) using (p_partkey)
+left join (select p_partkey, count(*) as nb from b group by 1) using (p_partkey) left join (select p_partkey, count(*) as n from a join b using (p_partkey, w) group by 1) using (p_partkey)""")
+def name_dice(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", refs.name_similarity(C("p_name"), F.concat_ws(" ", "p_type", "p_name")).alias("dice"))
+
+
+@query(oracle("""select g.record_id, b.record_id as b, abs(b.value_date - settled) as gap, issue_date <= captured and captured <= settled and settled <= value_date as in_order, greatest(0, date '2026-03-31' - value_date) as age
+  from ledger l join gateway g using (k) join bank b using (k)"""))
+def dates(spark, sf_dir):
+    l, g, b = harness.sources(spark, sf_dir)
+    j = l.select("k", "issue_date").join(g.select("k", "record_id", "captured", "settled"), "k").join(b.select("k", C("record_id").alias("b"), "value_date"), "k")
+    day = lambda c: c.cast("bigint")
+    return j.select("record_id", "b", day(refs.days_apart(C("settled"), C("value_date"))).alias("gap"), refs.dates_in_order(C("issue_date"), C("captured"), C("settled"), C("value_date")).alias("in_order"), day(refs.days_since(C("value_date"))).alias("age"))
+
+
+# --- scans, quarantine, duplicates --------------------------------------------------------------
+
+_BAD = "case when k % 50 = 3 then 'N/A' when k % 50 = 7 then '12.3456' else " + _WHOLE + " end"
+
+
+def _raw_ledger(spark, sf_dir) -> DataFrame:
+    """The ledger as an export: text columns, some cells damaged."""
+    gross = F.when(C("k") % 50 == 3, "N/A").when(C("k") % 50 == 7, "12.3456").otherwise(money.rupee_string(C("gross_paise")))
+    tax = F.when(C("k") % 40 == 1, "#REF!").when(C("k") % 40 == 2, "").otherwise(money.rupee_string(C("tax_paise")))
+    l = view(spark, sf_dir, "ledger")
+    return l.select((C("k") + 2).alias("row_number"), "invoice_no", "customer_id", "customer_name", C("issue_date").cast("string").alias("issue_date"), C("issue_date").cast("string").alias("due_date"), gross.alias("gross_amount"), tax.alias("tax_amount"), "status", F.lit(" ").alias("reference"))
+
+
+@query(oracle("""select 'ledger' as source, k + 2 as row_number, 'gross_amount' as field, case when k % 50 = 3 then 'N/A' else '12.3456' end as raw_value, 'unparseable amount, row dropped' as reason from ledger where k % 50 in (3, 7)
+  union all select 'ledger', k + 2, 'tax_amount', '#REF!', 'unparseable amount, taken as 0' from ledger where k % 40 = 1 and k % 50 not in (3, 7)"""))
+def ingest_quarantine(spark, sf_dir):
+    return ingest.ledger(_raw_ledger(spark, sf_dir)).warnings
+
+
+@query(oracle("""select 'LED-' || lpad(cast(row_number() over (order by k) as varchar), 6, '0') as record_id, invoice_no, issue_date, gross_paise, cast(case when k % 40 in (1, 2) then 0 else tax_paise end as bigint) as tax_paise, cast(null as varchar) as expected_reference from ledger where k % 50 not in (3, 7)"""))
+def ingest_ledger(spark, sf_dir):
+    return ingest.ledger(_raw_ledger(spark, sf_dir)).rows.select("record_id", "invoice_no", "issue_date", "gross_paise", "tax_paise", "expected_reference")
+
+
+@query(oracle("""select 'GTW-' || lpad(cast(row_number() over (order by record_id) as varchar), 6, '0') as record_id, payment_id, captured, amount_paise, cast(case when k % 30 = 4 then 0 else fee_paise end as bigint) as fee_paise, settled from gateway where k % 60 <> 5"""))
+def ingest_gateway(spark, sf_dir):
+    g = view(spark, sf_dir, "gateway")
+    text = money.rupee_string
+    stamp = lambda c: F.concat(C(c).cast("string"), F.lit("T01:30:00+05:30"))
+    raw = pools.numbered(g, "record_id", column="row_number").select(
+        "row_number", "payment_id", "order_id", "receipt", stamp("captured").alias("captured_at"), text(C("amount_paise")).alias("amount"), F.when(C("k") % 30 == 4, "1.0O").otherwise(text(C("fee_paise"))).alias("fee"), text(C("tax_on_fee_paise")).alias("tax_on_fee"),
+        F.when(C("k") % 60 == 5, "NULL").otherwise(text(C("net_paise"))).alias("net"), "method", "status", text(C("refund_paise")).alias("refund"), "settlement_id", stamp("settled").alias("settled_at"),
+    )
+    return ingest.gateway(raw).rows.select("record_id", "payment_id", "captured", "amount_paise", "fee_paise", "settled")
+
+
+@query(oracle("""select 'BNK-' || lpad(cast(row_number() over (order by record_id) as varchar), 6, '0') as record_id, value_date, direction, amount_paise, case when k % 9 = 0 then 'UTR' || lpad(cast(k as varchar), 9, '0') end as reference_no from bank"""))
+def ingest_bank(spark, sf_dir):
+    b = view(spark, sf_dir, "bank")
+    raw = pools.numbered(b, "record_id", column="row_number").select(
+        "row_number", C("value_date").cast("string").alias("value_date"), C("value_date").cast("string").alias("posted_at"), "narration", F.when(C("k") % 9 == 0, F.format_string("UTR%09d", C("k"))).otherwise(" ").alias("reference_no"),
+        F.when(C("direction") == "debit", " dr ").otherwise("CR").alias("type"), money.rupee_string(F.when(C("direction") == "debit", -C("amount_paise")).otherwise(C("amount_paise"))).alias("amount"), F.lit("-").alias("balance"),
+    )
+    return ingest.bank(raw).rows.select("record_id", "value_date", "direction", "amount_paise", "reference_no")
+
+
+@query("""select l_orderkey, l_linenumber, count(*) as n, cast(min(l_partkey) as bigint) as first_part from lineitem group by l_orderkey, l_linenumber having count(*) > 1""")
+def duplicate_keys(spark, sf_dir):
+    out = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("l_partkey").alias("first_part"))
+    return out.where("n > 1")
+
+
+@query(oracle("""select 'gateway' as source, string_agg(record_id, ', ' order by record_id) as ids from gateway group by payment_id, amount_paise, captured having count(*) > 1
+  union all select 'bank', string_agg(record_id, ', ' order by record_id) from bank group by value_date, amount_paise, upper(narration) having count(*) > 1"""))
+def duplicate_report(spark, sf_dir):
+    l, g, b = harness.sources(spark, sf_dir)
+    report = ingest.duplicate_report(l, g.withColumn("captured_at", C("captured")), b.withColumn("posted_at", C("value_date")))
+    return report.select("source", F.array_join("ids", ", ").alias("ids"))
+
+
+@query(oracle(f"""select count(*) filter (ok) as readable, count(*) as lines, cast(count(*) filter (ok) / count(*) as double) as legibility from (select record_id, record_id in (select record_id from keys join known on key = target or contains(target, key) or contains(key, target)) as ok from bank)""",
+  _TOKEN_CTE, _KEY_CTE, f"known as (select distinct {_NORM.format('x')} as target from (select invoice_no as x from ledger where k % 20 < 3 union all select settlement_id from gateway where k % 20 < 3 union all select order_id from gateway where k % 20 < 3 union all select payment_id from gateway where k % 20 < 3))"))
+def legibility(spark, sf_dir):
+    """How much of the statement names a record of a part of the ledger and its payments."""
+    l, g, b = _prepared(spark, sf_dir)
+    return engine.legibility(l.where("k % 20 < 3"), g.where("k % 20 < 3"), b)
+
+
+# --- joins --------------------------------------------------------------------------------------
+
+
+@query(oracle("select record_id, amount_paise from gateway where record_id not in (select min(record_id) from gateway group by settlement_id)"))
+def pool_antijoin(spark, sf_dir):
+    g = view(spark, sf_dir, "gateway")
+    return pools.open_rows(g, g.groupBy("settlement_id").agg(F.min("record_id").alias("record_id"))).select("record_id", "amount_paise")
+
+
+@query(oracle("select l.record_id as l, g.record_id as g from ledger l join gateway g on g.receipt = l.invoice_no where l.invoice_no in (select receipt from gateway group by receipt having count(*) = 1)"))
+def receipt_join(spark, sf_dir):
+    l, g, _ = _prepared(spark, sf_dir)
+    pairs = l.select(C("record_id").alias("l"), C("invoice_key").alias("key")).join(g.select(C("record_id").alias("g"), C("receipt_key").alias("key")), "key")
+    return pools.unique_within(pairs.select("l", "g"), "l")
+
+
+_TAIL = f"""g0 as (select record_id, case when k % 6 = 0 then 'X' || receipt when k % 6 = 1 then null else receipt end as receipt from gateway),
+n as (select l.record_id as l, g0.record_id as g, {_NORM.format('invoice_no')} = {_NORM.format('receipt')} as direct from ledger l join g0 on right({_NORM.format('receipt')}, 6) = right({_NORM.format('invoice_no')}, 6))"""
+
+
+@query(oracle("""select l, max(g) as g from n where direct group by l having count(*) = 1 union all select l, max(g) from n where l not in (select l from n where direct) group by l having count(*) = 1""", _TAIL))
+def suffix_fallback(spark, sf_dir):
+    l, g, _ = harness.sources(spark, sf_dir)
+    damaged = F.when(C("k") % 6 == 0, F.concat(F.lit("X"), "receipt")).when(C("k") % 6 != 1, C("receipt"))
+    l, g, _ = stages.prepared(l, g.withColumn("receipt", damaged), view(spark, sf_dir, "bank"))
+    return stages.payment_of(l, g).select(C("l_record_id").alias("l"), C("g_record_id").alias("g"))
+
+
+@query(oracle("select g.record_id as g, b.record_id as b from gateway g join bank b on b.amount_paise = g.net_paise where b.direction = 'credit'"))
+def amount_join(spark, sf_dir):
+    _, g, b = harness.sources(spark, sf_dir)
+    return g.select(C("record_id").alias("g"), "net_paise").join(b.where("direction = 'credit'").select(C("record_id").alias("b"), "amount_paise"), C("net_paise") == C("amount_paise")).select("g", "b")
+
+
+@query(oracle("select g.record_id as g, b.record_id as b, g.net_paise - b.amount_paise as variance from gateway g join bank b on b.amount_paise between g.net_paise - 5000 and g.net_paise + 5000 where b.direction = 'credit'"))
+def band_join(spark, sf_dir):
+    _, g, b = harness.sources(spark, sf_dir)
+    near = blocking.band_join(g.select(C("record_id").alias("g"), "net_paise"), b.where("direction = 'credit'").select(C("record_id").alias("b"), "amount_paise"), "net_paise", "amount_paise", 5000)
+    return near.select("g", "b", (C("net_paise") - C("amount_paise")).alias("variance"))
+
+
+@query(oracle("select l.record_id as l, b.record_id as b from ledger l join bank b on abs(b.value_date - l.issue_date) <= 2 where l.k % 50 = 0 and b.direction = 'debit'"))
+def date_band_join(spark, sf_dir):
+    l, _, b = harness.sources(spark, sf_dir)
+    return blocking.date_band_join(l.where("k % 50 = 0").select(C("record_id").alias("l"), "issue_date"), b.where("direction = 'debit'").select(C("record_id").alias("b"), "value_date"), "issue_date", "value_date", 2).select("l", "b")
+
+
+@query(oracle("select c.record_id from bank c where c.direction = 'credit' and not exists (select 1 from bank d where d.direction = 'debit' and d.amount_paise = c.amount_paise)"))
+def reversal_antijoin(spark, sf_dir):
+    b = view(spark, sf_dir, "bank")
+    return b.where("direction = 'credit'").join(b.where("direction = 'debit'").select("amount_paise"), "amount_paise", "left_anti").select("record_id")
+
+
+@query(oracle(f"""select distinct b, l from (select keys.record_id as b, l.record_id as l, key, {_NORM.format('invoice_no')} as want, value_date, issue_date from keys join ledger l on contains(key, right({_NORM.format('invoice_no')}, 6)) or contains({_NORM.format('invoice_no')}, key) where keys.direction = 'credit') where {_RANK} <= 4 and abs(value_date - issue_date) <= 45""", _TOKEN_CTE, _KEY_CTE))
+def named_invoices(spark, sf_dir):
+    l, _, b = _prepared(spark, sf_dir)
+    return residual.named_invoices(l, b)
+
+
+# --- aggregates, windows, sets ------------------------------------------------------------------
+
+_BATCHES = "batches as (select settlement_id, count(*) as n, cast(sum(net_paise) as bigint) as total_paise, cast(sum(amount_paise) as bigint) as gross_paise, string_agg(record_id, ' ' order by record_id) as members, arg_min(settled, record_id) as settled_on, bool_or(refund_paise > 0) as refunded from gateway group by settlement_id having count(*) >= 2)"
+
+
+@query(oracle("select * from batches", _BATCHES))
+def batch_agg(spark, sf_dir):
+    out = stages.settlement_batches(_prepared(spark, sf_dir)[1])
+    return out.select("settlement_id", "n", "total_paise", "gross_paise", F.array_join("members", " ").alias("members"), "settled_on", "refunded")
+
+
+@query(oracle("select b.record_id as b, s.settlement_id, b.amount_paise - s.total_paise as variance from bank b join batches s on b.amount_paise between s.total_paise - 100 and s.total_paise + 100 where direction = 'credit' and abs(settled_on - value_date) <= 5", _BATCHES))
+def batch_band_join(spark, sf_dir):
+    _, g, b = _prepared(spark, sf_dir)
+    return stages.batch_fits(g, b, CONF).select(C("record_id").alias("b"), "settlement_id", (C("amount_paise") - C("total_paise")).alias("variance"))
+
+
+@query(oracle("""select record_id, first_value(record_id) over (partition by payment_id, amount_paise, captured order by record_id) as primary_id, 'gateway' as source from gateway qualify row_number() over (partition by payment_id, amount_paise, captured order by record_id) > 1
+  union all select record_id, first_value(record_id) over (partition by value_date, direction, amount_paise, upper(narration) order by record_id), 'bank' from bank qualify row_number() over (partition by value_date, direction, amount_paise, upper(narration) order by record_id) > 1"""))
+def shadow_dedupe(spark, sf_dir):
+    _, g, b = harness.sources(spark, sf_dir)
+    return residual.shadows(g, b)
+
+
+@query("""select event_id, user_id, cast(sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id rows unbounded preceding) + 250000000 as bigint) as balance_paise from events""")
+def running_balance(spark, sf_dir):
+    cents = F.round(C("value") * 100).cast("bigint")
+    e = _table(spark, sf_dir, "events").withColumn("cents", cents)
+    return e.select("event_id", "user_id", (F.expr("sum(cents) over (partition by user_id order by ts, event_id rows unbounded preceding)") + 250_000_000).alias("balance_paise"))
+
+
+@query("""select event_id, v - lag(v) over (partition by user_id order by ts, event_id) as step from (select *, cast(round(value * 100) as bigint) as v from events) qualify lag(v) over (partition by user_id order by ts, event_id) is not null""")
+def balance_check(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("v", F.round(C("value") * 100).cast("bigint"))
+    return e.withColumn("before", F.expr("lag(v) over (partition by user_id order by ts, event_id)")).where("before is not null").select("event_id", (C("v") - C("before")).alias("step"))
+
+
+@query("""select 'EVT-' || lpad(cast(row_number() over (order by ts, event_id) as varchar), 6, '0') as record_id, event_id from events""")
+def positional_ids(spark, sf_dir):
+    return pools.numbered(_table(spark, sf_dir, "events").select("ts", "event_id"), "ts", "event_id").select(refs.padded_id("EVT", C("position")).alias("record_id"), "event_id")
+
+
+@query("""select c_custkey, cast(greatest(-12, least(12, c_acctbal / greatest(abs(c_acctbal * 3), 1) * 40)) as double) as strip, case when c_acctbal < 0.5 then 'low' when c_acctbal < 0.8 then 'mid' else 'high' end as band, cast(greatest(0, least(1000, cast(round(c_acctbal) as bigint))) / 1000.0 as double) as clamped from customer""")
+def scalars(spark, sf_dir):
+    b = C("c_acctbal")
+    return _table(spark, sf_dir, "customer").select("c_custkey", canonical.strip_offset(b, b * 3).alias("strip"), canonical.confidence_band(b).alias("band"), money.milli(F.round(b).cast("bigint")).alias("clamped"))
+
+
+_LEVEL = "case " + " ".join(f"when e = '{t}' then '{s}'" for t, s, _ in TAXONOMY) + " else 'informational' end"
+_HELD = "e in (" + ", ".join(f"'{t}'" for t, _, b in TAXONOMY if b) + ")"
+_TRUTH = harness.truth(True)
+
+
+@query(oracle(f"""select truth_no, {_LEVEL} as severity, case when 800 + truth_no % 200 >= 900 and abs(truth_no % 300) <= 100 and not coalesce({_HELD}, false) then 'auto_cleared' else 'needs_review' end as status from (select *, exception_type as e from truth)""", _TRUTH))
+def status_decision(spark, sf_dir):
+    t = view(spark, sf_dir, "truth")
+    return t.select("truth_no", views.severity(C("exception_type")).alias("severity"), engine.status(800 + C("truth_no") % 200, C("truth_no") % 300, C("exception_type"), F.lit(False), CONF).alias("status"))
+
+
+# --- the passes ---------------------------------------------------------------------------------
+
+_EXACT = [
+    *_rank_ctes("select b.record_id as b, g.record_id as g, g.invoice_no, settlement_id, order_id from gateway g join bank b on b.amount_paise = g.net_paise"),
+    """one as (select l.record_id as l, min(g.record_id) as g, count(*) as n from ledger l join gateway g on g.receipt = l.invoice_no group by l.record_id having count(*) = 1),
+hits as (select one.l, one.g, b.record_id as b, l.gross_paise from one join ledger l on l.record_id = one.l join gateway g on g.record_id = one.g join bank b on b.amount_paise = g.net_paise and b.direction = 'credit' join ranked r on r.b = b.record_id and r.g = g.record_id
+  where g.amount_paise = l.gross_paise and g.refund_paise = 0 and r.rank <= 2 and issue_date <= captured and captured <= settled and settled <= value_date and value_date - settled <= 3),
+found as (select l, g, max(b) as b, max(gross_paise) as gross_paise from hits group by l, g having count(*) = 1),
+exact as (select * from found f where not exists (select 1 from gateway g join bank d on d.amount_paise = g.net_paise and d.direction = 'debit' join ranked r on r.b = d.record_id and r.g = g.record_id where g.record_id = f.g and r.rank <= 4))""",
+]
+
+
+@query(oracle("select l, g, b, gross_paise as amount_paise from exact", *_EXACT))
+def exact_match(spark, sf_dir):
+    """The exact pass over whole pools (copies of rows not set aside)."""
+    out = stages.exact(*_prepared(spark, sf_dir), CONF)
+    return out.select(C("ledger_ids")[0].alias("l"), C("gateway_ids")[0].alias("g"), C("bank_ids")[0].alias("b"), "amount_paise")
+
+
+_TOLERANT = """near as (select one.l, one.g, b.record_id as b, g.net_paise - b.amount_paise as variance, abs(value_date - settled) as gap, b.amount_paise as credit, g.refund_paise, rank,
+  floor(g.fee_paise / g.amount_paise * 10000 + 0.5) between case method when 'upi' then 0 else 160 end and case method when 'upi' then 40 else 240 end as fee_ok
+  from one join gateway g on g.record_id = one.g join bank b on b.direction = 'credit' and b.amount_paise between g.net_paise - 100 and g.net_paise + 100 join ranked r on r.b = b.record_id and r.g = g.record_id),
+scored as (select *, 980 - case rank when 3 then 100 when 4 then 150 when 5 then 250 else 0 end - case when variance <> 0 then 50 else 0 end - case when gap > 0 then 50 else 0 end - case when fee_ok then 0 else 50 end as milli,
+  case when rank = 5 then 'NARRATION_UNPARSEABLE' when gap > 3 then 'TIMING_LAG' when not fee_ok then 'FEE_DISCREPANCY' when refund_paise > 0 then 'REFUND_OFFSET' end as exception from near)"""
+
+
+@query(oracle("select l, g, b, variance, cast(gap as bigint) as gap, cast(milli as integer) as milli, exception from scored", *_rank_ctes("select b.record_id as b, g.record_id as g, g.invoice_no, settlement_id, order_id from gateway g join bank b on b.amount_paise between g.net_paise - 100 and g.net_paise + 100"),
+  "one as (select l.record_id as l, min(g.record_id) as g from ledger l join gateway g on g.receipt = l.invoice_no group by l.record_id having count(*) = 1)", _TOLERANT))
+def tolerant_scores(spark, sf_dir):
+    out = stages.tolerant_scored(*_prepared(spark, sf_dir), CONF)
+    return out.select(C("l_record_id").alias("l"), C("g_record_id").alias("g"), C("b_record_id").alias("b"), "variance", C("gap").cast("bigint").alias("gap"), C("milli").cast("int").alias("milli"), "exception")
+
+
+@query()
+def tolerant_match(spark, sf_dir):
+    out = stages.tolerant(*_prepared(spark, sf_dir), CONF)
+    return out.select(C("ledger_ids")[0].alias("l"), C("gateway_ids")[0].alias("g"), C("bank_ids")[0].alias("b"), "variance_paise", "milli", "exception_type")
+
+
+@query()
+def batch_match(spark, sf_dir):
+    out = stages.batches(*_prepared(spark, sf_dir), CONF)
+    return out.select("driver", *(F.array_join(c, " ").alias(c) for c in ("ledger_ids", "gateway_ids")), "amount_paise", "variance_paise", "milli", "exception_type")
+
+
+@query()
+def split_match(spark, sf_dir):
+    out = stages.splits(*_prepared(spark, sf_dir), CONF)
+    return out.select("driver", *(F.array_join(c, " ").alias(c) for c in ("gateway_ids", "bank_ids")), "amount_paise", "variance_paise", "milli")
+
+
+@query(oracle("select record_id, amount_paise, 'CHARGEBACK_DEBIT' as exception_type, cast(600 as integer) as milli from bank where direction = 'debit'"))
+def residual_chargebacks(spark, sf_dir):
+    return residual.chargebacks(view(spark, sf_dir, "bank")).select(C("driver").alias("record_id"), "amount_paise", "exception_type", "milli")
+
+
+@query(oracle("""select one.l, one.g, case when count(b.record_id) > 0 then 'NARRATION_UNPARSEABLE' else 'MISSING_IN_BANK' end as exception_type, g.net_paise as variance_paise, cast(floor(case when count(b.record_id) > 0 then 180 else 920 end * 0.5 + 0.5) as integer) as milli, cast(least(count(b.record_id), 5) as integer) as shown
+  from one join gateway g on g.record_id = one.g left join bank b on b.direction = 'credit' and b.amount_paise between g.net_paise - 100 and g.net_paise + 100 and abs(value_date - settled) <= 7 and b.record_id not in (select record_id from keys join ledger on key = regexp_replace(invoice_no, '-', '', 'g')) group by one.l, one.g, g.net_paise""",
+  _TOKEN_CTE, _KEY_CTE, "one as (select l.record_id as l, min(g.record_id) as g from ledger l join gateway g on g.receipt = l.invoice_no group by l.record_id having count(*) = 1)"))
+def residual_two_way(spark, sf_dir):
+    l, g, b = _prepared(spark, sf_dir)
+    out = residual.two_way(l, g, b, l, CONF, 0.5)
+    return out.select(C("ledger_ids")[0].alias("l"), C("gateway_ids")[0].alias("g"), "exception_type", "variance_paise", "milli", F.size("candidates").alias("shown"))
+
+
+@query()
+def residual_credits(spark, sf_dir):
+    l, _, b = _prepared(spark, sf_dir)
+    return residual.credits_left(l, b, 1.0).select("driver", F.array_join("ledger_ids", " ").alias("ledger_ids"), "amount_paise", "variance_paise", "milli", "exception_type")
+
+
+@query(oracle("""select record_id, 'UNMATCHED_RESIDUAL' as exception_type, gross_paise as variance_paise, cast(300 as integer) as milli from ledger where k % 7 = 0 union all select record_id, 'MISSING_IN_LEDGER', net_paise, 300 from gateway where k % 7 = 0 union all select record_id, 'UNMATCHED_RESIDUAL', 0, 250 from bank where k % 7 = 0"""))
+def residual_sweep(spark, sf_dir):
+    rest = [x.where("k % 7 = 0") for x in harness.sources(spark, sf_dir)]
+    return residual.sweep(*rest, 1.0).select(C("driver").alias("record_id"), "exception_type", "variance_paise", "milli")
+
+
+@query()
+def candidates_topk(spark, sf_dir):
+    """Ranked candidates of the credits that carry no reference, against all open payments and invoices."""
+    l, g, b = _prepared(spark, sf_dir)
+    return candidates.ranked(candidates.pool(l, g, b.where("size(tokens) = 0"), CONF), CONF).select("b", "place", "g", "l", "milli")
+
+
+@query()
+def reconcile(spark, sf_dir):
+    out = engine.reconcile(*harness.sources(spark, sf_dir), CONF)
+    return out.select("match_id", "stage", "tier", "confidence", "status", *(F.array_join(c, " ").alias(c) for c in ("ledger_ids", "gateway_ids", "bank_ids", "candidates")), "amount_paise", "variance_paise", "exception_type")
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+def _proposals_sql(duck: bool) -> str:
+    """Groups to be scored: the truth, of which some lose their bank lines, some all but them, some are unsure."""
+    d = harness.Dialect(duck)
+    source = "(select *, " + d.div("no", "1000") + " as truth_no from (select no, scenario, exception_type, ledger_ids, gateway_ids, bank_ids, amount_paise from (select truth_no as no, * from truth)))"
+    none = "cast([] as varchar[])" if duck else "cast(array() as array<string>)"
+    return f"""select 'MCH-' || {d.pad("no", 9)} as match_id, case when truth_no % 5 = 0 then 'exact' when truth_no % 7 = 0 then 'unmatched' else 'tolerant' end as tier, cast(case when truth_no % 5 = 0 then 1000 else 400 + truth_no % 590 end as double) / 1000 as confidence,
+  case when truth_no % 5 = 0 or truth_no % 590 > 500 then 'auto_cleared' else 'needs_review' end as status, case when truth_no % 7 = 0 then {none} else ledger_ids end as ledger_ids, case when truth_no % 7 = 0 then {none} else gateway_ids end as gateway_ids, case when truth_no % 3 = 0 then {none} else bank_ids end as bank_ids,
+  amount_paise, exception_type, cast(truth_no % 201 - 100 as bigint) as variance_paise from {source}"""
+
+
+def _proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    truth = view(spark, sf_dir, "truth")
+    return spark.sql(_proposals_sql(False).replace("from truth)", "from {truth})"), truth=truth), truth
+
+
+_KEY = "array_to_string(list_sort(list_concat(list_concat(ledger_ids, gateway_ids), bank_ids)), '|')"
+_JUDGED = [
+    _TRUTH, f"proposals as ({_proposals_sql(True)})", f"pk as (select *, {_KEY} as key, (case when len(ledger_ids) > 0 then 1 else 0 end + case when len(gateway_ids) > 0 then 1 else 0 end + case when len(bank_ids) > 0 then 1 else 0 end) >= 2 or tier <> 'unmatched' as claim from proposals)",
+    f"tk as (select *, {_KEY} as key from truth)",
+    "judged as (select pk.*, tk.truth_no, tk.exception_type as true_exception, tk.is_resolvable, tk.truth_no is not null and row_number() over (partition by pk.key order by match_id) = 1 as correct from pk left join tk using (key))",
+]
+_OVERLAP = ["pm as (select match_id, unnest(list_concat(list_concat(ledger_ids, gateway_ids), bank_ids)) as r from proposals)", "tm as (select truth_no, unnest(list_concat(list_concat(ledger_ids, gateway_ids), bank_ids)) as r from truth)",
+  "overlap as (select match_id, truth_no, count(*) as shared from pm join tm using (r) group by 1, 2 qualify row_number() over (partition by match_id order by count(*) desc, truth_no) = 1)"]
+
+
+def _r4(a: str, b: str) -> str:
+    return f"cast(case when {b} = 0 then 0 else floor({a} / {b} * 10000 + 0.5) / 10000 end as double)"
+
+
+@query(oracle(f"""select tp as true_positives, fp as false_positives, truths - tp as false_negatives, p as precision, r as recall, cast(case when p + r = 0 then 0 else floor(2 * p * r / (p + r) * 10000 + 0.5) / 10000 end as double) as f1, {_r4('bad', 'ac')} as false_match_rate, {_r4('esc', 'nr')} as escalation_precision,
+  ac as auto_cleared, nr as needs_review, um as unmatched, dc as declined, {_r4('ac', 'n')} as auto_clear_rate, {_r4('nr', 'n')} as escalation_rate from (select *, {_r4('tp', '(tp + fp)')} as p, {_r4('tp', 'truths')} as r from (
+  select count(*) as n, count(*) filter (correct) as tp, count(*) filter (not correct and claim) as fp, count(*) filter (not correct and not claim) as dc, count(*) filter (status = 'auto_cleared') as ac, count(*) filter (status = 'needs_review') as nr, count(*) filter (tier = 'unmatched') as um,
+  count(*) filter (status = 'auto_cleared' and not correct) as bad, count(*) filter (status = 'needs_review' and case when j.truth_no is not null then true_exception is not null or not j.is_resolvable else coalesce(t.exception_type is not null or not t.is_resolvable, false) end) as esc,
+  (select count(*) from truth) as truths from judged j left join overlap o using (match_id) left join truth t on t.truth_no = o.truth_no))""", *_JUDGED, *_OVERLAP))
+def score_run(spark, sf_dir):
+    return evaluate.score(*_proposals(spark, sf_dir))
+
+
+@query(oracle("select match_id, truth_no, shared from overlap", _TRUTH, _JUDGED[1], *_OVERLAP))
+def overlap_truth(spark, sf_dir):
+    return evaluate.overlaps(*_proposals(spark, sf_dir))
+
+
+_NAMES = "names as (select unnest(['NONE', " + ", ".join(f"'{t}'" for t, _, _ in TAXONOMY) + "]) as category)"
+
+
+@query(oracle(f"""select category, count(t.truth_no) as total, count(j.truth_no) as caught, {_r4('count(j.truth_no)', 'count(t.truth_no)')} as recall from names left join truth t on coalesce(t.exception_type, 'NONE') = category left join (select distinct truth_no from judged where correct) j on j.truth_no = t.truth_no group by category""", *_JUDGED, _NAMES))
+def category_recall(spark, sf_dir):
+    return evaluate.category_recall(*_proposals(spark, sf_dir))
+
+
+_BUCKETS = f"buckets as (select cast(least(9, floor(confidence * 10 + 1e-9)) as integer) as bucket, count(*) as n, {_r4('sum(floor(confidence * 1000 + 0.5))', '(count(*) * 1000)')} as stated, {_r4('count(*) filter (correct)', 'count(*)')} as actual from judged where claim and tier <> 'exact' group by 1)"
+
+
+@query(oracle("select * from buckets", *_JUDGED, _BUCKETS))
+def calibration(spark, sf_dir):
+    return evaluate.calibration(*_proposals(spark, sf_dir))
+
+
+@query(oracle(f"select cast(sum(n) as bigint) as n, {_r4('sum(n * abs(floor(stated * 10000 + 0.5) - floor(actual * 10000 + 0.5)))', '(sum(n) * 10000)')} as expected_calibration_error from buckets", *_JUDGED, _BUCKETS))
+def calibration_error(spark, sf_dir):
+    return evaluate.calibration_error(evaluate.calibration(*_proposals(spark, sf_dir)))
+
+
+_SIDE = "array_to_string(list_sort(list_filter({0}, lambda x: not list_contains({1}, x))), ' ')"
+
+
+@query(oracle(f"""select match_id, tier, confidence, amount_paise, {_SIDE.format('tids', 'pids')} as missing, {_SIDE.format('pids', 'tids')} as extra from (select j.*, list_concat(list_concat(j.ledger_ids, j.gateway_ids), j.bank_ids) as pids, coalesce(list_concat(list_concat(t.ledger_ids, t.gateway_ids), t.bank_ids), cast([] as varchar[])) as tids
+  from judged j left join overlap o using (match_id) left join truth t on t.truth_no = o.truth_no where claim and not correct)""", *_JUDGED, *_OVERLAP))
+def false_positives(spark, sf_dir):
+    return evaluate.false_positives(*_proposals(spark, sf_dir)).select("match_id", "tier", "confidence", "amount_paise", F.array_join("missing", " ").alias("missing"), F.array_join("extra", " ").alias("extra"))
+
+
+@query(oracle("""select truth_no, scenario, exception_type, amount_paise, not is_resolvable as declined, case when is_resolvable then 'No group has just these records.' else 'Cannot be decided.' end as reason from truth where truth_no not in (select truth_no from judged where correct)""", *_JUDGED))
+def false_negatives(spark, sf_dir):
+    return evaluate.false_negatives(*_proposals(spark, sf_dir))
+
+
+# --- views --------------------------------------------------------------------------------------
+
+
+@query(oracle("select match_id, amount_paise, status from proposals where status = 'needs_review' and confidence >= 0.6 order by amount_paise desc, match_id limit 50 offset 25", *_JUDGED[:2]))
+def match_page(spark, sf_dir):
+    rows, _ = views.page(views.filtered(_proposals(spark, sf_dir)[0], status="needs_review", least_confidence=0.6), "amount", 25, 50)
+    return rows.select("match_id", "amount_paise", "status")
+
+
+@query(oracle(f"""select match_id, {_LEVEL.replace('e =', 'exception_type =')} as severity, cast(greatest(0, coalesce(date '2026-03-31' - day, 0)) as integer) as age_days, coalesce(narration, '') as narration, case when confidence < 0.5 then 'low' when confidence < 0.8 then 'mid' else 'high' end as band from proposals
+  left join (select match_id, max(day) as day, string_agg(narration, ' | ' order by narration) as narration from (select match_id, unnest(list_concat(ledger_ids, bank_ids)) as record_id from proposals) join (select record_id, issue_date as day, null as narration from ledger union all select record_id, value_date, narration from bank) using (record_id) group by match_id) using (match_id)
+  where status <> 'auto_cleared'""", *_JUDGED[:2]))
+def queue_view(spark, sf_dir):
+    l, _, b = harness.sources(spark, sf_dir)
+    return views.queue(_proposals(spark, sf_dir)[0], l, b).select("match_id", "severity", "age_days", "narration", "band")
+
+
+@query(oracle("select coalesce(exception_type, 'UNCLASSIFIED') as exception_type, count(*) as n from proposals group by 1", *_JUDGED[:2]))
+def chips(spark, sf_dir):
+    return views.chips(_proposals(spark, sf_dir)[0])
+
+
+@query(oracle("select count(*) filter (confidence < 0.5) as low, count(*) filter (confidence >= 0.5 and confidence < 0.8) as mid, count(*) filter (confidence >= 0.8) as high from proposals", *_JUDGED[:2]))
+def band_counts(spark, sf_dir):
+    return views.band_counts(_proposals(spark, sf_dir)[0])
+
+
+@query(oracle("select count(*) as n, cast(sum(amount_paise) as bigint) as amount_paise from proposals where status <> 'auto_cleared'", *_JUDGED[:2]))
+def exposure(spark, sf_dir):
+    return views.exposure(_proposals(spark, sf_dir)[0].where("status <> 'auto_cleared'")).drop("shown")
+
+
+@query(oracle("select record_id, narration from bank where contains(lower(record_id || ' ' || narration), '/cr')"))
+def text_search(spark, sf_dir):
+    return views.search(view(spark, sf_dir, "bank"), "/CR", "record_id", "narration").select("record_id", "narration")
+
+
+@query(oracle("select record_id, match_id from ledger left join (select unnest(ledger_ids) as record_id, max(match_id) as match_id from proposals group by 1) using (record_id)", *_JUDGED[:2]))
+def record_owners(spark, sf_dir):
+    return views.owners(view(spark, sf_dir, "ledger").select("record_id"), _proposals(spark, sf_dir)[0])
+
+
+# --- adjudication -------------------------------------------------------------------------------
+
+_EVENT_TEXT = """case event_id % 8 when 0 then 'Here: ' || o || ' done' when 1 then replace(o, '0.7', '1.4') when 2 then replace(o, 'CND-1', 'CND-9') when 3 then replace(o, 'BNK-1', 'BNK-9') when 4 then 'no object at all' when 5 then replace(o, '"decision":"match"', '"decision":"no_match"') when 6 then replace(o, '"rationale"', '"amount":1,"rationale"') else replace(o, '0.7', '"0.7"') end"""
+_OBJECT = '\'{"decision":"match","candidate_id":"CND-1","exception_type":null,"confidence":0.7,"rationale":"amount and day agree","evidence_ids":["BNK-1"]}\''
+
+
+@query("""select event_id, case event_id % 8 when 0 then null when 1 then 'schema' when 2 then 'unknown_candidate' when 3 then 'unlisted_evidence' when 4 then 'not_json' when 5 then 'inconsistent' when 6 then 'schema' else 'schema' end as violation from events""")
+def gate_validate(spark, sf_dir):
+    answers = _table(spark, sf_dir, "events").withColumn("o", F.expr(_OBJECT)).select("event_id", F.expr(_EVENT_TEXT).alias("response"), F.array(F.lit("CND-1"), F.lit("CND-2")).alias("candidate_ids"), F.array(F.lit("BNK-1"), F.lit("LED-1")).alias("record_ids"))
+    return adjudicate.gate(answers).select("event_id", "violation")
+
+
+_ASKED = f"""asked as (select event_id, sha256('{{"model":"m","system":"{adjudicate.SYSTEM}","temperature":0,"user":"Record: ' || event_type || '\\nCandidates: CND-1\\nRecord ids you may cite: E' || cast(event_id % 50 as varchar) || '"}}') as prompt_hash from events)"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return adjudicate.prompts(e.select("event_id", C("event_type").alias("record"), F.array(F.lit("CND-1")).alias("candidate_ids"), F.array(F.concat(F.lit("E"), (C("event_id") % 50).cast("string"))).alias("record_ids")), "m")
+
+
+@query(f"with {_ASKED} select event_id, prompt_hash from asked")
+def prompt_hash(spark, sf_dir):
+    return _asked(spark, sf_dir).select("event_id", "prompt_hash")
+
+
+_HITS = f"{_ASKED}, cache as (select prompt_hash, max(event_id) as response from asked where event_id % 3 = 0 group by prompt_hash), hits as (select event_id, asked.prompt_hash, cast(response as varchar) as response, response is not null as cache_hit from asked left join cache using (prompt_hash))"
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    asked = _asked(spark, sf_dir)
+    cache = asked.where("event_id % 3 = 0").select("prompt_hash", C("event_id").cast("string").alias("response"), F.lit(1200).cast("bigint").alias("input_tokens"), F.lit(150).cast("bigint").alias("output_tokens"), C("event_id").alias("created_at"))
+    return adjudicate.cached(asked, cache)
+
+
+@query(f"with {_HITS} select event_id, response, cache_hit from hits")
+def cache_lookup(spark, sf_dir):
+    return _hits(spark, sf_dir).select("event_id", "response", "cache_hit")
+
+
+@query(f"with {_HITS}, s as (select count(*) filter (not cache_hit) as calls, count(*) filter (cache_hit) as cache_hits from hits) select calls, cache_hits, cast(0 as bigint) as violations, calls * 1200 as input_tokens, calls * 150 as output_tokens, cast(floor((calls * 1200 * 3.0 + calls * 150 * 15.0) / 1000000 * 88.0 * 10000 + 0.5) / 10000 as double) as cost_inr from s")
+def llm_cost(spark, sf_dir):
+    calls = _hits(spark, sf_dir).withColumn("violation", F.lit(None).cast("string"))
+    calls = calls.withColumn("input_tokens", F.lit(1200).cast(LongType())).withColumn("output_tokens", F.lit(150).cast(LongType()))
+    return adjudicate.cost(calls, CONF)
