@@ -42,7 +42,7 @@ class Lexicon(dict):
         self.number = {f: i for i, f in enumerate(features)}
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         found = tuple(self.number[f] for f in evidence(token) if f in self.number)
         self[token] = found
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     return chain
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Newton steps; slopes are kept from turning negative so that more evidence never lowers a score."""
     live = list(range(x.shape[1]))
     while True:
