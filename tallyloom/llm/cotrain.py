@@ -22,17 +22,6 @@ _SYMBOLS = b"#*$%&|<>!@^~=+{}[]\\_"
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 
 
-class _Buckets(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = at = crc32(word) % HASHED
-        return at
-
-
-_bucket = _Buckets()
-
-
 def _share(part: int, whole: int) -> int:
     return min(255, int(255 * part / whole + 0.5)) if whole else 0
 
@@ -46,7 +35,7 @@ def text_view(text: bytes | None) -> np.ndarray:
     n, seen = len(words), Counter(words)
     sums = [0] * HASHED
     for w, c in seen.items():
-        sums[_bucket[w]] += c
+        sums[crc32(w) % HASHED] += c
     out[:HASHED] = np.minimum(255, 255 * np.sqrt(np.array(sums) / n))
     size = len(text)
     count = lambda chars: size - len(text.translate(None, chars))
