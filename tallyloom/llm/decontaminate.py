@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_PLAIN = bytes(32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if 65 <= b < 91 else b for b in range(256))
+_PLAIN = bytes(32 if b < 48 or 58 <= b < 97 or 123 <= b < 128 else b for b in range(256))
 
 
 def normalize(text: bytes | None) -> str:
-    """Lower-case ASCII letters, turn every run of other ASCII characters than letters and digits into one space.
+    """Lower-case letters, turn every run of other ASCII characters than letters and digits into one space.
 
-    One character a UTF-8 byte; bytes outside ASCII stay as they are.
+    One character a UTF-8 byte; bytes outside ASCII stay as they are once lower-cased.
     """
-    return b" ".join(text.translate(_PLAIN).split()).decode("latin-1") if text else ""
+    return b" ".join(text.decode("utf-8", "replace").lower().encode().translate(_PLAIN).split()).decode("latin-1") if text else ""
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
