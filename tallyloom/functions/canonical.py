@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _plain(value: Any) -> Any:
@@ -64,7 +65,7 @@ def strip_offset(variance: Column, amount: Column) -> Column:
     return F.greatest(F.lit(-12.0), F.least(F.lit(12.0), variance / F.greatest(F.abs(amount), F.lit(1)) * 40))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(texts):
     """The first balanced {...} of each text, strings and escapes respected; null if there is none."""
     return texts.map(first_object)

@@ -13,27 +13,23 @@ GST_BPS = 1800
 LARGEST = 2**53 - 1
 
 
+#: White space in every script, a currency mark, a sign, and digits with grouping commas.
+_BLANK = r"[\s\x{A0}\x{FEFF}]*"
+_AMOUNT = rf"(?:INR|Rs\.?|₹)?{_BLANK}[-+]?{_BLANK}([\d,]*\.?[\d,]*)"
+_SHAPE = rf"(?i)^{_BLANK}(?:\({_BLANK}{_AMOUNT}{_BLANK}\)|{_AMOUNT}){_BLANK}$"
+
+
 def parse_paise(raw: Column) -> Column:
     """Rupee text -> paise, null where it is not an amount.
 
     Takes accounting parentheses, a currency mark before the sign, a sign, and grouping commas;
     parentheses and minus cancel. At most two decimals; at least one digit; no rounding ever.
     """
-    blank = r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$"
-    s = F.regexp_replace(raw, blank, "")
-    inside = F.regexp_extract(s, r"(?s)^\((.*)\)$", 1)
-    braced = s.startswith("(") & s.endswith(")") & (F.length(s) >= 2)
-    s = F.regexp_replace(F.when(braced, inside).otherwise(s), blank, "")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?i)^(INR|Rs\.?|₹)\s*", ""), blank, "")
-    minus = s.startswith("-")
-    s = F.regexp_replace(F.regexp_replace(s, r"^[-+]", ""), blank, "")
-    s = F.regexp_replace(s, ",", "")
-    good = s.rlike(r"^\d*\.?\d{0,2}$") & s.rlike(r"\d")
-    whole, frac = F.regexp_extract(s, r"^(\d*)", 1), F.rpad(F.regexp_extract(s, r"\.(\d*)$", 1), 2, "0")
-    digits = F.regexp_replace(F.concat(whole, F.when(frac == "", F.lit("00")).otherwise(frac)), r"^0+(?=\d)", "")
-    paise = F.when(F.length(digits) <= 16, digits.try_cast("bigint"))
-    paise = F.when(paise <= LARGEST, paise)
-    return F.when(good, F.when(braced != minus, -paise).otherwise(paise))
+    inside = F.regexp_extract(raw, _SHAPE, 1)
+    number = F.replace(F.concat(inside, F.regexp_extract(raw, _SHAPE, 2)), F.lit(","), F.lit(""))
+    paise = F.when(number.rlike(r"^(?=.*\d)\d*\.?\d{0,2}$"), (number.try_cast("decimal(25,2)") * 100).try_cast("bigint"))
+    negative = (inside != "") != raw.rlike(r"^\D*-")
+    return F.when(paise <= LARGEST, F.when(negative, -paise).otherwise(paise))
 
 
 def rupee_string(paise: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pools import checkpointed
+
 
 def _bucket(x: Column, width: int) -> Column:
     return F.floor(x / width).cast("bigint")
@@ -31,51 +33,47 @@ def date_band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: st
     return band_join(a, b, "_l", "_r", days).drop("_l", "_r")
 
 
+def _lengths(texts: DataFrame, column: str) -> list[int]:
+    """The different lengths of a column of references: a few dozen at most, as references are short."""
+    return sorted(r[0] for r in texts.select(F.length(column)).distinct().collect() if r[0])
+
+
+def _substrings(column: str, lengths: list[int]) -> Column:
+    """The different substrings of the given lengths."""
+    of = lambda n: F.expr(f"if(length({column}) >= {n}, transform(sequence(1, length({column}) - {n} + 1), i -> substring({column}, i, {n})), array())")
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths)))) if lengths else F.array().cast("array<string>")
+
+
 def reference_join(keys: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs (key_id, want_id) in which a key names a wanted reference in any of the four ways.
+    """Pairs (key_id, full, want_id, target) in which a key names a wanted reference in any of the four ways.
 
-    keys: key_id, full; wanted: want_id, target (both normalized). Equal, same last six, and
-    transposed references meet on an equality (of the whole, of the tail, of the sorted letters).
-    For containment the longer side is cut into all its six-letter pieces, one of which is the
-    beginning of the shorter; targets of four or five letters are met by their own length.
+    keys: key_id, full; wanted: want_id, target (both normalized). Every way is an equality: of the
+    whole, of the tail, of the sorted letters, and for containment of a substring of the one with the
+    other, at the lengths that occur there. Different texts meet first, so a word that all lines
+    share meets a reference once; their rows are looked up by the texts that did match.
     """
     k = keys.where("full <> ''").select("key_id", "full")
     w = wanted.where("length(target) >= 4").select("want_id", "target")
+    f, t = checkpointed(k.select("full").distinct()), checkpointed(w.select("target").distinct())
+    long = f.where("length(full) >= 6")
     tail = lambda c: F.right(F.col(c), F.lit(6))
     letters = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
-    pieces = lambda c, n: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - {n} + 1), i -> substring({c}, i, {n}))")))
     by = [
-        k.withColumn("on", F.col("full")).join(w.withColumn("on", F.col("target")), "on"),
-        k.where("length(full) >= 6").withColumn("on", tail("full")).join(w.withColumn("on", tail("target")), "on"),
-        k.where("length(full) >= 6").withColumn("on", letters("full")).join(w.withColumn("on", letters("target")), "on"),
-        # a key inside a target, and a target inside a key
-        k.where("length(full) >= 6").withColumn("on", F.substring("full", 1, 6)).join(w.where("length(target) >= 6").select("*", pieces("target", 6).alias("on")), "on"),
-        *(
-            k.where(f"length(full) >= 6 and length(full) >= {n}").select("*", pieces("full", n).alias("on")).join(w.where(f"length(target) {'>=' if n == 6 else '='} {n}").withColumn("on", F.substring("target", 1, n)), "on")
-            for n in (4, 5, 6)
-        ),
+        f.select("full", F.col("full").alias("target")).join(t, "target"),
+        long.withColumn("on", tail("full")).join(t.withColumn("on", tail("target")), "on"),
+        long.withColumn("on", letters("full")).join(t.withColumn("on", letters("target")), "on"),
+        long.join(t.select("target", F.explode(_substrings("target", _lengths(long, "full"))).alias("full")), "full"),
+        long.select("full", F.explode(_substrings("full", _lengths(t, "target"))).alias("target")).join(t, "target"),
     ]
-    out = by[0]
+    pairs = by[0].select("full", "target")
     for more in by[1:]:
-        out = out.unionByName(more)
-    return out.select("key_id", "full", "want_id", "target").distinct()
-
+        pairs = pairs.unionByName(more.select("full", "target"))
+    return k.join(pairs.distinct(), "full").join(w, "target").select("key_id", "full", "want_id", "target")
 
-def contained(keys: DataFrame, known: DataFrame, least: int = 6) -> DataFrame:
-    """Keys (column full) equal to, inside, or around some known reference (column target), distinct.
 
-    Strings of `least` letters or more meet on pieces of that length; the few shorter ones are a
-    small set of distinct texts, whose size is the planner's to judge before it broadcasts.
-    """
-    k, t = keys.select("full").distinct(), known.select("target").distinct()
-    piece = lambda c: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - {least} + 1), i -> substring({c}, i, {least}))")))
-    long_k, long_t = k.where(F.length("full") >= least), t.where(F.length("target") >= least)
-    inside = long_k.withColumn("on", F.substring("full", 1, least)).join(long_t.select("target", piece("target").alias("on")), "on").where(F.contains("target", "full"))
-    around = long_k.select("full", piece("full").alias("on")).join(long_t.withColumn("on", F.substring("target", 1, least)), "on").where(F.contains("full", "target"))
-    out = inside.select("full").unionByName(around.select("full"))
-    for n in range(1, least):
-        # shorter texts: by every piece of just their length
-        cut = lambda c, n=n: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - {n} + 1), i -> substring({c}, i, {n}))")))
-        out = out.unionByName(k.where(F.length("full") == n).withColumn("on", F.col("full")).join(t.where(F.length("target") >= n).select(cut("target").alias("on")).distinct(), "on").select("full"))
-        out = out.unionByName(k.where(F.length("full") >= n).select("full", cut("full").alias("on")).join(t.where(F.length("target") == n).select(F.col("target").alias("on")), "on").select("full"))
-    return out.distinct()
+def contained(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """Keys (column full) equal to, inside, or around some known reference (column target), distinct."""
+    k, t = checkpointed(keys.select("full").distinct()), checkpointed(known.select("target").distinct())
+    inside = k.join(t.select(F.explode(_substrings("target", _lengths(k, "full"))).alias("full")), "full", "left_semi")
+    around = k.select("full", F.explode(_substrings("full", _lengths(t, "target"))).alias("target")).join(t, "target", "left_semi")
+    return inside.unionByName(around.select("full")).distinct()

@@ -285,7 +285,7 @@ def reversal_antijoin(spark, sf_dir):
     return b.where("direction = 'credit'").join(b.where("direction = 'debit'").select("amount_paise"), "amount_paise", "left_anti").select("record_id")
 
 
-@query(oracle(f"""select distinct b, l from (select keys.record_id as b, l.record_id as l, key, {_NORM.format('invoice_no')} as want, value_date, issue_date from keys join ledger l on contains(key, right({_NORM.format('invoice_no')}, 6)) or contains({_NORM.format('invoice_no')}, key) where keys.direction = 'credit') where {_RANK} <= 4 and abs(value_date - issue_date) <= 45""", _TOKEN_CTE, _KEY_CTE))
+@query(oracle(f"""select distinct b, l from (select keys.record_id as b, l.record_id as l, key, {_NORM.format('invoice_no')} as want, value_date, issue_date from keys join ledger l on contains(key, right({_NORM.format('invoice_no')}, 6)) or contains({_NORM.format('invoice_no')}, key) or list_sort(string_split(key, '')) = list_sort(string_split({_NORM.format('invoice_no')}, '')) where keys.direction = 'credit') where {_RANK} <= 4 and abs(value_date - issue_date) <= 45""", _TOKEN_CTE, _KEY_CTE))
 def named_invoices(spark, sf_dir):
     l, _, b = _prepared(spark, sf_dir)
     return residual.named_invoices(l, b)
@@ -407,7 +407,7 @@ def residual_chargebacks(spark, sf_dir):
 
 
 @query(oracle("""select one.l, one.g, case when count(b.record_id) > 0 then 'NARRATION_UNPARSEABLE' else 'MISSING_IN_BANK' end as exception_type, g.net_paise as variance_paise, cast(floor(case when count(b.record_id) > 0 then 180 else 920 end * 0.5 + 0.5) as integer) as milli, cast(least(count(b.record_id), 5) as integer) as shown
-  from one join gateway g on g.record_id = one.g left join bank b on b.direction = 'credit' and b.amount_paise between g.net_paise - 100 and g.net_paise + 100 and abs(value_date - settled) <= 7 and b.record_id not in (select record_id from keys join ledger on key = regexp_replace(invoice_no, '-', '', 'g')) group by one.l, one.g, g.net_paise""",
+  from one join gateway g on g.record_id = one.g left join bank b on b.direction = 'credit' and b.amount_paise between g.net_paise - 100 and g.net_paise + 100 and abs(value_date - settled) <= 7 and b.record_id not in (select keys.record_id from keys join ledger on key = regexp_replace(invoice_no, '-', '', 'g')) group by one.l, one.g, g.net_paise""",
   _TOKEN_CTE, _KEY_CTE, "one as (select l.record_id as l, min(g.record_id) as g from ledger l join gateway g on g.receipt = l.invoice_no group by l.record_id having count(*) = 1)"))
 def residual_two_way(spark, sf_dir):
     l, g, b = _prepared(spark, sf_dir)
