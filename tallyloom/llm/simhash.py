@@ -162,7 +162,7 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 4, n_pivots: int = 16,
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, n_pivots: int = 16, bucket_limit: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, n_pivots: int = 16, bucket_limit: int = 4096, most_hot: int = 100_000) -> DataFrame:
     """Group documents whose fingerprints are linked, directly or through others.
 
     docs: doc_id, text; more columns are ignored. Returns one row per input row: doc_id, fingerprint
@@ -170,16 +170,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, n_
     Null, empty and blank texts all have fingerprint zero and are linked like any other. Rows with a
     null doc_id are returned, and name no component unless they are alone (then null). Repeated rows
     each return one row. Equal fingerprints meet once, so copies never become pairs. Buckets of more
-    than bucket_limit different fingerprints take another exact way.
+    than bucket_limit different fingerprints take another exact way. The most frequent fingerprints,
+    most_hot of them at most, are told their class by a broadcast, so no task gathers their copies.
     """
     own = materialize(fingerprints(docs, shingle), "fingerprints")
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     labels = connected_components(fingerprint_links(own.select("fp").distinct(), max_distance, n_pivots, bucket_limit))
     linked = first.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
     classes = linked.join(least, "component").select("fp", "least_id")
-    all_of = first.join(classes, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return own.join(all_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    all_of = first.join(classes, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n")
+    all_of = materialize(all_of, "classes")
+    # more than rows / most_hot copies: at most most_hot such fingerprints, whose classes go to the copies
+    often = F.col("n") > max(100, own.count() // most_hot)
+    hot = F.broadcast(all_of.where(often).select("fp", "component_id"))
+    told = own.join(hot, "fp").unionByName(own.join(hot.select("fp"), "fp", "left_anti").join(all_of.where(~often).select("fp", "component_id"), "fp"))
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -187,7 +193,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat one doc_id stand or fall together; rows with a null doc_id stay.
     """
-    out = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    out = materialize(near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
 
 
