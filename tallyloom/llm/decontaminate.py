@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 _PLAIN = bytes(32 if b < 48 or 58 <= b < 97 or 123 <= b < 128 else b for b in range(256))
 
@@ -134,8 +134,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 16
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns stay, rows with a null doc_id too."""
-    out = contaminated(docs, benchmark, **options).select("doc_id").distinct()
+    """docs without those that hold a benchmark item; all columns stay, rows with a null doc_id too.
+
+    The ids are written first, so that the planner knows how few they are and needs not shuffle texts.
+    """
+    out = materialize(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
 
 
