@@ -33,6 +33,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
 
 
+def long_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; from now on its session sends Python at most so many rows at once, as one of them may be a whole book."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 

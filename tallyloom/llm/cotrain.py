@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, crc_mod, materialize, table, unit_hash
+from .common import about, crc_mod, long_rows, materialize, table, unit_hash
 
 HASHED, SHAPE, META = 96, 16, 48
 TEXT = HASHED + SHAPE
@@ -118,7 +118,7 @@ def _platt(view: Linear, x: np.ndarray, y: np.ndarray) -> None:
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, t, m): both views of every document as bytes."""
-    few = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars")
+    few = long_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

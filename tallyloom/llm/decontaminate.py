@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import long_rows, materialize, table
 
 _PLAIN = bytes(32 if b < 48 or 58 <= b < 97 or 123 <= b < 128 else b for b in range(256))
 
@@ -116,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 16
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
     dealt = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("text"), F.lit(n)).alias("block"))
-    few = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    few = long_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     of = {"doc_id": few.schema["doc_id"].dataType.simpleString(), "item_id": dealt.schema["item_id"].dataType.simpleString()}
 
     def against(items: list[tuple]):

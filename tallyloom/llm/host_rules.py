@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import long_rows, materialize, table
 
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -52,7 +52,7 @@ def text_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, host, COUNTS...) of docs with columns doc_id, source, text."""
-    few = docs.select("doc_id", F.col("source").alias("host"), F.col("text").cast("binary").alias("text"))
+    few = long_rows(docs.select("doc_id", F.col("source").alias("host"), F.col("text").cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

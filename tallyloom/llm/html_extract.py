@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import long_rows, materialize, table
 from .url_filter import parts
 
 MARKUP = re.compile(
@@ -184,7 +184,7 @@ def templates(pages: DataFrame, least_pages: int = 8, frequent: float = 0.6, mos
     one that holds at least most_text of the text and least beside it. A host has no more template tokens than
     1 / frequent times those of a page.
     """
-    few = pages.select("host", F.coalesce("html", F.lit("")).alias("html"))
+    few = long_rows(pages.select("host", F.coalesce("html", F.lit("")).alias("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table, unit_hash
+from .common import crc_mod, long_rows, materialize, table, unit_hash
 
 #: Characters told apart, the two catch-alls included: 0 any other letter, 1 whatever is no letter.
 LETTERS = 64
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     The whole text counts. `und` with score 0 if it is null or has no letter, or if nothing was
     learned. Repeated rows each give a row.
     """
-    few = docs.select("doc_id", "text")
+    few = long_rows(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum(model.kernel.letters) if model else None

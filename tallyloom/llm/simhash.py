@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import long_rows, materialize, table
 from .components import connected_components
 
 BITS = 64
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    few = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    few = long_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     return few.mapInArrow(run, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, fp long")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, crc_mod, materialize, table
+from .common import about, crc_mod, long_rows, materialize, table
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     documents that have it are toxic, and their number is `surprise` standard deviations over chance. Four fifths of the rows train the chain, the rest fit the document
     score. None if there are not both classes.
     """
-    spark = docs.sparkSession
+    long_rows(docs)
     place = F.xxhash64(F.lit(5), "doc_id")
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(about(chosen, max_labelled, "doc_id", seed=5))  # about max_labelled rows
@@ -305,7 +305,7 @@ def tag(docs: DataFrame, chain: Chain | None, threshold: float = 0.7, least: flo
     empty texts have no tokens and get the score of a text without evidence. Without a chain (no
     labels of both classes) every score is 0. Repeated rows each give a row.
     """
-    few = docs.select("doc_id", "text")
+    few = long_rows(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagged = _tagged(chain) if chain else None

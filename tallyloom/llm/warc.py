@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table
+from .common import long_rows, materialize, new_path, table
 from .url_filter import parts
 
 LINES = 512  # captures in a block
@@ -96,8 +96,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
     leaves its header out. An empty table gives empty archives.
     Tasks write their own files in the shared folder; a file that a failed attempt left is in no index.
     """
-    spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = folder or new_path(long_rows(pages).sparkSession, "warc")
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     named = pages.select("page_id", "url", payload.alias("payload"))
     same = F.sha1("payload")
