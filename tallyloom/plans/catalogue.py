@@ -285,7 +285,14 @@ def reversal_antijoin(spark, sf_dir):
     return b.where("direction = 'credit'").join(b.where("direction = 'debit'").select("amount_paise"), "amount_paise", "left_anti").select("record_id")
 
 
-@query(oracle(f"""select distinct b, l from (select keys.record_id as b, l.record_id as l, key, {_NORM.format('invoice_no')} as want, value_date, issue_date from keys join ledger l on contains(key, right({_NORM.format('invoice_no')}, 6)) or contains({_NORM.format('invoice_no')}, key) or list_sort(string_split(key, '')) = list_sort(string_split({_NORM.format('invoice_no')}, '')) where keys.direction = 'credit') where {_RANK} <= 4 and abs(value_date - issue_date) <= 45""", _TOKEN_CTE, _KEY_CTE))
+_NAMING = f"""kk as (select distinct key from keys where length(key) >= 4 and direction = 'credit'),
+w as (select record_id as l, issue_date, {_NORM.format('invoice_no')} as want from ledger), ww as (select distinct want from w),
+met as (select key, key as want from kk union select key, want from kk join ww on right(key, 6) = right(want, 6) union select key, want from kk join ww on list_sort(string_split(key, '')) = list_sort(string_split(want, ''))
+  union select key, substr(key, i, n) from kk, (select distinct length(want) as n from ww), unnest(range(1, cast(length(key) - n + 2 as bigint))) t(i)
+  union select substr(want, i, n), want from ww, (select distinct length(key) as n from kk), unnest(range(1, cast(length(want) - n + 2 as bigint))) t(i))"""
+
+
+@query(oracle(f"select distinct keys.record_id as b, l from met join keys using (key) join w using (want) where direction = 'credit' and {_RANK} <= 4 and abs(value_date - issue_date) <= 45", _TOKEN_CTE, _KEY_CTE, _NAMING))
 def named_invoices(spark, sf_dir):
     l, _, b = _prepared(spark, sf_dir)
     return residual.named_invoices(l, b)
