@@ -383,21 +383,36 @@ scored as (select *, 980 - case rank when 3 then 100 when 4 then 150 when 5 then
   case when rank = 5 then 'NARRATION_UNPARSEABLE' when gap > 3 then 'TIMING_LAG' when not fee_ok then 'FEE_DISCREPANCY' when refund_paise > 0 then 'REFUND_OFFSET' end as exception from near)"""
 
 
-@query(oracle("select l, g, b, variance, cast(gap as bigint) as gap, cast(milli as integer) as milli, exception from scored", *_rank_ctes("select b.record_id as b, g.record_id as g, g.invoice_no, settlement_id, order_id from gateway g join bank b on b.amount_paise between g.net_paise - 100 and g.net_paise + 100"),
-  "one as (select l.record_id as l, min(g.record_id) as g from ledger l join gateway g on g.receipt = l.invoice_no group by l.record_id having count(*) = 1)", _TOLERANT))
+_SCORED = [
+    *_rank_ctes("select b.record_id as b, g.record_id as g, g.invoice_no, settlement_id, order_id from gateway g join bank b on b.amount_paise between g.net_paise - 100 and g.net_paise + 100"),
+    "one as (select l.record_id as l, min(g.record_id) as g from ledger l join gateway g on g.receipt = l.invoice_no group by l.record_id having count(*) = 1)", _TOLERANT,
+]
+
+
+@query(oracle("select l, g, b, variance, cast(gap as bigint) as gap, cast(milli as integer) as milli, exception from scored", *_SCORED))
 def tolerant_scores(spark, sf_dir):
     out = stages.tolerant_scored(*_prepared(spark, sf_dir), CONF)
     return out.select(C("l_record_id").alias("l"), C("g_record_id").alias("g"), C("b_record_id").alias("b"), "variance", C("gap").cast("bigint").alias("gap"), C("milli").cast("int").alias("milli"), "exception")
 
 
-@query()
+@query(oracle("select l, g, b, variance as variance_paise, cast(milli as integer) as milli, exception as exception_type from scored where milli >= 900 qualify row_number() over (partition by l order by milli desc, credit, b) = 1", *_SCORED))
 def tolerant_match(spark, sf_dir):
+    """The tolerant pass over whole pools; no two of these invoices compete for a credit."""
     out = stages.tolerant(*_prepared(spark, sf_dir), CONF)
     return out.select(C("ledger_ids")[0].alias("l"), C("gateway_ids")[0].alias("g"), C("bank_ids")[0].alias("b"), "variance_paise", "milli", "exception_type")
 
 
-@query()
+_BATCHED = f"""f as (select b.record_id as driver, b.amount_paise as credit, s.*, {_NORM.format('settlement_id')} as want from bank b join batches s on b.amount_paise between s.total_paise - 100 and s.total_paise + 100 where direction = 'credit' and abs(settled_on - value_date) <= 5),
+h as (select driver, settlement_id, coalesce(min({_RANK}), 5) <= 4 as hinted from f left join keys on keys.record_id = driver group by 1, 2),
+t as (select f.*, hinted, count(*) filter (hinted) over (partition by driver) as hints, count(*) over (partition by driver) as fits from f join h using (driver, settlement_id)),
+c as (select *, case when hints = 1 then 1 else fits end as chosen from t where hints <> 1 or hinted),
+billed as (select settlement_id, string_agg(l, ' ' order by l) as ledger_ids from gateway join (select invoice_no as receipt, min(record_id) as l from ledger group by 1) using (receipt) group by 1)"""
+
+
+@query(oracle("""select driver, coalesce(ledger_ids, '') as ledger_ids, members as gateway_ids, gross_paise as amount_paise, credit - total_paise as variance_paise, cast(case when hinted then 950 else 780 end as integer) as milli, case when refunded then 'REFUND_OFFSET' else 'MERGED_PAYMENT' end as exception_type
+  from c left join billed using (settlement_id) where chosen = 1 and n <= 12 union all select driver, '', '', any_value(credit), 0, 450, 'MERGED_PAYMENT' from c where chosen > 1 group by driver""", _TOKEN_CTE, _KEY_CTE, _BATCHES, _BATCHED))
 def batch_match(spark, sf_dir):
+    """The batch pass over whole pools; no two of these credits compete for a batch."""
     out = stages.batches(*_prepared(spark, sf_dir), CONF)
     return out.select("driver", *(F.array_join(c, " ").alias(c) for c in ("ledger_ids", "gateway_ids")), "amount_paise", "variance_paise", "milli", "exception_type")
 

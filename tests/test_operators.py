@@ -164,3 +164,28 @@ def test_run_quality_and_repeatability(spark, run):
 def test_group_key_ignores_order(spark):
     df = spark.createDataFrame([(["b", "a"], ["c"], [])], "l array<string>, g array<string>, b array<string>")
     assert df.select(refs.group_key("l", "g", "b")).first()[0] == "a|b|c"
+
+
+def test_credits_take_invoices_one_by_one(spark, run):
+    ledger, _, bank = stages.prepared(*run[0])
+    gone, want = set(), {}
+    pairs = sorted(map(tuple, residual.named_invoices(ledger, bank).collect()))
+    for b in sorted({b for b, _ in pairs}):
+        open_ = [l for x, l in pairs if x == b and l not in gone]
+        if open_:
+            want[b] = min(open_)
+            gone.add(want[b])
+    got = {r.driver: r.ledger_ids[0] for r in residual.credits_left(ledger, bank, 1.0).collect() if r.ledger_ids}
+    assert got == want and want
+
+
+def test_splits_take_credits_of_the_right_sum(spark, run):
+    ledger, gateway, bank = stages.prepared(*run[0])
+    credit = {r.record_id: r.amount_paise for r in bank.collect()}
+    out = stages.splits(ledger, gateway, bank, Conf()).collect()
+    taken = [b for r in out for b in r.bank_ids]
+    assert out and len(taken) == len(set(taken))
+    parts = {r.driver: (r.n, r.target) for r in stages.split_payments(ledger, gateway).collect()}
+    for r in out:
+        n, target = parts[r.driver]
+        assert r.variance_paise == target - sum(credit[b] for b in r.bank_ids) and abs(r.variance_paise) <= 100 * n
