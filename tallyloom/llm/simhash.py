@@ -174,8 +174,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, n_
     most_hot of them at most, are told their class by a broadcast, so no task gathers their copies.
     """
     own = materialize(fingerprints(docs, shingle), "fingerprints")
+    told = grouped(own, fingerprint_links(own.select("fp").distinct(), max_distance, n_pivots, bucket_limit), most_hot)
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(own: DataFrame, links: DataFrame, most_hot: int) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of own (doc_id, fp), by links between fps."""
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    labels = connected_components(fingerprint_links(own.select("fp").distinct(), max_distance, n_pivots, bucket_limit))
+    labels = connected_components(links)
     linked = first.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
     classes = linked.join(least, "component").select("fp", "least_id")
@@ -185,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, n_
     often = F.col("n") > max(100, own.count() // most_hot)
     hot = F.broadcast(all_of.where(often).select("fp", "component_id"))
     told = own.join(hot, "fp").unionByName(own.join(hot.select("fp"), "fp", "left_anti").join(all_of.where(~often).select("fp", "component_id"), "fp"))
-    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return told.select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
