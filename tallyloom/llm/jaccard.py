@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found exactly.
+"""Sets of word shingles: which of them are alike by Jaccard similarity, found exactly.
 
 Two sets as similar as asked share an element among the first few of each, in any one order of all
 elements (prefix filter). Elements that a sample finds in many texts come last in that order, so
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import about, long_rows, materialize
 from .components import connected_components
-from .simhash import SEED, grouped
 
+SEED = 42
 
-def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
-    """Sorted hashes of the different runs of k words; of the whole text if it is shorter; none without words."""
-    words = text.lower().split() if text else []  # words as in simhash.fingerprint
+
+def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
+    """Hashes of the runs of k words, repeats included; of the whole text if it is shorter; none without words."""
+    words = text.lower().split() if text else []  # for bytes: A-Z only, and exactly the white space of the contract
     if not words:
         return np.empty(0, np.uint64)
     line = b" ".join(words)
@@ -32,7 +33,12 @@ def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
     starts = [0, *(end + 1 for end in ends)]
     digest = xxhash.xxh64_intdigest
     found = [digest(line[s:e], SEED) for s, e in zip(starts, ends[k - 1 :], strict=False)] or [digest(line, SEED)]
-    return np.unique(np.array(found, np.uint64))
+    return np.array(found, np.uint64)
+
+
+def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
+    """The different shingle_hashes(), sorted."""
+    return np.unique(shingle_hashes(text, k))
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -40,12 +46,19 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if hashes.size else 0
 
 
+def is_in(often: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted array."""
+    if not len(often):
+        return np.zeros(len(hashes), bool)
+    return often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
+
+
 def prefix(hashes: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
     """The elements of which a set so similar to this one has at least one among its own; often is sorted."""
     n = len(hashes)
     if not n:
         return hashes
-    late = often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes if len(often) else np.zeros(n, bool)
+    late = is_in(often, hashes)
     return np.concatenate([hashes[~late], hashes[late]])[: n - ceil(similarity * n - 1e-9) + 1]
 
 
@@ -58,70 +71,92 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([np.empty(0, np.uint64), *found])))
 
 
-def _sets(docs: DataFrame, k: int, first: tuple[np.ndarray, float] | None = None) -> DataFrame:
-    """(doc_id, fp, n, hashes): the number of a text's set, its size, and its elements or the first of them."""
+def whole_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): the number of a text's set and all its elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x.as_py(), k) for x in b.column(1)]
-            fps = np.fromiter(map(set_id, sets), np.uint64, len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fps), pa.array([len(x) for x in sets], pa.int32()), _lists([prefix(x, *first) for x in sets] if first else sets)], ["doc_id", "fp", "n", "hashes"])
+            sets = [shingles(x.as_py(), k) for x in b.column(0)]
+            ids = np.fromiter(map(set_id, sets), np.uint64, len(sets))
+            yield pa.RecordBatch.from_arrays([_signed(ids), _lists(sets)], ["id", "hashes"])
 
-    few = long_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
-    return few.mapInArrow(run, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, fp long, n int, hashes array<long>")
+    return long_rows(docs.select(F.col("text").cast("binary").alias("text"))).mapInArrow(run, "id long, hashes array<long>")
 
 
 def often_seen(docs: DataFrame, k: int, sample: int, most: int) -> np.ndarray:
     """The shingles in most texts of a sample, `most` of them at most, sorted."""
-    seen = _sets(about(docs, sample, "doc_id"), k).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2")
+    seen = whole_sets(about(docs, sample, "doc_id"), k).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2")
     rows = seen.orderBy(F.desc("count"), "h").limit(most).collect()
     return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
-def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """Sizes that allow so much similarity."""
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-
+def prefixes(docs: DataFrame, k: int, similarity: float, often: np.ndarray, fingerprint) -> DataFrame:
+    """(doc_id, id, fp, n, late, last, hashes): a text's set by number, its fingerprint (of all shingles, repeats included), its
+    size, its prefix, and where in the order of all elements the prefix ends."""
 
-def set_links(docs: DataFrame, own: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (u, v) of set numbers that connect all pairs so similar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [shingle_hashes(x.as_py(), k) for x in b.column(1)]
+            sets = [np.unique(x) for x in bags]
+            firsts = [prefix(x, often, similarity) for x in sets]
+            ends = np.array([x[-1] if len(x) else 0 for x in firsts], np.uint64)
+            ids = np.fromiter(map(set_id, sets), np.uint64, len(sets))
+            fps = np.fromiter(map(fingerprint, bags), np.uint64, len(bags))
+            numbers = pa.array([len(x) for x in sets], pa.int32())
+            last = _signed(ends ^ np.uint64(1 << 63))  # in signed order as unsigned before
+            columns = [b.column(0), _signed(ids), _signed(fps), numbers, pa.array(is_in(often, ends)), last, _lists(firsts)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "fp", "n", "late", "last", "hashes"])
 
-    Sets that meet are first held against the smallest number that they meet; the groups so found need
-    no more comparing inside, and only then all other pairs are listed. Copies of a set meet once.
-    """
-    sets = own.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    keys = materialize(sets.select("fp", "n", F.explode("hashes").alias("h")), "prefixes")
-    met = keys.groupBy("h").agg(F.min(F.struct("fp", "n")).alias("least"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    keys = materialize(keys.join(met.select("h", "least"), "h"), "met")
+    few = long_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
+    kind = few.schema["doc_id"].dataType.simpleString()
+    return few.mapInArrow(run, f"doc_id {kind}, id long, fp long, n int, late boolean, last long, hashes array<long>")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialize(pairs.distinct(), label)
-        asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-        of = own.select(F.col("doc_id").alias("id"), "fp").join(asked, "fp").groupBy("fp").agg(F.min(F.struct("id")).alias("x")).select(F.col("x.id").alias("id")).distinct()
-        texts = _sets(docs.join(of, docs["doc_id"].eqNullSafe(of["id"]), "left_semi"), k).groupBy("fp").agg(F.first("hashes").alias("s"))
-        both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-        shared = F.size(F.array_intersect("a", "b"))
-        return materialize(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "similar")
 
-    near = verified(keys.where((F.col("fp") != F.col("least.fp")) & _alike(F.col("n"), F.col("least.n"), similarity)).select(F.col("fp").alias("u"), F.col("least.fp").alias("v")), "stars")
-    group = connected_components(near).withColumnRenamed("node", "fp")
-    keys = keys.select("fp", "n", "h").join(group, "fp", "left").select("fp", "n", "h", F.coalesce("component", "fp").alias("c"))
-    a, b = (keys.select("h", *(F.col(x).alias(x + y) for x in ("fp", "n", "c"))) for y in "ab")
-    rest = a.join(b, "h").where((F.col("fpa") < F.col("fpb")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"), similarity))
-    return near.unionByName(verified(rest.select(F.col("fpa").alias("u"), F.col("fpb").alias("v")), "pairs"))
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """Sizes that allow so much similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sample: int = 20_000, most_often: int = 100_000, most_hot: int = 100_000) -> DataFrame:
-    """(doc_id, component_id), one row per input row: texts whose sets of k-word shingles have at least
-    this Jaccard similarity are linked, directly or through others.
+def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) of set numbers that are so similar. Only the texts of such sets are read, one for each."""
+    pairs = materialize(pairs, "set-pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    one = own.join(asked, "id").groupBy("id").agg(F.min(F.struct("doc_id")).alias("x")).select(F.col("x.doc_id").alias("one")).distinct()
+    texts = whole_sets(docs.join(one, docs["doc_id"].eqNullSafe(one["one"]), "left_semi"), k)
+    texts = materialize(texts.groupBy("id").agg(F.first("hashes").alias("s")), "set-elements")  # rows that repeat a doc_id
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return materialize(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "similar-sets")
 
-    Texts without words are copies of each other. Null and repeated doc_ids as in simhash.near_duplicates.
-    """
-    own = materialize(_sets(docs, k, (often_seen(docs, k, sample, most_often), similarity)), "sets")
-    return grouped(own.select("doc_id", "fp"), set_links(docs, own, k, similarity), most_hot).select("doc_id", "component_id")
 
+def set_links(docs: DataFrame, own: DataFrame, guesses: DataFrame, k: int, similarity: float, share: float = 0.25) -> DataFrame:
+    """Links (u, v) of set numbers that connect all pairs so similar.
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id, as simhash.keep_first."""
-    out = materialize(near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    own: as prefixes() gives it; guesses (u, v): pairs that may well be alike. These are verified first, with the pairs of
+    each set and the smallest that it meets, if they share so large a share of its prefix. The groups so found need no more
+    comparing inside, and only then all other pairs that meet are counted: of two prefixes the one that ends first holds
+    all its elements that the other set has, so the count bounds the overlap, and only pairs that may reach the similarity
+    are verified. Copies of a set meet once.
+    """
+    sets = materialize(own.where("n > 0").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "late", "last", "hashes"))), "sets")
+    keys = sets.select("id", F.explode("hashes").alias("h"))
+    met = keys.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    keys = materialize(keys.join(met.select("h", "least"), "h"), "met")
+    facts = sets.select("id", "n", F.size("hashes").alias("p"), "late", "last")
+    told = lambda pairs: pairs.join(facts.select(*(F.col(c).alias(f"{c}_u") for c in facts.columns)).withColumnRenamed("id_u", "u"), "u").join(
+        facts.select(*(F.col(c).alias(f"{c}_v") for c in facts.columns)).withColumnRenamed("id_v", "v"), "v"
+    )
+    fits = _alike(F.col("n_u"), F.col("n_v"), similarity)
+    stars = keys.where("id <> least").groupBy(F.col("id").alias("u"), F.col("least").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    stars = told(stars).where(fits & (F.col("c") >= F.lit(share) * F.col("p_u"))).select("u", "v")
+    near = verified(docs, own, stars.unionByName(told(guesses).where(fits).select("u", "v")).distinct(), k, similarity)
+    group = materialize(connected_components(near).withColumnRenamed("node", "id"), "alike")
+    keys = keys.select("id", "h").join(group, "id", "left").select("id", "h", F.coalesce("component", "id").alias("c"))
+    a, b = (keys.select("h", *(F.col(x).alias(x + y) for x in ("id", "c"))) for y in "ab")
+    rest = a.join(b, "h").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")))
+    rest = told(rest.groupBy(F.col("ida").alias("u"), F.col("idb").alias("v")).agg(F.count(F.lit(1)).alias("c"))).where(fits)
+    most = lambda x: F.col("c") + F.col(f"n_{x}") - F.col(f"p_{x}")
+    first = lambda x, y: F.struct(f"late_{x}", f"last_{x}") <= F.struct(f"late_{y}", f"last_{y}")
+    bound = F.least(F.when(first("u", "v"), most("u")), F.when(first("v", "u"), most("v")))
+    needed = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v"))
+    return near.unionByName(verified(docs, own, rest.where(bound >= needed - 1e-6).select("u", "v"), k, similarity))

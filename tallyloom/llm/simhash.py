@@ -13,36 +13,34 @@ runs, and the tables work inside those buckets. Both steps are exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_rows, materialize, table
 from .components import connected_components
+from .jaccard import often_seen, prefixes, set_links, shingle_hashes
 
 BITS = 64
-SEED = 42
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """SimHash of one text: a bit is 1 if it is set in over half of the shingles' hashes; 0 without words."""
-    words = text.lower().split() if text else []  # for bytes: A-Z only, and exactly the white space of the contract
-    if not words:
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 without any."""
+    if not len(hashes):
         return 0
-    line = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
-    starts = [0, *(end + 1 for end in ends)]
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=False)] or [digest(line, SEED)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """SimHash of one text over its shingles' hashes; 0 without words."""
+    return simhash(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): fp as a signed 64-bit number. A null text has no words."""
 
@@ -194,14 +192,47 @@ def grouped(own: DataFrame, links: DataFrame, most_hot: int) -> DataFrame:
     return told.select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id; all columns stay.
+def similar_documents(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, n_pivots: int = 16, bucket_limit: int = 4096,
+    sample: int = 20_000, most_often: int = 100_000, most_hot: int = 100_000,
+) -> DataFrame:
+    """(doc_id, component_id), one row per input row: texts whose sets of shingles have at least this Jaccard similarity are
+    linked, directly or through others.
+
+    Fingerprints within max_distance bits, linked by the pivot tables, name pairs to verify on whole sets. Similar texts may
+    differ in many more bits than pivots can tell from chance, so set_links() then finds all other pairs, exactly (up to
+    64-bit hashes). Texts without words are copies of each other. Null and repeated doc_ids as in near_duplicates().
+    """
+    often = often_seen(docs, shingle, sample, most_often)
+    own = materialize(prefixes(docs, shingle, similarity, often, simhash), "prefixes")
+    one = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("v"))  # a set for each fingerprint
+    links = fingerprint_links(one.select("fp"), max_distance, n_pivots, bucket_limit)
+    ends = one.select(F.col("fp").alias("a"), F.col("v").alias("x")), one.select(F.col("fp").alias("b"), F.col("v").alias("y"))
+    far = links.join(ends[0], F.col("u") == F.col("a")).join(ends[1], links["v"] == F.col("b")).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    same = own.where("n > 0").select("fp", F.col("id").alias("u")).distinct().join(one, "fp").where("u <> v").select("u", "v")
+    pairs = set_links(docs, own, far.unionByName(same), shingle, similarity)
+    return grouped(own.select("doc_id", F.col("id").alias("fp")), pairs, most_hot).select("doc_id", "component_id")
+
+
+def _firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the documents whose group (doc_id, component_id) has a smaller doc_id; all columns stay.
 
     Rows that repeat one doc_id stand or fall together; rows with a null doc_id stay.
     """
-    out = materialize(near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    out = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group of near_duplicates(), the one with the smallest doc_id."""
+    return _firsts(docs, near_duplicates(docs, **options))
+
+
+def keep_first_similar(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group of similar_documents(), the one with the smallest doc_id."""
+    return _firsts(docs, similar_documents(docs, **options))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))

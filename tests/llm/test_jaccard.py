@@ -5,7 +5,7 @@ import numpy as np
 from helpers import awkward, collected, empty
 
 from conftest import SMALL
-from tallyloom.llm import jaccard
+from tallyloom.llm import jaccard, simhash
 from tallyloom.llm.common import table
 
 
@@ -64,7 +64,7 @@ def test_stage_finds_the_near_copies_that_four_bits_miss(spark):
 def test_documents_match_brute_force(spark):
     docs = table(spark, SMALL, "documents")
     want = plain_groups({r.doc_id: r.text for r in docs.collect()})
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
 
 
 def test_any_order_finds_all(spark):
@@ -72,8 +72,8 @@ def test_any_order_finds_all(spark):
     texts = many()
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     want = sorted(plain_groups(texts).items())
-    assert collected(jaccard.near_duplicates(docs, most_often=1), "doc_id", "component_id") == sorted(want, key=repr)
-    assert collected(jaccard.near_duplicates(docs, sample=10), "doc_id", "component_id") == sorted(want, key=repr)
+    assert collected(simhash.similar_documents(docs, most_often=1), "doc_id", "component_id") == sorted(want, key=repr)
+    assert collected(simhash.similar_documents(docs, sample=10), "doc_id", "component_id") == sorted(want, key=repr)
 
 
 def test_prefix_is_long_enough():
@@ -81,7 +81,7 @@ def test_prefix_is_long_enough():
 
 
 def test_awkward_rows(spark):
-    got = dict(collected(jaccard.near_duplicates(awkward(spark)).where("doc_id is not null"), "doc_id", "component_id"))
+    got = dict(collected(simhash.similar_documents(awkward(spark)).where("doc_id is not null"), "doc_id", "component_id"))
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
-    assert jaccard.near_duplicates(awkward(spark)).count() == 9
-    assert jaccard.near_duplicates(empty(spark)).collect() == []
+    assert simhash.similar_documents(awkward(spark)).count() == 9
+    assert simhash.similar_documents(empty(spark)).collect() == []

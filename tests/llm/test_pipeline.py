@@ -3,7 +3,7 @@
 import corpus_pipeline
 from helpers import awkward, empty
 from test_decontaminate import plain_distance
-from test_simhash import plain_components, plain_fingerprint
+from test_jaccard import plain_groups
 
 from conftest import SMALL
 from tallyloom.llm import cotrain, decontaminate, host_rules
@@ -25,7 +25,7 @@ def test_stages_match_plain_versions(spark):
             blocked = {r.host for r in host_rules.host_verdicts(host_rules.counted(before)).where("blocked").collect()}
             want = {r.doc_id for r in rows if r.source not in blocked and (c := counts[r.doc_id])[0] >= 50 and 100 * c[4] <= 50 * c[0]}
         elif name == "near_duplicates":
-            of = plain_components({r.doc_id: plain_fingerprint(r.text) for r in rows})
+            of = plain_groups({r.doc_id: r.text for r in rows})
             want = {d for d, c in of.items() if d == c}
         elif name == "decontamination":
             norm = lambda x: decontaminate.normalize(x.encode())
