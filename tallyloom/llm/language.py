@@ -1,10 +1,14 @@
-"""Language identification by a string kernel with Nyström landmarks and kernel ridge regression."""
+"""Language identification by a string kernel with Nyström landmarks and kernel ridge regression.
+
+The kernel is the blended spectrum of n-gram presence: texts are alike as far as they share distinct n-grams of one to three
+characters. All letters of all scripts are told apart; whatever is no letter counts as one symbol.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,56 +17,42 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, long_rows, materialize, table, unit_hash
 
-#: Characters told apart, the two catch-alls included: 0 any other letter, 1 whatever is no letter.
-LETTERS = 64
-ORDERS = LETTERS + LETTERS**2 + LETTERS**3
 BATCH = 128
+#: Stands for any character that is no letter; letters are code points plus one, under 2 to the 21.
+OTHER, BITS = 1, 21
 
 
-def letter_table(letters: list[str]) -> np.ndarray:
-    """Code point (above the basic plane: 65535) -> id; letters get 2, 3, ... in order."""
-    out = np.array([0 if chr(c).isalpha() else 1 for c in range(65536)], np.int32)
-    for i, c in enumerate(letters[: LETTERS - 2]):
-        if ord(c) < 65535:
-            out[ord(c)] = i + 2
-    return out
-
-
-class Spectrum:
-    """Distinct n-grams of n = 1, 2, 3 of a text, as numbers under ORDERS."""
+@cache
+def symbols() -> np.ndarray:
+    """Code point -> symbol."""
+    return np.array([c + 1 if chr(c).isalpha() else OTHER for c in range(0x110000)], np.int64)
 
-    def __init__(self, letters: list[str]):
-        self.ids, self.stamp = letter_table(letters), np.zeros(ORDERS, np.int32)
 
-    def grams(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        one = self.ids[np.minimum(points, 65535)]
-        two = one[:-1] * LETTERS + one[1:]
-        three = two[:-1] * LETTERS + one[2:]
-        codes = np.concatenate([one, LETTERS + two, LETTERS + LETTERS**2 + three])
-        order = np.arange(len(codes), dtype=np.int32)
-        self.stamp[codes] = order  # of equal codes the last one stays
-        return codes[self.stamp[codes] == order]
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of n = 1, 2, 3 of a text, sorted, as numbers that tell all of them apart."""
+    one = symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    two = one[:-1] << BITS | one[1:]
+    three = two[:-1] << BITS | one[2:]
+    return np.unique(np.concatenate([one, two, three]))
 
 
 @dataclass
 class Kernel:
     """Landmarks: presence vectors over the n-grams that any of them has."""
 
-    letters: list[str]
-    column: np.ndarray  # code -> column, or -1
+    vocabulary: np.ndarray  # sorted
     landmarks: np.ndarray  # columns x landmarks, 0 or 1
     norm: np.ndarray  # distinct n-grams of each landmark
 
-    def rows(self, texts: list[str], spectrum: Spectrum) -> np.ndarray:
+    def rows(self, texts: list[str]) -> np.ndarray:
         """k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|) of each text with each landmark, by one matrix product."""
         present, size = np.zeros((len(texts), len(self.landmarks)), np.float32), np.ones(len(texts))
         for i, text in enumerate(texts):
             if text:
-                codes = spectrum.grams(text)
-                size[i] = len(codes)
-                at = self.column[codes]
-                present[i, at[at >= 0]] = 1
+                own = grams(text)
+                size[i] = len(own)
+                at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+                present[i, at[self.vocabulary[at] == own]] = 1
         return (present @ self.landmarks) / np.sqrt(size[:, None] * self.norm[None, :])
 
 
@@ -73,8 +63,13 @@ class Model:
     weight: np.ndarray  # landmarks x languages
     bias: np.ndarray
 
-    def predict(self, texts: list[str | None], spectrum: Spectrum) -> list[tuple[str, float]]:
-        out = self.kernel.rows([t or "" for t in texts], spectrum) @ self.weight + self.bias
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        """What the regression of each language gives, one row a text."""
+        return self.kernel.rows([t or "" for t in texts]) @ self.weight + self.bias
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; of equal scores the first language in code-point order."""
+        out = self.raw(texts)
         p = np.clip(out, 1e-6, 1.0)
         best, share = p.argmax(axis=1), p.max(axis=1) / p.sum(axis=1)
         letters = [t is not None and any(map(str.isalpha, t)) for t in texts]  # ends at the first letter
@@ -88,20 +83,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield part, part.column(column).to_pylist()
 
 
-def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for _, texts in _texts(batches, 0):
-        for t in texts:
-            seen.update({c for c in t.lower() if c.isalpha()})
-    yield pa.RecordBatch.from_pydict({"c": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
-
-
 def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 32, ridge: float = 1e-2, max_langs: int = 200) -> Model | None:
     """Fit on docs (doc_id, text, lang): about per_lang rows of each language, chosen by a hash of
     doc_id; the first `landmarks` of each, in the order of that hash, are the Nyström landmarks.
 
-    Rows without a language or text teach nothing. None if no language is left. Whole texts are read
-    in the tasks; the driver gets n-gram numbers of landmarks and kernel values only.
+    Rows without a language or text teach nothing. None if no language is left; over max_langs languages
+    are refused with a ValueError, as each adds landmarks to every product. Whole texts are read in the
+    tasks; the driver gets n-gram numbers of landmarks and kernel values only.
     """
     spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null and text <> ''")
@@ -112,34 +100,25 @@ def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 32, ridge: floa
         raise ValueError(f"more than {max_langs} languages")
     langs = sorted(counts)
     rates = F.broadcast(spark.createDataFrame([(x, per_lang / counts[x]) for x in langs], "lang string, rate double"))  # max_langs rows
-    sample = known.withColumn("place", unit_hash("doc_id", seed=11)).join(rates, "lang").where("place < rate").select("text", "lang", (F.col("place") / F.col("rate")).alias("place"))
-    sample = materialize(sample, "language-sample")
-
-    letters = sample.select("text").mapInArrow(_count_letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    letters = [r.c for r in letters.orderBy(F.desc("n"), "c").limit(LETTERS - 2).collect()]
+    sample = known.select("text", "lang", unit_hash("doc_id", seed=11).alias("place")).join(rates, "lang").where("place < rate")
+    sample = materialize(sample.select("text", "lang", (F.col("place") / F.col("rate")).alias("place")), "language-sample")
 
     def sets(batches):
-        spectrum = Spectrum(letters)
-        for part, texts in _texts(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([spectrum.grams(t) for t in texts], pa.list_(pa.int32()))], ["grams"])
-
-    firsts = [sample.where(F.col("lang") == x).orderBy("place").limit(landmarks) for x in langs]
-    chosen = firsts[0]
-    for df in firsts[1:]:
-        chosen = chosen.unionByName(df)
-    got = [np.array(r.grams) for r in chosen.select("text").mapInArrow(sets, "grams array<int>").collect()]
-    column = np.full(ORDERS, -1, np.int32)
+        for _, texts in _texts(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([grams(t) for t in texts], pa.list_(pa.int64()))], ["grams"])
+
+    order = F.expr("row_number() over (partition by lang order by place, xxhash64(text))")  # about per_lang rows of each
+    chosen = sample.withColumn("nth", order).where(F.col("nth") <= landmarks).orderBy("lang", "nth").select("text")
+    got = [np.array(r.grams, np.int64) for r in chosen.mapInArrow(sets, "grams array<long>").collect()]
     vocabulary = np.unique(np.concatenate(got))
-    column[vocabulary] = np.arange(len(vocabulary))
     present = np.zeros((len(vocabulary), len(got)), np.float32)
-    for i, g in enumerate(got):
-        present[column[g], i] = 1
-    kernel = Kernel(letters, column, present, np.array([len(g) for g in got], np.float64))
+    for i, own in enumerate(got):
+        present[np.searchsorted(vocabulary, own), i] = 1
+    kernel = Kernel(vocabulary, present, np.array([len(g) for g in got], np.float64))
 
     def rows(batches):
-        spectrum = Spectrum(letters)
         for part, texts in _texts(batches, 0):
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(kernel.rows(texts, spectrum)), pa.list_(pa.float64()))], ["lang", "k"])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(kernel.rows(texts)), pa.list_(pa.float64()))], ["lang", "k"])
 
     data = sample.select("text", "lang").mapInArrow(rows, "lang string, k array<double>").collect()
     k = np.array([r.k for r in data])
@@ -149,7 +128,8 @@ def train(docs: DataFrame, per_lang: int = 600, landmarks: int = 32, ridge: floa
     root = vector / np.sqrt(np.maximum(value, 1e-3))  # Nyström features z = k root
     z = k @ root
     middle = z.mean(axis=0)
-    w = np.linalg.solve((z - middle).T @ (z - middle) + ridge * len(z) / 10 * np.eye(z.shape[1]), (z - middle).T @ (y - y.mean(axis=0)))
+    held = ridge * len(z) / 10 * np.eye(z.shape[1])
+    w = np.linalg.solve((z - middle).T @ (z - middle) + held, (z - middle).T @ (y - y.mean(axis=0)))
     return Model(kernel, langs, root @ w, y.mean(axis=0) - middle @ w)
 
 
@@ -162,15 +142,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     few = long_rows(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spectrum = Spectrum(model.kernel.letters) if model else None
         for part, texts in _texts(batches, 1):
-            got = model.predict(texts, spectrum) if model else [("und", 0.0)] * len(texts)
+            got = model.predict(texts) if model else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return few.mapInArrow(run, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those not held out; see train() and identify()."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = train(docs.where(~held).select("doc_id", "text", "lang"))

@@ -1,5 +1,7 @@
 import numpy as np
 from helpers import awkward, empty
+from hypothesis import given
+from hypothesis import strategies as st
 
 from conftest import MEDIUM
 from tallyloom.llm import language
@@ -12,27 +14,50 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_grams_are_the_distinct_n_grams():
-    s = language.Spectrum(["a", "b"])
-    ids = {"a": 2, "b": 3, "!": 1, "z": 0}
-    text, n = "abab!z", language.LETTERS
-    x = [ids[c] for c in text]
-    want = {*x, *(n + a * n + b for a, b in zip(x, x[1:], strict=False)), *(n + n * n + (a * n + b) * n + c for a, b, c in zip(x, x[1:], x[2:], strict=False))}
-    assert sorted(s.grams(text)) == sorted(want)
+def plain_grams(text):
+    """The distinct runs of one to three symbols, whatever is no letter being one symbol."""
+    line = [c if c.isalpha() else None for c in text.lower()]
+    return {tuple(line[i : i + n]) for n in (1, 2, 3) for i in range(len(line) - n + 1)}
+
+
+@given(st.text(st.sampled_from("ab z!1\u6c49\u5b57\u3042\u0395\U00020000\U0001F600")))
+def test_grams_tell_all_letters_apart(text):
+    got = language.grams(text)
+    number = {g: sum((language.OTHER if c is None else ord(c) + 1) << language.BITS * (len(g) - 1 - i) for i, c in enumerate(g)) for g in plain_grams(text)}
+    assert sorted(number.values()) == got.tolist() and len(set(number.values())) == len(number)
+
+
+def plain_kernel(xs, ys):
+    sets = lambda texts: [plain_grams(t) for t in texts]
+    return np.array([[len(a & b) / np.sqrt(len(a) * len(b)) if a and b else 0.0 for b in sets(ys)] for a in sets(xs)])
+
+
+def test_scripts_and_exact_kernel_ridge_regression(spark):
+    """With every row a landmark the model is kernel ridge regression itself; many scripts share no letter table."""
+    rng = np.random.default_rng(1)
+    scripts = {"zh": range(0x4E00, 0x4E50), "ko": range(0xAC00, 0xAC50), "am": range(0x1200, 0x1240), "el": range(0x3B1, 0x3C9), "en": range(97, 123), "xx": range(0x20000, 0x20030)}
+    text = lambda codes, n=30: "".join(chr(rng.choice(codes)) if rng.random() < 0.8 else " " for _ in range(n))
+    rows = [(i * 10 + j, text(list(codes)), lang) for i, (lang, codes) in enumerate(scripts.items()) for j in range(8)]
+    ridge = 1e-2
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=8, landmarks=8, ridge=ridge)
+    fresh = [text(list(c)) for c in scripts.values()]
+    assert [x for x, _ in model.predict(fresh)] == list(scripts)
+    texts, langs = [t for _, t, _ in rows], sorted(scripts)
+    y = np.array([[float(lang == x) for x in langs] for _, _, lang in rows])
+    k, n = plain_kernel(texts, texts), len(texts)
+    centre = np.eye(n) - 1 / n
+    dual = np.linalg.solve(centre @ k @ centre + ridge * n / 10 * np.eye(n), centre @ y)
+    want = (plain_kernel(fresh, texts) - k.mean(axis=0)) @ centre @ dual + y.mean(axis=0)
+    assert np.allclose(model.raw(fresh), want, atol=0.01)
 
 
 def test_kernel_rows_are_normalized_overlaps():
-    s = language.Spectrum(["a", "b", "c"])
-    marks = [s.grams(t) for t in ("abc", "bca")]
-    words = np.unique(np.concatenate(marks))
-    column = np.full(language.ORDERS, -1, np.int32)
-    column[words] = np.arange(len(words))
-    present = np.zeros((len(words), 2), np.float32)
-    for i, g in enumerate(marks):
-        present[column[g], i] = 1
-    got = language.Kernel(["a", "b", "c"], column, present, np.array([len(g) for g in marks], float)).rows(["abcc", ""], s)
-    own = set(s.grams("abcc"))
-    assert np.allclose(got[0], [len(own & {*g}) / np.sqrt(len(own) * len(g)) for g in marks]) and not got[1].any()
+    texts = ("abc", "bca")
+    own = [language.grams(t) for t in texts]
+    words = np.unique(np.concatenate(own))
+    present = np.array([[float(w in set(g.tolist())) for g in own] for w in words.tolist()], np.float32)
+    got = language.Kernel(words, present, np.array([len(g) for g in own], float)).rows(["abcc", ""])
+    assert np.allclose(got[0], plain_kernel(["abcc"], texts)[0]) and not got[1].any()
 
 
 def test_awkward_rows(spark):
