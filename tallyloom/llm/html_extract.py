@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -83,10 +84,15 @@ def _hash(text: str) -> int:
 
 
 def _mix(a: int, b: int) -> int:
-    """A hash of two hashes and their order."""
-    x = (a * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-    return (x ^ x >> 32) & _MASK
+    """A hash of two numbers and their order; that of a tuple of numbers is the same in every process."""
+    return hash((a, b)) & _MASK
+
+
+@lru_cache(1 << 14)
+def _element(tag: str, attributes: str) -> tuple[int, int]:
+    """Name of an element, and what its words say of it."""
+    named, said = _attributes(attributes)
+    return _hash(tag + named), said
 
 
 @dataclass
@@ -125,6 +131,11 @@ def _attributes(text: str) -> tuple[str, int]:
     return f".{found.get('class', '')}#{re.sub(r'[0-9]+', '0', found.get('id', ''))}", flags
 
 
+def _words_only(attributes: str) -> str:
+    """The attributes that _attributes() reads, without the others."""
+    return " ".join(m[0] for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role", "style", "hidden", "aria-hidden"))
+
+
 def _judge(tag: str, said: int, inside: int) -> int:
     """Flags of an element by its tag, its words and the flags of where it stands."""
     if tag in ("html", "body"):
@@ -198,12 +209,12 @@ def parse(source: str) -> Page:
                     break
         if tag in VOID:
             continue
-        named, said = _attributes(m[4])
+        name, said = _element(tag, m[4] if len(m[4]) < 200 and tag != "a" else _words_only(m[4]))
         top = stack[-1]
         flags = _judge(tag, said, top.flags)
         if flags & HARD and not top.flags & HARD and tag not in BLOCK:
             flush()
-        node = page.add(_hash(tag + named), top.node, flags)
+        node = page.add(name, top.node, flags)
         if not m[4].endswith("/") or tag in BLOCK:
             stack.append(_Open(tag, node, flags))
     take(source[at:])
@@ -223,6 +234,22 @@ def tokens(names: list[int], ups: list[int], split: frozenset[int]) -> list[int]
     return out
 
 
+def _columns(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch as Python values; lists of numbers by way of one flat list, which is faster than by scalars."""
+
+    def plain(c: pa.Array) -> list:
+        if not pa.types.is_list(c.type) or not pa.types.is_integer(c.type.value_type):
+            return c.to_pylist()
+        flat, at = c.flatten().to_pylist(), 0
+        out = []
+        for n in c.value_lengths().fill_null(0).to_pylist():
+            out.append(flat[at : at + n])
+            at += n
+        return out
+
+    return zip(*map(plain, b.columns), strict=True)
+
+
 def skeletons(named: DataFrame) -> DataFrame:
     """(host, own, names, ups, flags, sizes) of each page (host, html): its nodes, without its texts; own tells pages apart."""
     kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int16()), pa.list_(pa.int32())]
@@ -288,15 +315,15 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for b in batches:
             at, rows = [], []
             hosts = b.column(0)
-            for i, (host, own, names, ups, flags, sizes, split) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            for i, (host, own, names, ups, flags, sizes, split) in enumerate(_columns(b)):
                 if last[0] != host:
                     last = (host, frozenset(split or ()))
                 got = _tally(names, ups, flags, sizes, own, last[1])
                 at += [i] * len(got)
                 rows += [(own, *r) for r in got]
-            own = pa.array([r[0] for r in rows], pa.int64())
-            arrays = [pa.array([r[i + 1] for r in rows], k) for i, (_, k) in enumerate(TALLY)]
-            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(at, pa.int32())), own, *arrays], ["host", "own", *(n for n, _ in TALLY)])
+            kinds = [pa.int64(), *(k for _, k in TALLY)]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(at, pa.int32())), *arrays], ["host", "own", *(n for n, _ in TALLY)])
 
     kinds = "host string, own long, token long, up long, times long, chars long, linked long, flags int, place int, mark long"
     each = pages.select("host", "own", "names", "ups", "flags", "sizes", "split").mapInArrow(run, kinds)
@@ -352,7 +379,7 @@ def _disordered(pages: DataFrame, known: DataFrame, largest: float) -> DataFrame
         last: tuple = (None, {}, {}, frozenset())
         for b in batches:
             rows = []
-            for host, names, ups, split, template in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, names, ups, split, template in _columns(b):
                 if last[0] != host:
                     of: dict[int, list[int]] = {}
                     for x in template or ():
@@ -360,10 +387,8 @@ def _disordered(pages: DataFrame, known: DataFrame, largest: float) -> DataFrame
                     last = (host, of, {t: (v, i) for v, ts in of.items() for i, t in enumerate(ts)}, frozenset(split or ()))
                 _, of, rank, apart = last
                 ranks: dict[int, list[int]] = {}
-                for t in tokens(names, ups, apart):
-                    if t in rank:
-                        v, i = rank[t]
-                        ranks.setdefault(v, []).append(i)
+                for v, i in filter(None, map(rank.get, tokens(names, ups, apart))):
+                    ranks.setdefault(v, []).append(i)
                 rows += [(host, of[v][i]) for v, found in ranks.items() for i in out_of_order(found, len(of[v]))]
             arrays = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["host", "token"])
