@@ -133,9 +133,12 @@ def aggregate(marginals: list[tuple[int, float]], n: int) -> tuple[float, float,
 def fit_chain(chain: Chain, slots: np.ndarray, labels: np.ndarray, ridge: float = 0.02, steps: int = 300) -> None:
     """Maximum likelihood by forward-backward on windows of WIDTH tokens, all at once (Adam steps).
 
-    slots: windows x WIDTH x SLOTS feature numbers, -1 for none, -2 where the text has ended.
+    slots: windows x WIDTH x SLOTS feature numbers, -1 for none, -2 where the text has ended. Equal windows count once, by
+    their number.
     """
-    k, w = len(chain.features), len(slots)
+    k, total, flat = len(chain.features), len(slots), np.hstack([slots.reshape(len(slots), -1), labels])
+    flat, times = np.unique(flat, axis=0, return_counts=True)
+    slots, labels, times, w = flat[:, : WIDTH * SLOTS].reshape(-1, WIDTH, SLOTS), flat[:, WIDTH * SLOTS :], times[:, None], len(flat)
     inside, has = slots[:, :, 0] > -2, (slots >= 0).any(axis=2)
     before = np.pad(has[:, :-1], ((0, 0), (1, 0)))
     after = np.pad(has[:, 1:], ((0, 0), (0, 1)))
@@ -158,15 +161,15 @@ def fit_chain(chain: Chain, slots: np.ndarray, labels: np.ndarray, ridge: float
             beta[:, i] = np.logaddexp(step_[:, :, 0] + x[:, None, 0], step_[:, :, 1] + x[:, None, 1])
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
-        off = np.where(inside, p - y, 0.0)
+        off = np.where(inside, p - y, 0.0) * times
         g = np.zeros(k + 7)
         g[:k] = np.bincount(index.ravel(), np.broadcast_to(off[:, :, None], index.shape).ravel(), k + 1)[:k]
         g[k], g[k + 1], g[k + 2] = (off * before).sum(), (off * after).sum(), off.sum()
         for a in (0, 1):
             for c in (0, 1):
                 pair = np.exp(alpha[:, :-1, a] + go[a, c] + e[:, 1:, c] + beta[:, 1:, c] - z[:, None])
-                g[k + 3 + 2 * a + c] = (both * (pair - ((y[:, :-1] == a) & (y[:, 1:] == c)))).sum()
-        g = g / w + ridge * theta / w * 10
+                g[k + 3 + 2 * a + c] = (times * both * (pair - ((y[:, :-1] == a) & (y[:, 1:] == c)))).sum()
+        g = g / total + ridge * theta / total * 10
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         theta -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     chain.weight, chain.before, chain.after, chain.bias, chain.move = theta[:k], theta[k], theta[k + 1], theta[k + 2], theta[k + 3 :].reshape(2, 2)
@@ -192,43 +195,50 @@ def _counts(docs: Counter, toxic: Counter) -> pa.RecordBatch:
 
 def _windows(features: list[str]):
     """Windows around every token with evidence, and around the middle of texts without."""
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(features)
         for b in batches:
-            slots, labels, places = [], [], []
+            rows: list[tuple] = []
             for text, y, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = TOKEN.findall(text)
                 found = [lexicon[t] for t in tokens]
                 hits = [i for i, f in enumerate(found) if f]
-                centres = hits[:: max(1, len(hits) // 8)] if hits else [len(tokens) // 2] if tokens else []
-                for c in centres:
+                for c in hits or ([len(tokens) // 2] if tokens else []):
                     row, mark = [], []
                     for i in range(c - REACH, c + REACH + 1):
                         own = found[i] if 0 <= i < len(found) else None
                         row += [-2] * SLOTS if own is None else [*own, *[-1] * (SLOTS - len(own))]
                         mark.append(int(bool(own and y)))
-                    slots.append(row)
-                    labels.append(mark)
-                    places.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.int32())), pa.array(places, pa.int64())], ["slots", "labels", "place"])
+                    rows.append((row, mark, place))
+                    if len(rows) == 4096:
+                        yield named(rows)
+            yield named(rows)
+
+    def named(rows: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(arrays, ["slots", "labels", "place"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 2_000, max_windows: int = 12_000, surprise: float = 6.5) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_windows: int = 12_000, surprise: float = 6.5) -> Chain | None:
     """Fit on about max_labelled labelled rows, chosen by a hash of doc_id.
 
     docs: doc_id, text; labels: doc_id, toxic (0, 1; others and nulls are left out; of several labels
-    of one document the larger counts). A feature is kept if three in five
-    documents that have it are toxic, and their number is `surprise` standard deviations over chance. Four fifths of the rows train the chain, the rest fit the document
-    score. None if there are not both classes.
+    of one document the larger counts). A feature is kept if three in five documents that have it are
+    toxic, and their number is `surprise` standard deviations over chance. Four fifths of the rows train
+    the chain, on about max_windows windows of all those around evidence, chosen by a hash; the rest fit
+    the document score. None if there are not both classes.
     """
     long_rows(docs)
     place = F.xxhash64(F.lit(5), "doc_id")
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(about(chosen, max_labelled, "doc_id", seed=5))  # about max_labelled rows
-    sample = materialize(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("y"), place.alias("place")), "toxicity-sample")
+    told = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id")
+    sample = materialize(told.select("text", F.col("toxic").cast("int").alias("y"), place.alias("place")), "toxicity-sample")
     shares = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(shares) < 2:
         return None
@@ -236,10 +246,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     tally = sample.where(fit).select("text", "y").mapInArrow(_tally, "f string, n long, y long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     rate = shares[1] / sum(shares.values())
     over = (F.col("y") - rate * F.col("n")) / F.sqrt(F.lit(rate * (1 - rate)) * F.col("n"))
-    kept = tally.where((over >= surprise) & (F.col("y") >= 0.6 * F.col("n"))).orderBy(F.desc("y"), "f").limit(max_features).collect()
+    kept = tally.where((over >= surprise) & (F.col("y") >= 0.6 * F.col("n"))).select("f").collect()  # bounded by the labelled rows
     chain = Chain(sorted(r.f for r in kept), np.zeros(len(kept)))
     if chain.features:
-        windows = materialize(sample.where(fit).select("text", "y", "place").mapInArrow(_windows(chain.features), "slots array<int>, labels array<int>, place long"), "toxicity-windows")
+        cut = sample.where(fit).select("text", "y", "place").mapInArrow(_windows(chain.features), "slots array<int>, labels array<int>, place long")
+        windows = materialize(cut, "toxicity-windows")
         got = sorted(about(windows, max_windows, "place", "slots").collect(), key=lambda r: (r.place, r.slots))  # about max_windows rows
         fit_chain(chain, np.array([r.slots for r in got], np.int32).reshape(-1, WIDTH, SLOTS), np.array([r.labels for r in got]))
 
@@ -333,6 +344,7 @@ def tag(docs: DataFrame, chain: Chain | None, threshold: float = 0.7, least: flo
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores and spans of all documents, learned from labels not held out; see train() and tag()."""
     docs = table(spark, sf_dir, "documents")
     chain = train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1))
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
