@@ -207,6 +207,7 @@ def similar_documents(
     own = materialize(prefixes(docs, shingle, similarity, often, simhash), "prefixes")
     one = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("v"))  # a set for each fingerprint
     links = fingerprint_links(one.select("fp"), max_distance, n_pivots, bucket_limit)
+    links = links.groupBy("u").agg(F.min("v").alias("v"))  # a pair for each fingerprint, however many buckets link it
     ends = one.select(F.col("fp").alias("a"), F.col("v").alias("x")), one.select(F.col("fp").alias("b"), F.col("v").alias("y"))
     far = links.join(ends[0], F.col("u") == F.col("a")).join(ends[1], links["v"] == F.col("b")).select(F.col("x").alias("u"), F.col("y").alias("v"))
     same = own.where("n > 0").select("fp", F.col("id").alias("u")).distinct().join(one, "fp").where("u <> v").select("u", "v")
