@@ -33,37 +33,53 @@ def date_band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: st
     return band_join(a, b, "_l", "_r", days).drop("_l", "_r")
 
 
-def _lengths(texts: DataFrame, column: str) -> list[int]:
-    """The different lengths of a column of references: a few dozen at most, as references are short."""
-    return sorted(r[0] for r in texts.select(F.length(column)).distinct().collect() if r[0])
-
-
 def _substrings(column: str, lengths: list[int]) -> Column:
     """The different substrings of the given lengths."""
     of = lambda n: F.expr(f"if(length({column}) >= {n}, transform(sequence(1, length({column}) - {n} + 1), i -> substring({column}, i, {n})), array())")
-    return F.array_distinct(F.flatten(F.array(*map(of, lengths)))) if lengths else F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+
+
+#: Containment is anchored on so many last characters of the shorter text.
+ANCHOR = 6
+
+
+def _tail(column: str) -> Column:
+    return F.right(F.col(column), F.lit(ANCHOR))
+
+
+def inside(needles: DataFrame, hays: DataFrame, needle: str, hay: str) -> DataFrame:
+    """Pairs (needle, hay) of different texts, one column each, in which the first is part of the second.
+
+    The last six characters of a needle are six characters somewhere in the hay: one row for each of its places, an
+    equi-join, and a check. Shorter needles meet the substrings of their few lengths.
+    """
+    places = hays.select(hay, F.explode(_substrings(hay, [ANCHOR])).alias("_on"))
+    long = needles.where(F.length(needle) >= ANCHOR).select(needle, _tail(needle).alias("_on"))
+    out = long.join(places, "_on").where(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    short = hays.select(hay, F.explode(_substrings(hay, list(range(1, ANCHOR)))).alias(needle))
+    few = needles.where((F.length(needle) < ANCHOR) & (F.col(needle) != ""))
+    return out.unionByName(short.join(few, needle).select(needle, hay)) if few.take(1) else out
 
 
 def reference_join(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pairs (key_id, full, want_id, target) in which a key names a wanted reference in any of the four ways.
 
     keys: key_id, full; wanted: want_id, target (both normalized). Every way is an equality: of the
-    whole, of the tail, of the sorted letters, and for containment of a substring of the one with the
-    other, at the lengths that occur there. Different texts meet first, so a word that all lines
-    share meets a reference once; their rows are looked up by the texts that did match.
+    whole, of the tail, of the sorted letters, and for containment of an anchor of the one with a
+    place of the other. Different texts meet first, so a word that all lines share meets a reference
+    once; their rows are looked up by the texts that did match.
     """
     k = keys.where("full <> ''").select("key_id", "full")
     w = wanted.where("length(target) >= 4").select("want_id", "target")
     f, t = checkpointed(k.select("full").distinct()), checkpointed(w.select("target").distinct())
     long = f.where("length(full) >= 6")
-    tail = lambda c: F.right(F.col(c), F.lit(6))
     letters = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
     by = [
         f.select("full", F.col("full").alias("target")).join(t, "target"),
-        long.withColumn("on", tail("full")).join(t.withColumn("on", tail("target")), "on"),
+        long.withColumn("on", _tail("full")).join(t.withColumn("on", _tail("target")), "on"),
         long.withColumn("on", letters("full")).join(t.withColumn("on", letters("target")), "on"),
-        long.join(t.select("target", F.explode(_substrings("target", _lengths(long, "full"))).alias("full")), "full"),
-        long.select("full", F.explode(_substrings("full", _lengths(t, "target"))).alias("target")).join(t, "target"),
+        inside(long, t, "full", "target"),
+        inside(t, long, "target", "full"),
     ]
     pairs = by[0].select("full", "target")
     for more in by[1:]:
@@ -74,6 +90,4 @@ def reference_join(keys: DataFrame, wanted: DataFrame) -> DataFrame:
 def contained(keys: DataFrame, known: DataFrame) -> DataFrame:
     """Keys (column full) equal to, inside, or around some known reference (column target), distinct."""
     k, t = checkpointed(keys.select("full").distinct()), checkpointed(known.select("target").distinct())
-    inside = k.join(t.select(F.explode(_substrings("target", _lengths(k, "full"))).alias("full")), "full", "left_semi")
-    around = k.select("full", F.explode(_substrings("full", _lengths(t, "target"))).alias("target")).join(t, "target", "left_semi")
-    return inside.unionByName(around.select("full")).distinct()
+    return inside(k, t, "full", "target").select("full").unionByName(inside(t, k, "target", "full").select("full")).distinct()

@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop, materialize
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the folder of spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tallyloom/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+checkpointed = materialize
 
 
 def open_rows(records: DataFrame, claims: DataFrame) -> DataFrame:
@@ -33,39 +23,89 @@ def unique_within(df: DataFrame, *keys: str) -> DataFrame:
     return df.join(alone, list(keys), "left_semi")
 
 
-def resolve(edges: DataFrame, decide: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
+def _early(edges: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Of drivers those that are first, among the drivers of edges, on every resource they have."""
+    first = edges.groupBy("resource").agg(F.min("ord").alias("first"))
+    own = edges.join(drivers, "driver", "left_semi")
+    waiting = own.join(first, "resource").where("ord > first").select("driver").distinct()
+    return drivers.join(waiting, "driver", "left_anti")
+
+
+def _settled(edges: DataFrame, claimers: DataFrame) -> DataFrame:
+    """Drivers whose tentative decision is final: before them, on any of their resources, come only drivers that are
+    themselves final and claim nothing.
+
+    The idle drivers shrink by those that come after one that is not idle, until none does; each pass is one join.
+    """
+    idle = materialize(edges.join(claimers, "driver", "left_anti").select("driver").distinct())
+    while True:
+        others = edges.join(idle, "driver", "left_anti").groupBy("resource").agg(F.min("ord").alias("first"))
+        after = edges.join(others, "resource").where("ord > first").select("driver").distinct()
+        kept = materialize(idle.join(after, "driver", "left_anti"))
+        if kept.count() == idle.count():
+            return kept.unionByName(claimers.join(after, "driver", "left_anti"))
+        drop(idle)
+        idle = kept
+
+
+def resolve(edges: DataFrame, decide: Callable[[DataFrame], DataFrame], greedy: bool = False, alive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Claims as if drivers were taken one by one in order, decided many at a time.
 
     edges: driver, ord, resource and whatever decide() reads; every resource that can sway a driver
     must have an edge. decide(edges of some drivers, open resources only) gives rows with columns
-    driver and resource: what each of them claims, as in the sequential rule.
+    driver and resource: what each of them claims, as in the sequential rule; a null resource claims nothing.
+
     A driver is ready when it is the first undecided one on all its resources, so ready drivers share
     none and no earlier driver can take anything from them; they are decided at once, and drop out
-    with what they claimed. Rounds follow the longest chain of contested drivers.
+    with what they claimed. Where that settles few, all are decided tentatively: a driver before which only
+    drivers come that claim nothing is final too, so contests without claims take one round.
+    greedy: what a driver claims are the best of its open resources whatever the others are, so it needs to be first
+    on those alone, and one that claims nothing never will.
+    alive(edges left) drops edges of drivers that can claim nothing any more. Rounds follow the longest chain of
+    drivers that wait for each other's claims.
     """
-    left, out = checkpointed(edges), None
-    for _ in range(max_rounds):
-        if not left.take(1):
-            break
-        first = left.groupBy("resource").agg(F.min("ord").alias("first"))
-        waiting = left.join(first, "resource").where("ord > first").select("driver").distinct()
-        ready = left.join(waiting, "driver", "left_anti")
-        claims = checkpointed(decide(ready))
+    keep = alive or (lambda df: df)
+    left, out, slow = materialize(keep(edges)), None, greedy
+    drivers = left.select("driver").distinct().count()
+    while drivers:
+        if slow:
+            told = materialize(decide(left))
+            named = told.where("resource is not null").select("driver", "resource")
+            if greedy:
+                first = left.groupBy("resource").agg(F.min("ord").alias("first"))
+                own = left.join(named, ["driver", "resource"], "left_semi").join(first, "resource")
+                beaten = own.where("ord > first").select("driver").distinct()
+                final = named.select("driver").distinct().join(beaten, "driver", "left_anti")
+                waiting = materialize(beaten)
+            else:
+                final, waiting = _settled(left, named.select("driver").distinct()), None
+            final = materialize(final)
+            claims = materialize(told.join(final, "driver", "left_semi"))
+            drop(told)
+        else:
+            final, waiting = materialize(_early(left, left.select("driver").distinct())), None
+            claims = materialize(decide(left.join(final, "driver", "left_semi")))
         out = claims if out is None else out.unionByName(claims)
-        left = checkpointed(left.join(ready.select("driver").distinct(), "driver", "left_anti").join(claims.select("resource").distinct(), "resource", "left_anti"))
-    else:
-        raise RuntimeError(f"claims did not settle in {max_rounds} rounds")
+        rest = left.join(waiting, "driver", "left_semi") if waiting is not None else left.join(final, "driver", "left_anti")
+        taken = claims.where("resource is not null").select("resource").distinct()
+        after = materialize(keep(rest.join(taken, "resource", "left_anti")))
+        drop(left)
+        drop(final)
+        left, before = after, drivers
+        drivers = left.select("driver").distinct().count()
+        slow = greedy or drivers > 0.5 * before
     return out if out is not None else decide(left)
 
 
-def numbered(df: DataFrame, *order: str, column: str = "position", per_bucket: int = 1_000_000) -> DataFrame:
+def numbered(df: DataFrame, *order: str, column: str = "position") -> DataFrame:
     """df with 1, 2, 3, ... in the given total order, without gathering the rows in one task.
 
     Rows are ranged over partitions by the order; each numbers its own, and adds how many rows the
     partitions before it hold.
     """
-    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     before = before.select("_p", F.expr("sum(_n) over (order by _p rows unbounded preceding) - _n").alias("_before"))
     within = F.expr(f"row_number() over (partition by _p order by {', '.join(order)})")
-    return ranged.withColumn("_i", within).join(F.broadcast(before), "_p").withColumn(column, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+    out = ranged.withColumn("_i", within).join(F.broadcast(before), "_p").withColumn(column, F.col("_before") + F.col("_i"))
+    return out.drop("_p", "_i", "_before")

@@ -2,21 +2,33 @@
 
 Each takes open pools (ledger, gateway, bank with normalized columns, see prepared()) and gives
 groups: driver, ord, ledger_ids, gateway_ids, bank_ids, amount_paise, variance_paise, milli
-(confidence in thousandths), exception_type, tier, forced (goes to review whatever its confidence).
+(confidence in thousandths), exception_type, tier, forced (goes to review whatever its confidence),
+rationale, evidence, and candidates where a choice is left open.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import Conf
-from ..functions import money, refs
+from ..functions import canonical, money, refs
+from ..scratch import drop
 from .blocking import band_join, date_band_join
 from .pools import checkpointed, resolve, unique_within
 
-GROUP = "driver string, ord string, ledger_ids array<string>, gateway_ids array<string>, bank_ids array<string>, amount_paise bigint, variance_paise bigint, milli int, exception_type string, tier string, forced boolean"
+EVIDENCE = "array<struct<label:string,detail:string,weight:double,record_ids:array<string>>>"
+CANDIDATE = (
+    "array<struct<candidate_id:string,ledger_ids:array<string>,gateway_ids:array<string>,bank_ids:array<string>,amount_paise:bigint,"
+    "variance_paise:bigint,gap_days:int,milli:int,reference:double,customer:double,note:string,exception_type:string>>"
+)
+GROUP = (
+    "driver string, ord string, ledger_ids array<string>, gateway_ids array<string>, bank_ids array<string>, amount_paise bigint, "
+    f"variance_paise bigint, milli int, exception_type string, tier string, forced boolean, rationale string, evidence {EVIDENCE}, candidates {CANDIDATE}"
+)
 
 
 def prepared(ledger: DataFrame, gateway: DataFrame, bank: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,13 +40,63 @@ def prepared(ledger: DataFrame, gateway: DataFrame, bank: DataFrame) -> tuple[Da
     )
 
 
-def group(driver: str, ledger: Column, gateway: Column, bank: Column, amount: Column, variance: Column, milli: Column, exception: Column, tier: str, forced: bool = False) -> list[Column]:
+def group(
+    driver: str, ledger: Column, gateway: Column, bank: Column, amount: Column, variance: Column, milli: Column, exception: Column, tier: str,
+    forced: bool = False, rationale: Column | str = "", evidence: Column | None = None, candidates: Column | None = None,
+) -> list[Column]:
+    """The columns of GROUP."""
+    why = F.lit(rationale) if isinstance(rationale, str) else rationale
     return [
-        F.col(driver).alias("driver"), F.col(driver).alias("ord"), ledger.alias("ledger_ids"), gateway.alias("gateway_ids"), bank.alias("bank_ids"), amount.cast("bigint").alias("amount_paise"),
-        variance.cast("bigint").alias("variance_paise"), milli.cast("int").alias("milli"), exception.cast("string").alias("exception_type"), F.lit(tier).alias("tier"), F.lit(forced).alias("forced"),
+        F.col(driver).alias("driver"), F.col(driver).alias("ord"), ledger.alias("ledger_ids"), gateway.alias("gateway_ids"),
+        bank.alias("bank_ids"), amount.cast("bigint").alias("amount_paise"), variance.cast("bigint").alias("variance_paise"),
+        milli.cast("int").alias("milli"), exception.cast("string").alias("exception_type"), F.lit(tier).alias("tier"),
+        F.lit(forced).alias("forced"), canonical.clip(why).alias("rationale"),
+        (F.array() if evidence is None else evidence).cast(EVIDENCE).alias("evidence"),
+        (F.array() if candidates is None else candidates).cast(CANDIDATE).alias("candidates"),
     ]
 
 
+def proof(label: Column | str, detail: Column, weight: Column | float, record_ids: Column) -> Column:
+    """One piece of evidence."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(label).alias("label"), detail.alias("detail"), lit(weight).cast("double").alias("weight"), record_ids.alias("record_ids"))
+
+
+def amount_proof(expected: Column, seen: Column, tolerance: int, record_ids: Column) -> Column:
+    """How far an amount is from the expected one."""
+    off = expected - seen
+    within = F.abs(off) <= tolerance
+    label = F.when(off == 0, "Amounts equal").when(within, "Amount within tolerance").otherwise("Amounts differ")
+    detail = F.when(off == 0, F.concat(F.lit("Both sides are "), money.format_inr(seen), F.lit("."))).otherwise(
+        F.concat(F.lit("Expected "), money.format_inr(expected), F.lit(", found "), money.format_inr(seen), F.lit(": "), money.format_variance(off), F.lit("."))
+    )
+    return proof(label, detail, F.when(off == 0, 1.0).when(within, 0.8).otherwise(0.2), record_ids)
+
+
+def date_proof(gap: Column, window: int, record_ids: Column) -> Column:
+    """How many days lie between payment and credit."""
+    detail = F.concat(gap.cast("string"), F.when(gap == 1, " day").otherwise(" days"), F.lit(f" apart; the window is {window} days."))
+    return proof(F.when(gap == 0, "Same day").otherwise("Days apart"), detail, F.when(gap <= window, 0.7).otherwise(0.2), record_ids)
+
+
+def reference_proof(rank: Column, wanted: Column, record_ids: Column) -> Column:
+    """How the bank line names what is expected, by the rank of refs.match_kind()."""
+    told = ("in full", "inside a longer word", "by its last six characters", "with two characters swapped")
+    how = F.lit("not at all")
+    for i, text in enumerate(told, 1):
+        how = F.when(rank == i, F.lit(text)).otherwise(how)
+    weight = F.when(rank == 1, 1.0).when(rank == 2, 0.9).when(rank == 3, 0.6).when(rank == 4, 0.45).otherwise(0.05)
+    label = F.when(rank <= 2, "Reference").when(rank <= 4, "Partial reference").otherwise("No reference")
+    return proof(label, F.concat(F.lit("The bank line names "), wanted, F.lit(" "), how, F.lit(".")), weight, record_ids)
+
+
+def fee_proof(fee: Column, amount: Column, method: Column, ok: Column, record_ids: Column) -> Column:
+    """Whether the fee is what the method costs."""
+    share = F.format_number(F.coalesce(money.fee_bps(fee, amount), F.lit(0)) / 100, 2)
+    detail = F.concat(F.lit("The fee is "), share, F.lit("% for "), F.coalesce(method, F.lit("no method")), F.lit("."))
+    return proof(F.when(ok, "Fee as expected").otherwise("Unusual fee"), detail, F.when(ok, 0.6).otherwise(0.15), record_ids)
+
+
 def ids(*columns: str) -> Column:
     return F.array(*columns).cast("array<string>")
 
@@ -75,17 +137,32 @@ def _single(edges: DataFrame) -> DataFrame:
 
 
 def exact(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
-    """Invoices with exactly one open payment by receipt, exact in all respects, and exactly one credit."""
-    pairs = checkpointed(exact_pairs(ledger, gateway, bank, conf).select("l_record_id", "g_record_id", "b_record_id", "l_gross_paise", "reversed"))
-    receipts = ledger.select(F.col("record_id").alias("driver"), "invoice_key").join(gateway.select(F.col("record_id").alias("resource"), F.col("receipt_key").alias("invoice_key")), "invoice_key")
-    receipts = receipts.join(pairs.select(F.col("l_record_id").alias("driver")).distinct(), "driver", "left_semi")
-    edges = receipts.select("driver", F.col("driver").alias("ord"), "resource", F.lit("g").alias("kind"), F.lit(False).alias("reversed")).unionByName(
-        pairs.select(F.col("l_record_id").alias("driver"), F.col("l_record_id").alias("ord"), F.col("b_record_id").alias("resource"), F.lit("b").alias("kind"), "reversed").distinct()
+    """Invoices with exactly one open payment by receipt, exact in all respects, and exactly one credit.
+
+    A receipt with two open payments never comes down to one, as only invoices of that receipt could take one of them.
+    """
+    payments = unique_within(gateway, "receipt_key")
+    pairs = exact_pairs(ledger, payments, bank, conf)
+    pairs = checkpointed(pairs.select("l_record_id", "g_record_id", "b_record_id", "l_gross_paise", "l_invoice_no", "g_settlement_id", "g_paid_on", "b_value_date", "kind", "reversed"))
+    driver = [F.col("l_record_id").alias("driver"), F.col("l_record_id").alias("ord")]
+    edges = pairs.select(*driver, F.col("g_record_id").alias("resource"), F.lit("g").alias("kind"), F.lit(False).alias("reversed")).distinct()
+    edges = edges.unionByName(pairs.select(*driver, F.col("b_record_id").alias("resource"), F.lit("b").alias("kind"), "reversed").distinct())
+
+    def alive(left: DataFrame) -> DataFrame:
+        both = left.groupBy("driver").agg(F.count_distinct("kind").alias("n")).where("n = 2")
+        return left.join(both, "driver", "left_semi")
+
+    won = resolve(edges, _single, alive=alive).groupBy("driver").agg(
+        F.max(F.when(F.col("kind") == "g", F.col("resource"))).alias("g"), F.max(F.when(F.col("kind") == "b", F.col("resource"))).alias("b")
     )
-    won = resolve(edges, _single).groupBy("driver").agg(F.max(F.when(F.col("kind") == "g", F.col("resource"))).alias("g"), F.max(F.when(F.col("kind") == "b", F.col("resource"))).alias("b"))
-    amounts = pairs.select(F.col("l_record_id").alias("driver"), F.col("g_record_id").alias("g"), F.col("b_record_id").alias("b"), "l_gross_paise")
-    out = won.join(amounts, ["driver", "g", "b"])
-    return out.select(*group("driver", ids("driver"), ids("g"), ids("b"), F.col("l_gross_paise"), F.lit(0), F.lit(1000), F.lit(None), "exact"))
+    out = won.join(pairs.withColumnsRenamed({"l_record_id": "driver", "g_record_id": "g", "b_record_id": "b"}).drop("reversed"), ["driver", "g", "b"])
+    why = F.concat(F.lit("Invoice "), F.col("l_invoice_no"), F.lit(", its payment and its credit agree in reference, amount and dates."))
+    evidence = F.array(
+        proof("Receipt", F.concat(F.lit("The payment's receipt is "), F.col("l_invoice_no"), F.lit(".")), 1.0, ids("driver", "g")),
+        reference_proof(F.col("kind"), F.coalesce("g_settlement_id", "l_invoice_no"), ids("b")), amount_proof(F.col("l_gross_paise"), F.col("l_gross_paise"), conf.amount_tolerance_paise, ids("driver", "g")),
+        date_proof(refs.days_apart(F.col("g_paid_on"), F.col("b_value_date")), conf.date_window_days, ids("g", "b")),
+    )
+    return out.select(*group("driver", ids("driver"), ids("g"), ids("b"), F.col("l_gross_paise"), F.lit(0), F.lit(1000), F.lit(None), "exact", rationale=why, evidence=evidence))
 
 
 def payment_of(ledger: DataFrame, gateway: DataFrame) -> DataFrame:
@@ -115,7 +192,9 @@ def tolerant_scored(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf
         F.when(F.col("rank") == 5, "NARRATION_UNPARSEABLE").when(F.col("gap") > conf.date_window_days, "TIMING_LAG")
         .when(~F.col("fee_ok"), "FEE_DISCREPANCY").when(F.col("g_refund_paise") > 0, "REFUND_OFFSET")
     )
-    return near.select("l_record_id", "g_record_id", "b_record_id", "l_gross_paise", "variance", "gap", F.col("b_amount_paise").alias("credit_paise"), (F.lit(980) - less).alias("milli"), why.alias("exception"))
+    kept = ["l_record_id", "g_record_id", "b_record_id", "l_gross_paise", "l_invoice_no", "l_customer_name", "variance", "gap", "rank", "fee_ok", "name"]
+    kept += ["g_fee_paise", "g_amount_paise", "g_method", F.coalesce("g_settlement_id", "l_invoice_no").alias("wanted")]
+    return near.select(*kept, F.col("b_amount_paise").alias("credit_paise"), (F.lit(980) - less).alias("milli"), why.alias("exception"))
 
 
 def tolerant(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
@@ -131,13 +210,30 @@ def tolerant(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf)
     edges = edges.unionByName(scored.select(*keep, F.col("g_record_id").alias("resource"), "g_record_id", F.lit(None).cast("int").alias("milli"), F.lit(None).cast("bigint").alias("credit_paise")).distinct())
 
     def decide(ready: DataFrame) -> DataFrame:
-        best = ready.groupBy("driver").agg(F.min(F.when(F.col("milli").isNotNull(), F.struct((-F.col("milli")).alias("m"), "credit_paise", "resource"))).alias("x"), F.max(F.when(F.col("milli").isNull(), F.col("resource"))).alias("g"))
+        best = ready.groupBy("driver").agg(
+            F.min(F.when(F.col("milli").isNotNull(), F.struct((-F.col("milli")).alias("m"), "credit_paise", "resource"))).alias("x"),
+            F.max(F.when(F.col("milli").isNull(), F.col("resource"))).alias("g"),
+        )
         best = best.where("x is not null and g is not null")
         return best.select("driver", F.explode(F.array(F.col("x.resource"), F.col("g"))).alias("resource"), F.col("x.resource").alias("b"), "g")
 
-    won = resolve(edges, decide).select("driver", "b", "g").distinct()
-    out = won.join(scored.select(F.col("l_record_id").alias("driver"), F.col("g_record_id").alias("g"), F.col("b_record_id").alias("b"), "l_gross_paise", "variance", "milli", "exception"), ["driver", "g", "b"])
-    return out.select(*group("driver", ids("driver"), ids("g"), ids("b"), F.col("l_gross_paise"), F.col("variance"), F.col("milli"), F.col("exception"), "tolerant"))
+    won = resolve(edges, decide, greedy=True).select("driver", "b", "g").distinct()
+    out = won.join(scored.withColumnsRenamed({"l_record_id": "driver", "g_record_id": "g", "b_record_id": "b"}), ["driver", "g", "b"])
+    near = F.filter(
+        F.array(
+            F.when(F.col("rank") < 5, F.lit("a reference")), F.when(F.col("variance") == 0, F.lit("the amount")), F.when(F.col("gap") == 0, F.lit("the day"))
+        ),
+        lambda x: x.isNotNull(),
+    )
+    said = F.when(F.size(near) > 0, F.array_join(near, ", ")).otherwise(F.lit("size and time"))
+    why = F.concat(F.lit("Best credit for invoice "), F.col("l_invoice_no"), F.lit(": it agrees in "), said, F.lit("."))
+    name = proof("Customer", F.concat(F.lit("The bank line shares words with "), F.col("l_customer_name"), F.lit(".")), F.col("name"), ids("driver"))
+    evidence = F.array(
+        reference_proof(F.col("rank"), F.col("wanted"), ids("b")), amount_proof(F.col("credit_paise") + F.col("variance"), F.col("credit_paise"), conf.amount_tolerance_paise, ids("g", "b")),
+        date_proof(F.col("gap"), conf.date_window_days, ids("g", "b")), fee_proof(F.col("g_fee_paise"), F.col("g_amount_paise"), F.col("g_method"), F.col("fee_ok"), ids("g")),
+    )
+    evidence = F.when(F.col("name") >= 0.4, F.concat(evidence, F.array(name))).otherwise(evidence)
+    return out.select(*group("driver", ids("driver"), ids("g"), ids("b"), F.col("l_gross_paise"), F.col("variance"), F.col("milli"), F.col("exception"), "tolerant", rationale=why, evidence=evidence))
 
 
 def settlement_batches(gateway: DataFrame) -> DataFrame:
@@ -157,31 +253,71 @@ def batch_fits(gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
 
 
 def batches(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
-    """Credits that carry one whole settlement; a credit that several could make up stays open to choice."""
-    found = checkpointed(batch_fits(gateway, bank, conf).select(F.col("record_id").alias("driver"), F.col("record_id").alias("ord"), F.col("settlement_id").alias("resource"), F.col("amount_paise").alias("credit"), "total_paise", "gross_paise", "members", "n", "refunded", "hinted"))
+    """Credits that carry one whole settlement, with the first open invoice of each of its payments' receipts; a credit that
+    several settlements could make up stays open to choice, with each of them as a candidate."""
+    fits = batch_fits(gateway, bank, conf)
+    fits = checkpointed(fits.select(F.col("record_id").alias("driver"), "settlement_id", F.col("amount_paise").alias("credit"), "total_paise", "gross_paise", "members", "n", "refunded", "hinted"))
+    # settlements and invoices are claimed alike; an invoice may be wanted by two settlements
+    named = fits.select("driver", "settlement_id", F.explode("members").alias("g")).join(gateway.select(F.col("record_id").alias("g"), "receipt"), "g")
+    wanted = named.where("receipt is not null").select("driver", "settlement_id", "receipt").distinct()
+    wanted = wanted.join(ledger.select(F.col("invoice_no").alias("receipt"), F.col("record_id").alias("l")), "receipt")
+    none = F.lit(None).cast("string")
+    driver = [F.col("driver"), F.col("driver").alias("ord")]
+    edges = fits.select(*driver, F.concat(F.lit("s "), "settlement_id").alias("resource"), "settlement_id", none.alias("receipt"), none.alias("l"), "hinted", "n")
+    edges = edges.unionByName(
+        wanted.select(*driver, F.concat(F.lit("l "), "l").alias("resource"), "settlement_id", "receipt", "l", F.lit(False).alias("hinted"), F.lit(0).cast("bigint").alias("n"))
+    )
 
     def decide(ready: DataFrame) -> DataFrame:
-        tally = ready.groupBy("driver").agg(F.count_if("hinted").alias("hints"), F.count(F.lit(1)).alias("fits"))
-        chosen = ready.join(tally, "driver").where((F.col("hints") != 1) | F.col("hinted"))
-        one = F.when(F.col("hints") == 1, F.lit(1)).otherwise(F.col("fits"))
-        chosen = chosen.withColumn("chosen", one)
+        fit = ready.where("l is null")
+        tally = fit.groupBy("driver").agg(F.count_if("hinted").alias("hints"), F.count(F.lit(1)).alias("fits"))
+        chosen = fit.join(tally, "driver").where((F.col("hints") != 1) | F.col("hinted"))
+        chosen = chosen.withColumn("chosen", F.when(F.col("hints") == 1, F.lit(1)).otherwise(F.col("fits")))
         # a batch too large to take, and one that is not the only choice, stays in the pool
         taken = (F.col("chosen") == 1) & (F.col("n") <= conf.batch_limit)
-        kept = chosen.where(taken | (F.col("chosen") > 1))
-        return kept.select("driver", F.when(taken, F.col("resource")).alias("resource"), "chosen", "credit", "total_paise", "gross_paise", "members", "refunded", "hinted")
-
-    won = checkpointed(resolve(found, decide))
-    invoices = won.where("chosen = 1").select("driver", F.explode("members").alias("g")).join(gateway.select(F.col("record_id").alias("g"), "receipt"), "g")
-    first = ledger.groupBy(F.col("invoice_no").alias("receipt")).agg(F.min("record_id").alias("l"))
-    invoices = invoices.join(first, "receipt").groupBy("driver").agg(F.array_sort(F.collect_list("l")).alias("ledger"))
-    single = won.where("chosen = 1").join(invoices, "driver", "left")
-    out = single.select(*group("driver", F.coalesce("ledger", no_ids()), F.col("members"), ids("driver"), F.col("gross_paise"), F.col("credit") - F.col("total_paise"), F.when(F.col("hinted"), 950).otherwise(780), F.when(F.col("refunded"), "REFUND_OFFSET").otherwise("MERGED_PAYMENT"), "combinatorial"))
-    open_ = won.where("chosen > 1").groupBy("driver").agg(F.first("credit").alias("credit"))
-    return out.unionByName(open_.select(*group("driver", no_ids(), no_ids(), ids("driver"), F.col("credit"), F.lit(0), F.lit(450), F.lit("MERGED_PAYMENT"), "unmatched", True)))
+        kept = chosen.where(taken | (F.col("chosen") > 1)).select("driver", F.when(taken, F.col("resource")).alias("resource"), "settlement_id", none.alias("l"), none.alias("receipt"), "chosen")
+        first = ready.where("l is not null").groupBy("driver", "settlement_id", "receipt").agg(F.min("l").alias("l"))
+        bills = first.join(kept.where("chosen = 1").select("driver", "settlement_id"), ["driver", "settlement_id"])
+        return kept.unionByName(bills.select("driver", F.concat(F.lit("l "), "l").alias("resource"), "settlement_id", "l", "receipt", F.lit(0).cast("bigint").alias("chosen")))
+
+    def alive(left: DataFrame) -> DataFrame:
+        return left.join(left.where("l is null").select("driver").distinct(), "driver", "left_semi")
+
+    won = checkpointed(resolve(edges, decide, alive=alive))
+    of = named.join(won.where("l is not null").select("driver", "settlement_id", "receipt", "l"), ["driver", "settlement_id", "receipt"])
+    bills = of.groupBy("driver").agg(F.array_sort(F.collect_list("l")).alias("ledger"))  # an invoice paid twice in a batch shows twice
+    single = won.where("chosen = 1").select("driver", "settlement_id").join(fits, ["driver", "settlement_id"]).join(bills, "driver", "left")
+    variance = F.col("credit") - F.col("total_paise")
+    why = F.concat(F.lit("Settlement "), F.col("settlement_id"), F.lit(" of "), F.col("n").cast("string"), F.lit(" payments sums to this credit."))
+    evidence = F.array(
+        proof("Whole settlement", F.concat(F.col("n").cast("string"), F.lit(" payments, "), money.format_inr(F.col("total_paise")), F.lit(" in all.")), 0.85, F.col("members")),
+        amount_proof(F.col("total_paise"), F.col("credit"), conf.amount_tolerance_paise, ids("driver")),
+    )
+    named_it = proof("Reference", F.concat(F.lit("The bank line names "), F.col("settlement_id"), F.lit(".")), 1.0, ids("driver"))
+    evidence = F.when(F.col("hinted"), F.concat(evidence, F.array(named_it))).otherwise(evidence)
+    out = single.select(
+        *group(
+            "driver", F.coalesce("ledger", no_ids()), F.col("members"), ids("driver"), F.col("gross_paise"), variance, F.when(F.col("hinted"), 950).otherwise(780),
+            F.when(F.col("refunded"), "REFUND_OFFSET").otherwise("MERGED_PAYMENT"), "combinatorial", rationale=why, evidence=evidence,
+        )
+    )
+    open_ = won.where("chosen > 1").select("driver", "settlement_id").join(fits, ["driver", "settlement_id"])
+    choice = F.struct(
+        F.concat(F.lit("CND-"), "driver", F.lit("-"), "settlement_id").alias("candidate_id"), no_ids().alias("ledger_ids"), F.col("members").alias("gateway_ids"), ids("driver").alias("bank_ids"),
+        F.col("total_paise").alias("amount_paise"), variance.alias("variance_paise"), F.lit(0).alias("gap_days"), F.lit(500).alias("milli"), F.when(F.col("hinted"), 0.8).otherwise(0.2).alias("reference"),
+        F.lit(0.0).alias("customer"), F.lit("its payments sum to the credit, and so do others").alias("note"), F.lit("MERGED_PAYMENT").alias("exception_type"),
+    )
+    open_ = open_.groupBy("driver").agg(F.first("credit").alias("credit"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("settlement_id", choice.alias("c")))).alias("all"))
+    many = F.concat(F.col("n").cast("string"), F.lit(" settlements sum to "), money.format_inr(F.col("credit")), F.lit("."))
+    rows = group(
+        "driver", no_ids(), no_ids(), ids("driver"), F.col("credit"), F.lit(0), F.lit(450), F.lit("MERGED_PAYMENT"), "unmatched", True,
+        rationale="Several settlements sum to this credit; none is chosen.", evidence=F.array(proof("Several settlements", many, 0.3, ids("driver"))), candidates=F.col("all.c"),
+    )
+    return out.unionByName(open_.select(*rows))
 
 
-def find_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most: int, solutions: int = 2, budget: int = 250_000) -> list[tuple[list[str], int]]:
-    """Sets of at most `most` items that sum to target within tolerance, as (sorted ids, total).
+def search_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most: int, solutions: int = 2, budget: int = 250_000) -> tuple[list[tuple[list[str], int]], bool]:
+    """Sets of at most `most` items that sum to target within tolerance, as (sorted ids, total); and whether all were looked at.
 
     Larger values are tried first, of equal ones the smaller id. A set that fits is not extended.
     Stops at `solutions` sets, or once `budget` partial sets were looked at.
@@ -191,13 +327,13 @@ def find_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most
     for i in range(len(order) - 1, -1, -1):
         rest[i] = rest[i + 1] + order[i][1]
     found: list[tuple[list[str], int]] = []
-    seen = looked = 0
+    looked = 0
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, 0, ())]
     while stack and len(found) < solutions:
         at, total, chosen = stack.pop()
         looked += 1
         if looked > budget:
-            break
+            return found, False
         if chosen and abs(total - target) <= tolerance:
             found.append((sorted(order[i][0] for i in chosen), total))
             continue
@@ -205,72 +341,116 @@ def find_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most
             continue
         # pushed last to first, so that the first is looked at next
         stack += [(i + 1, total + order[i][1], (*chosen, i)) for i in range(len(order) - 1, at - 1, -1) if total + order[i][1] <= target + tolerance]
-    return found
+    return found, True
+
+
+def find_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most: int, **limits: int) -> list[tuple[list[str], int]]:
+    """The sets alone that search_subsets() finds."""
+    return search_subsets(items, target, tolerance, most, **limits)[0]
 
 
 def split_payments(ledger: DataFrame, gateway: DataFrame) -> DataFrame:
     """Invoices with two open payments or more under their very number: the payments, and sums over them."""
-    paid = ledger.select(F.col("record_id").alias("driver"), "invoice_no", "gross_paise").join(gateway.select(F.col("receipt").alias("invoice_no"), F.col("record_id").alias("g"), "net_paise", "paid_on", "settlement_id", "order_id"), "invoice_no")
-    many = paid.groupBy("driver").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("target")).where("n >= 2")
+    payments = gateway.select(F.col("receipt").alias("invoice_no"), F.col("record_id").alias("g"), "net_paise", "paid_on", "settlement_id", "order_id")
+    paid = ledger.select(F.col("record_id").alias("driver"), "invoice_no", "gross_paise").join(payments, "invoice_no")
+    many = paid.groupBy("driver").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("target"), F.collect_set("paid_on").alias("days"))
+    many = many.where("n >= 2")
     return paid.join(many, "driver")
 
 
+FOUND = "driver string, bank_ids array<string>, total bigint, ways int, whole boolean"
+
+
+def _direct(named: DataFrame) -> DataFrame:
+    """(driver, chosen): what each part takes in turn, the first credit that fits it and no part before it took."""
+    parts = named.groupBy("driver", "g").agg(F.array_sort(F.collect_list("b")).alias("fits"))
+    each = parts.groupBy("driver").agg(F.array_sort(F.collect_list(F.struct("g", "fits"))).alias("parts"))
+    take = lambda done, part: F.concat(done, F.slice(F.array_except(part["fits"], done), 1, 1))
+    return each.select("driver", F.aggregate("parts", no_ids(), take).alias("chosen"))
+
+
 def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
     """Invoices paid in parts: by a credit for each part that names it, else by a set of credits of the right sum.
 
-    Candidates are the credits within the window of any part. Each part takes, in order, the first
-    credit of its net amount that names it; if one part finds none, the sets are searched. Invoices
-    are grouped by shared candidates before the search, so one task sees every rival of an invoice.
+    In the order of invoices: each part takes, in order, the first open credit of its net amount, near its day, that names
+    it; if one part finds none, sets of the open credits near any part are searched. The parts of an invoice number are
+    taken by its first invoice that succeeds.
+
+    All open invoices are told at once, round by round. One whose parts all find a credit needs to be first only on what it
+    takes. The others meet the credits of their window that are no larger than what is to be found, and wait for the
+    invoices before them on any of those; their sets are searched in parallel, one row an invoice.
     """
+    window, tolerance = conf.date_window_days + 3, conf.amount_tolerance_paise
     parts = checkpointed(split_payments(ledger, gateway))
-    if not parts.take(1):
-        return ledger.sparkSession.createDataFrame([], GROUP)
     credits = bank.where("direction = 'credit'").select(F.col("record_id").alias("b"), "value_date", F.col("amount_paise").alias("credit"), "keys")
-    named = parts.join(credits, F.col("credit") == F.col("net_paise")).where(refs.days_apart(F.col("paid_on"), F.col("value_date")) <= conf.date_window_days + 3)
+    near = F.exists("days", lambda d: refs.days_apart(d, F.col("value_date")) <= window)  # near any part
+    named = parts.join(credits, F.col("credit") == F.col("net_paise")).where(near)
     named = named.where(refs.match_kind(F.col("keys"), F.array("invoice_no", "settlement_id", "order_id")) <= 4)
-    direct = named.groupBy("driver", "g").agg(F.array_sort(F.collect_list("b")).alias("fits"))
-    told = parts.join(direct, ["driver", "g"], "left")
-    # an invoice whose parts all have a named credit meets only rivals for those; the others see the whole window
-    full = told.groupBy("driver").agg(F.min(F.col("fits").isNotNull()).alias("all_named"))
-    narrow = named.join(full.where("all_named"), "driver", "left_semi").select("driver", "b")
-    wide = date_band_join(parts.join(full.where("not all_named"), "driver", "left_semi").select("driver", "paid_on"), credits.select("b", "value_date"), "paid_on", "value_date", conf.date_window_days + 3).select("driver", "b")
-    pool = narrow.unionByName(wide).distinct().join(credits.select("b", "credit"), "b").groupBy("driver").agg(F.array_sort(F.collect_list(F.struct("b", "credit"))).alias("pool"))
-    jobs = told.groupBy("driver", "gross_paise", "target", "n").agg(F.array_sort(F.collect_list(F.struct("g", "net_paise", "fits"))).alias("parts")).join(pool, "driver", "left")
-    links = _rivals(jobs)
-    tolerance = conf.amount_tolerance_paise
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: set[str] = set()
-        rows = []
-        for r in frame.sort_values("driver").itertuples():
-            open_ = [(x["b"], int(x["credit"])) for x in (r.pool if r.pool is not None else []) if x["b"] not in gone]
-            amounts, chosen = dict(open_), []
-            for p in r.parts:
-                hit = next((b for b in (p["fits"] if p["fits"] is not None else []) if b in amounts and b not in chosen), None)
-                if hit:
-                    chosen.append(hit)
-            if len(chosen) == len(r.parts):
-                sets = [(sorted(chosen), sum(amounts[b] for b in chosen))]
-            else:
-                sets = find_subsets(open_, int(r.target), tolerance * int(r.n), max(int(r.n), 3))
-            if not sets:
-                continue
-            gone |= set(sets[0][0])
-            rows.append((r.driver, r.driver, [r.driver], [p["g"] for p in r.parts], sets[0][0], r.gross_paise, int(r.target) - sets[0][1], 450 if len(sets) > 1 else 950, "SPLIT_PAYMENT", "combinatorial", False))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in GROUP.split(", ")])
-
-    return jobs.join(links, "driver").groupBy("component").applyInPandas(settle, GROUP)
-
-
-def _rivals(jobs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(driver, component): drivers that share a candidate, directly or through others, by spreading the least name."""
-    edges = checkpointed(jobs.select("driver", F.explode(F.transform(F.coalesce("pool", F.array().cast("array<struct<b:string,credit:bigint>>")), lambda x: x["b"])).alias("b")))
-    label = jobs.select("driver", F.col("driver").alias("component"))
-    for _ in range(max_rounds):
-        least = edges.join(label, "driver").groupBy("b").agg(F.min("component").alias("c"))
-        reach = edges.join(least, "b").groupBy("driver").agg(F.min("c").alias("c"))
-        after = checkpointed(label.join(reach, "driver", "left").select("driver", F.coalesce("c", "component").alias("component"), (F.coalesce("c", "component") < F.col("component")).alias("moved")))
-        label = after.select("driver", "component")
-        if not after.where("moved").take(1):
-            return label
-    raise RuntimeError("rivals did not settle")
+    named = checkpointed(named.select("driver", "invoice_no", "g", "b", "credit"))
+    jobs = checkpointed(parts.groupBy("driver", "invoice_no", "gross_paise", "target", "n").agg(F.array_sort(F.collect_list("g")).alias("parts")))
+    left, met, out = jobs, None, None
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                sets, whole = search_subsets([(x["b"], int(x["credit"])) for x in r.pool], int(r.target), tolerance * int(r.n), max(int(r.n), 3))
+                rows.append((r.driver, *(sets[0] if sets else (None, None)), len(sets), whole))
+            yield pd.DataFrame(rows, columns=["driver", "bank_ids", "total", "ways", "whole"])
+
+    while left.take(1):
+        told = _direct(named).join(left.select("driver", "n"), "driver").where(F.size("chosen") == F.col("n")).select("driver", "chosen")
+        told = checkpointed(told)
+        wide = left.join(told, "driver", "left_anti").select("driver", "target", "n")
+        fresh = wide if met is None else wide.join(met.select("driver").distinct(), "driver", "left_anti")
+        if fresh.take(1):
+            days = parts.select("driver", "paid_on").join(fresh, "driver").join(left.select("driver"), "driver", "left_semi")
+            near = date_band_join(days, credits.drop("keys"), "paid_on", "value_date", window).where(F.col("credit") <= F.col("target") + tolerance * F.col("n"))
+            if out is not None:
+                near = near.join(out.select(F.explode("bank_ids").alias("b")), "b", "left_anti")
+            # an invoice with no credit to meet is known by an edge of its own
+            near = near.select("driver", "b", "credit").unionByName(fresh.select("driver", F.concat(F.lit(" "), "driver").alias("b"), F.lit(None).cast("bigint").alias("credit")))
+            met = checkpointed(near.distinct() if met is None else near.distinct().unionByName(met))
+        same = left.select("driver", F.concat(F.lit("no "), "invoice_no").alias("b"))
+        edges = named.select("driver", "b").unionByName(same)
+        if met is not None:
+            edges = edges.unionByName(met.select("driver", "b"))
+        edges = checkpointed(edges.join(left.select("driver"), "driver", "left_semi").distinct())
+        first = edges.groupBy("b").agg(F.min("driver").alias("first"))
+        beaten = lambda own: own.join(first, "b").where("driver > first").select("driver").distinct()
+        takes = told.select("driver", F.explode("chosen").alias("b")).unionByName(same.join(told, "driver", "left_semi"))
+        ready = told.join(beaten(takes), "driver", "left_anti")
+        sums = ready.select("driver", F.explode("chosen").alias("b")).join(credits.select("b", "credit"), "b").groupBy("driver").agg(F.array_sort(F.collect_list("b")).alias("bank_ids"), F.sum("credit").alias("total"))
+        found = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.lit(True).alias("whole"))
+        if met is not None:
+            free = wide.join(beaten(edges.join(wide, "driver", "left_semi")), "driver", "left_anti")
+            pool = met.where("credit is not null").groupBy("driver").agg(F.collect_list(F.struct("b", "credit")).alias("pool"))
+            none = F.array().cast("array<struct<b:string,credit:bigint>>")
+            tried = free.join(pool, "driver", "left").select("driver", "target", "n", F.coalesce("pool", none).alias("pool"))
+            found = found.unionByName(tried.mapInPandas(search, FOUND))
+        found = checkpointed(found)
+        good = found.where("ways > 0")
+        out = good if out is None else out.unionByName(good)
+        # invoices that took, failed for good, or lost their parts to one of the same number are done
+        numbers = left.join(good.select("driver"), "driver", "left_semi").select("invoice_no").distinct()
+        after = checkpointed(left.join(found.select("driver"), "driver", "left_anti").join(numbers, "invoice_no", "left_anti"))
+        gone = good.select(F.explode("bank_ids").alias("b")).distinct()
+        rest = checkpointed(named.join(gone, "b", "left_anti"))
+        if met is not None:
+            met = checkpointed(met.join(gone, "b", "left_anti"))
+        for old in (told, edges, named):
+            drop(old)
+        left, named = after, rest
+    if out is None:
+        return ledger.sparkSession.createDataFrame([], GROUP)
+    full = out.join(jobs, "driver")
+    more = F.when(F.col("whole"), F.lit("")).otherwise(F.lit(" The search stopped at its budget."))
+    why = F.concat(F.lit("Invoice "), F.col("invoice_no"), F.lit(" was paid in "), F.col("n").cast("string"), F.lit(" parts by "), F.size("bank_ids").cast("string"), F.lit(" credits."), more)
+    detail = F.concat(F.lit("Credits of "), money.format_inr(F.col("total")), F.lit(" for payments of "), money.format_inr(F.col("target")), F.lit(" net."))
+    evidence = F.array(proof("Parts add up", detail, 0.8, F.concat("parts", "bank_ids")))
+    return full.select(
+        *group(
+            "driver", ids("driver"), F.col("parts"), F.col("bank_ids"), F.col("gross_paise"), F.col("target") - F.col("total"), F.when(F.col("ways") > 1, 450).otherwise(950),
+            F.lit("SPLIT_PAYMENT"), "combinatorial", rationale=why, evidence=evidence,
+        )
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.types import LongType
 
 from ..conf import TAXONOMY, Conf
 from ..functions import canonical, money, refs
-from ..operators import adjudicate, blocking, candidates, evaluate, pools, residual, stages, views
+from ..operators import adjudicate, blocking, candidates, evaluate, pools, residual, stages, statement, views
 from ..sources import ingest
 from . import engine, harness
 from .harness import oracle, view
@@ -139,10 +141,10 @@ _SIM = """case when x = y then 1.0 when contains(x, y) or contains(y, x) then 0.
 
 
 @query(oracle(f"""select a, b, cast({_SIM} as double) as similarity from (select *, case when x = y then 0 when abs(length(x) - length(y)) > 4 or (select min(levenshtein(x, substr(y, 1, n))) from (select unnest(range(0, cast(length(y) as bigint) + 1)) as n)) > 4 then 5 else levenshtein(x, y) end as d
-  from (select l.record_id as a, r.record_id as b, {_NORM.format('l.invoice_no')} as x, {_NORM.format('r.invoice_no')} as y from ledger l join ledger r on r.k = l.k + 7 where l.k % 5 = 0))"""))
+  from (select l.record_id as a, r.record_id as b, {_NORM.format('l.invoice_no')} as x, {_NORM.format('r.invoice_no')} as y from ledger l join ledger r on r.k = l.k + 7))"""))
 def ref_similarity(spark, sf_dir):
     l = view(spark, sf_dir, "ledger")
-    a, b = l.where("k % 5 = 0").select(C("record_id").alias("a"), C("invoice_no").alias("x"), (C("k") + 7).alias("k")), l.select(C("record_id").alias("b"), C("invoice_no").alias("y"), "k")
+    a, b = l.select(C("record_id").alias("a"), C("invoice_no").alias("x"), (C("k") + 7).alias("k")), l.select(C("record_id").alias("b"), C("invoice_no").alias("y"), "k")
     return a.join(b, "k").select("a", "b", refs.reference_similarity(C("x"), C("y")).alias("similarity"))
 
 
@@ -224,12 +226,18 @@ def duplicate_report(spark, sf_dir):
     return report.select("source", F.array_join("ids", ", ").alias("ids"))
 
 
-@query(oracle(f"""select count(*) filter (ok) as readable, count(*) as lines, cast(count(*) filter (ok) / count(*) as double) as legibility from (select record_id, record_id in (select record_id from keys join known on key = target or contains(target, key) or contains(key, target)) as ok from bank)""",
-  _TOKEN_CTE, _KEY_CTE, f"known as (select distinct {_NORM.format('x')} as target from (select invoice_no as x from ledger where k % 20 < 3 union all select settlement_id from gateway where k % 20 < 3 union all select order_id from gateway where k % 20 < 3 union all select payment_id from gateway where k % 20 < 3))"))
+_KNOWN = f"""known as (select distinct {_NORM.format('x')} as target from (
+  select invoice_no as x from ledger union all select settlement_id from gateway union all select order_id from gateway union all select payment_id from gateway)),
+kd as (select distinct key from keys),
+met as (select key from kd join (select distinct target, substr(target, i, 6) as six from known, unnest(range(1, cast(length(target) - 4 as bigint))) t(i)) on right(key, 6) = six where length(key) >= 6 and contains(target, key)
+  union select key from (select distinct key, substr(key, i, 6) as six from kd, unnest(range(1, cast(greatest(length(key) - 4, 1) as bigint))) t(i)) join known on right(target, 6) = six where contains(key, target))"""
+
+
+@query(oracle("""select count(*) filter (ok) as readable, count(*) as lines, cast(count(*) filter (ok) / count(*) as double) as legibility
+  from (select record_id, record_id in (select record_id from keys join met using (key)) as ok from bank)""", _TOKEN_CTE, _KEY_CTE, _KNOWN))
 def legibility(spark, sf_dir):
-    """How much of the statement names a record of a part of the ledger and its payments."""
-    l, g, b = _prepared(spark, sf_dir)
-    return engine.legibility(l.where("k % 20 < 3"), g.where("k % 20 < 3"), b)
+    """How much of the statement names a record of the ledger or its payments."""
+    return engine.legibility(*_prepared(spark, sf_dir))
 
 
 # --- joins --------------------------------------------------------------------------------------
@@ -273,10 +281,10 @@ def band_join(spark, sf_dir):
     return near.select("g", "b", (C("net_paise") - C("amount_paise")).alias("variance"))
 
 
-@query(oracle("select l.record_id as l, b.record_id as b from ledger l join bank b on abs(b.value_date - l.issue_date) <= 2 where l.k % 50 = 0 and b.direction = 'debit'"))
+@query(oracle("select l.record_id as l, b.record_id as b from ledger l join bank b on abs(b.value_date - l.issue_date) <= 2 where b.direction = 'debit'"))
 def date_band_join(spark, sf_dir):
     l, _, b = harness.sources(spark, sf_dir)
-    return blocking.date_band_join(l.where("k % 50 = 0").select(C("record_id").alias("l"), "issue_date"), b.where("direction = 'debit'").select(C("record_id").alias("b"), "value_date"), "issue_date", "value_date", 2).select("l", "b")
+    return blocking.date_band_join(l.select(C("record_id").alias("l"), "issue_date"), b.where("direction = 'debit'").select(C("record_id").alias("b"), "value_date"), "issue_date", "value_date", 2).select("l", "b")
 
 
 @query(oracle("select c.record_id from bank c where c.direction = 'credit' and not exists (select 1 from bank d where d.direction = 'debit' and d.amount_paise = c.amount_paise)"))
@@ -425,7 +433,7 @@ def split_match(spark, sf_dir):
 
 @query(oracle("select record_id, amount_paise, 'CHARGEBACK_DEBIT' as exception_type, cast(600 as integer) as milli from bank where direction = 'debit'"))
 def residual_chargebacks(spark, sf_dir):
-    return residual.chargebacks(view(spark, sf_dir, "bank")).select(C("driver").alias("record_id"), "amount_paise", "exception_type", "milli")
+    return residual.chargebacks(view(spark, sf_dir, "bank"), view(spark, sf_dir, "gateway")).select(C("driver").alias("record_id"), "amount_paise", "exception_type", "milli")
 
 
 @query(oracle("""select one.l, one.g, case when count(b.record_id) > 0 then 'NARRATION_UNPARSEABLE' else 'MISSING_IN_BANK' end as exception_type, g.net_paise as variance_paise, cast(floor(case when count(b.record_id) > 0 then 180 else 920 end * 0.5 + 0.5) as integer) as milli, cast(least(count(b.record_id), 5) as integer) as shown
@@ -443,23 +451,39 @@ def residual_credits(spark, sf_dir):
     return residual.credits_left(l, b, 1.0).select("driver", F.array_join("ledger_ids", " ").alias("ledger_ids"), "amount_paise", "variance_paise", "milli", "exception_type")
 
 
-@query(oracle("""select record_id, 'UNMATCHED_RESIDUAL' as exception_type, gross_paise as variance_paise, cast(300 as integer) as milli from ledger where k % 7 = 0 union all select record_id, 'MISSING_IN_LEDGER', net_paise, 300 from gateway where k % 7 = 0 union all select record_id, 'UNMATCHED_RESIDUAL', 0, 250 from bank where k % 7 = 0"""))
+@query(oracle("""select record_id, 'UNMATCHED_RESIDUAL' as exception_type, gross_paise as variance_paise, cast(300 as integer) as milli from ledger union all select record_id, 'MISSING_IN_LEDGER', net_paise, 300 from gateway union all select record_id, 'UNMATCHED_RESIDUAL', 0, 250 from bank"""))
 def residual_sweep(spark, sf_dir):
-    rest = [x.where("k % 7 = 0") for x in harness.sources(spark, sf_dir)]
-    return residual.sweep(*rest, 1.0).select(C("driver").alias("record_id"), "exception_type", "variance_paise", "milli")
+    return residual.sweep(*harness.sources(spark, sf_dir), 1.0).select(C("driver").alias("record_id"), "exception_type", "variance_paise", "milli")
 
 
 @query()
 def candidates_topk(spark, sf_dir):
-    """Ranked candidates of the credits that carry no reference, against all open payments and invoices."""
+    """Ranked candidates of all credits, against all payments and invoices."""
     l, g, b = _prepared(spark, sf_dir)
-    return candidates.ranked(candidates.pool(l, g, b.where("size(tokens) = 0"), CONF), CONF).select("b", "place", "g", "l", "milli")
+    return candidates.ranked(candidates.pool(l, g, b, CONF), CONF).select("b", "place", "g", "l", "milli")
+
+
+_SHOWN = ("ledger_ids", "gateway_ids", "bank_ids")
 
 
 @query()
 def reconcile(spark, sf_dir):
     out = engine.reconcile(*harness.sources(spark, sf_dir), CONF)
-    return out.select("match_id", "stage", "tier", "confidence", "status", *(F.array_join(c, " ").alias(c) for c in ("ledger_ids", "gateway_ids", "bank_ids", "candidates")), "amount_paise", "variance_paise", "exception_type")
+    return out.select("match_id", "stage", "tier", "confidence", "status", *(F.array_join(c, " ").alias(c) for c in _SHOWN), F.array_join("candidates.candidate_id", " ").alias("candidates"), "amount_paise", "variance_paise", "exception_type", "rationale")
+
+
+def _takes_the_first(system: str, user: str) -> tuple[str, int, int]:
+    """A scripted model: it takes the first candidate that has a payment, and else none."""
+    first = re.search(r"1\. candidate_id (\S+)\n  invoice [^\n]*\n  payment", user)
+    answer = {"decision": "accept_candidate" if first else "no_match", "candidate_id": first and first[1], "exception_type": None, "confidence": 0.8, "rationale": "scripted choice of the list", "evidence_ids": []}
+    return json.dumps(answer), 1200, 150
+
+
+@query()
+def reconcile_hybrid(spark, sf_dir):
+    """A run in which a scripted model chooses among the candidates of credits that no rule placed."""
+    out = engine.reconcile(*harness.sources(spark, sf_dir), CONF, "hybrid", transport=_takes_the_first)
+    return out.select("match_id", "stage", "tier", "confidence", "status", *(F.array_join(c, " ").alias(c) for c in _SHOWN), "amount_paise", "variance_paise", "exception_type", "rationale", "decided_by", "call_id")
 
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -586,8 +610,8 @@ def record_owners(spark, sf_dir):
 
 # --- adjudication -------------------------------------------------------------------------------
 
-_EVENT_TEXT = """case event_id % 8 when 0 then 'Here: ' || o || ' done' when 1 then replace(o, '0.7', '1.4') when 2 then replace(o, 'CND-1', 'CND-9') when 3 then replace(o, 'BNK-1', 'BNK-9') when 4 then 'no object at all' when 5 then replace(o, '"decision":"match"', '"decision":"no_match"') when 6 then replace(o, '"rationale"', '"amount":1,"rationale"') else replace(o, '0.7', '"0.7"') end"""
-_OBJECT = '\'{"decision":"match","candidate_id":"CND-1","exception_type":null,"confidence":0.7,"rationale":"amount and day agree","evidence_ids":["BNK-1"]}\''
+_EVENT_TEXT = """case event_id % 8 when 0 then 'Here: ' || o || ' done' when 1 then replace(o, '0.7', '1.4') when 2 then replace(o, 'CND-1', 'CND-9') when 3 then replace(o, 'BNK-1', 'BNK-9') when 4 then 'no object at all' when 5 then replace(o, '"decision":"accept_candidate"', '"decision":"no_match"') when 6 then replace(o, '"rationale"', '"amount":1,"rationale"') else replace(o, '0.7', '"0.7"') end"""
+_OBJECT = '\'{"decision":"accept_candidate","candidate_id":"CND-1","exception_type":null,"confidence":0.7,"rationale":"amount and day agree","evidence_ids":["BNK-1"]}\''
 
 
 @query("""select event_id, case event_id % 8 when 0 then null when 1 then 'schema' when 2 then 'unknown_candidate' when 3 then 'unlisted_evidence' when 4 then 'not_json' when 5 then 'inconsistent' when 6 then 'schema' else 'schema' end as violation from events""")
@@ -628,3 +652,93 @@ def llm_cost(spark, sf_dir):
     calls = _hits(spark, sf_dir).withColumn("violation", F.lit(None).cast("string"))
     calls = calls.withColumn("input_tokens", F.lit(1200).cast(LongType())).withColumn("output_tokens", F.lit(150).cast(LongType()))
     return adjudicate.cost(calls, CONF)
+
+
+# --- fees, evidence, statement, report ------------------------------------------------------------
+
+_BPS = "(case method when 'card' then 200 when 'netbanking' then 180 when 'wallet' then 220 when 'upi' then 20 else 250 end)"
+
+
+@query(oracle(f"""select record_id, fee, (fee * 1800 + 5000) // 10000 as tax, amount_paise - fee - (fee * 1800 + 5000) // 10000 as rest from (select record_id, amount_paise, (amount_paise * {_BPS} + 5000) // 10000 as fee from gateway)"""))
+def fee_parts(spark, sf_dir):
+    """What a payment costs by its method, the tax on that, and what remains."""
+    bps = F.lit(money.STANDARD_BPS["emi"])
+    for method, own in money.STANDARD_BPS.items():
+        bps = F.when(C("method") == method, F.lit(own)).otherwise(bps)
+    fee, tax, rest = money.fee_parts(C("amount_paise"), bps)
+    return view(spark, sf_dir, "gateway").select("record_id", fee.alias("fee"), tax.alias("tax"), rest.alias("rest"))
+
+
+@query(oracle("""select l, 'Invoice ' || invoice_no || ', its payment and its credit agree in reference, amount and dates.' as rationale, 'Receipt|Reference|Amounts equal|' || case when value_date = settled then 'Same day' else 'Days apart' end as labels,
+  l || ' ' || f.g as cited from exact f join ledger on ledger.record_id = l join gateway on gateway.record_id = f.g join bank on bank.record_id = f.b""", *_EXACT))
+def exact_evidence(spark, sf_dir):
+    """What the exact pass says for its groups."""
+    out = stages.exact(*_prepared(spark, sf_dir), CONF)
+    return out.select(C("ledger_ids")[0].alias("l"), "rationale", F.array_join("evidence.label", "|").alias("labels"), F.array_join(C("evidence")[0]["record_ids"], " ").alias("cited"))
+
+
+@query(oracle("""select d.record_id, max(g.payment_id) as payment_id from bank d join gateway g on g.net_paise = d.amount_paise where d.direction = 'debit' and g.k % 3 = 0 group by d.record_id having count(*) = 1"""))
+def disputed_payment(spark, sf_dir):
+    """The one disputed payment that a debit takes back, a third of all being disputed."""
+    _, g, b = harness.sources(spark, sf_dir)
+    return residual.disputed(b, g.withColumn("status", F.when(C("k") % 3 == 0, "disputed").otherwise(C("status")))).select("record_id", "payment_id")
+
+
+@query(oracle("""select record_id, cast(250000000 + sum(case when direction = 'debit' then -amount_paise else amount_paise end) over (order by value_date, record_id rows unbounded preceding) as bigint) as balance_paise from bank"""))
+def statement_balance(spark, sf_dir):
+    return statement.running_balance(view(spark, sf_dir, "bank"), 250_000_000, "value_date", "record_id").select("record_id", "balance_paise")
+
+
+_STATED = """run as (select *, 250000000 + sum(case when direction = 'debit' then -amount_paise else amount_paise end) over (order by value_date, record_id rows unbounded preceding) as balance from bank),
+stated as (select *, balance + 500 * (k // 1000) as told from run where k % 40 <> 3),
+off as (select record_id, told, balance, told - balance as d, coalesce(lag(told - balance) over (order by value_date, record_id), 0) as was from stated)"""
+
+
+@query(oracle("select record_id, cast(told as bigint) as stated_paise, cast(balance + was as bigint) as expected_paise from off where d <> was", _STATED))
+def statement_breaks(spark, sf_dir):
+    """Lines at which a statement whose balance is off by a step for every thousand orders, and unreadable now and then, does not continue."""
+    run = statement.running_balance(view(spark, sf_dir, "bank"), 250_000_000, "value_date", "record_id")
+    told = run.withColumn("stated_paise", F.when(C("k") % 40 != 3, C("balance_paise") + 500 * F.floor(C("k") / 1000))).drop("balance_paise")
+    return statement.breaks(told, 250_000_000, "value_date", "record_id").select("record_id", "stated_paise", "expected_paise")
+
+
+@query(oracle("select tier as stage, count(*) as n from proposals group by 1", *_JUDGED[:2]))
+def stage_coverage(spark, sf_dir):
+    return evaluate.coverage(_proposals(spark, sf_dir)[0].withColumn("stage", C("tier")))
+
+
+@query(oracle("select scenario, count(*) as n from truth group by 1", _TRUTH))
+def scenario_counts(spark, sf_dir):
+    return evaluate.scenarios(view(spark, sf_dir, "truth"))
+
+
+@query(oracle("""select 'stage' as section, tier as label, cast(count(*) as double) as value from proposals group by tier
+  union all select 'recall', coalesce(t.exception_type, 'NONE'), floor(count(j.truth_no) / count(*) * 10000 + 0.5) / 10000 from truth t left join (select distinct truth_no from judged where correct) j using (truth_no) group by 2
+  union all select 'score', 'true_positives', cast(count(*) as double) from judged where correct""", *_JUDGED))
+def run_report(spark, sf_dir):
+    """The report's rows of stages and recall, and of its scores the first."""
+    groups, truth = _proposals(spark, sf_dir)
+    return evaluate.report(groups.withColumn("stage", C("tier")), truth).where("section <> 'score' or label = 'true_positives'")
+
+
+@query(oracle("""select match_id, case match_no % 4 when 0 then 'llm_adjudicated' else 'unmatched' end as tier, case match_no % 4 when 0 then amount_paise + 1 else amount_paise end as amount_paise,
+  cast(case match_no % 4 when 3 then 400 else 950 end as integer) as milli, case match_no % 4 when 3 then 'UNMATCHED_RESIDUAL' when 0 then null else 'TIMING_LAG' end as exception_type, match_no % 4 <> 0 as forced, cast(2 as integer) as logged
+  from (select *, cast(substr(match_id, 5) as bigint) // 1000 as match_no from proposals)""", *_JUDGED[:2]))
+def decisions_applied(spark, sf_dir):
+    """Answers applied to groups with one candidate each: every fourth is accepted, others decline, doubt, or break the gate."""
+    no = F.floor(F.substring("match_id", 5, 20).cast("bigint") / 1000) % 4
+    kind = F.when(no == 0, "accept_candidate").when(no == 1, "no_match").otherwise("insufficient_evidence")
+    choice = F.struct(
+        F.lit("CND-1").alias("candidate_id"), "ledger_ids", "gateway_ids", "bank_ids", (C("amount_paise") + 1).alias("amount_paise"), F.lit(0).alias("variance_paise"), F.lit(0).alias("gap_days"),
+        F.lit(500).alias("milli"), F.lit(0.5).alias("reference"), F.lit(0.0).alias("customer"), F.lit("fits").alias("note"), F.lit("TIMING_LAG").alias("exception_type"),
+    )
+    p = _proposals(spark, sf_dir)[0]
+    groups = p.select(
+        C("match_id").alias("driver"), "ledger_ids", "gateway_ids", "bank_ids", "amount_paise", "variance_paise", F.lit(400).alias("milli"), F.lit("UNMATCHED_RESIDUAL").alias("exception_type"),
+        F.lit("unmatched").alias("tier"), F.lit(True).alias("forced"), F.lit("").alias("rationale"), F.array().cast(stages.EVIDENCE).alias("evidence"), F.array(choice).cast(stages.CANDIDATE).alias("candidates"),
+        F.array(F.struct(F.lit("candidates").alias("stage"), F.lit("ambiguous").alias("outcome"), F.lit(1).alias("considered"))).cast(engine.LOG).alias("log"),
+    )
+    answer = F.struct(kind.alias("decision"), F.when(no == 0, "CND-1").alias("candidate_id"), F.when(no != 0, "TIMING_LAG").alias("exception_type"), F.lit(0.95).alias("confidence"), F.lit("because of its day").alias("rationale"), F.array().cast("array<string>").alias("evidence_ids"))
+    gated = p.select("match_id", answer.alias("a"), F.when(no == 3, "schema").alias("violation"), F.lit(None).cast("string").alias("failure"), F.sha2("match_id", 256).alias("prompt_hash"))
+    out = adjudicate.applied(groups, gated)
+    return out.select(C("driver").alias("match_id"), "tier", "amount_paise", "milli", "exception_type", "forced", F.size("log").alias("logged"))

@@ -1,5 +1,6 @@
 """Joins, claiming, scoring and the gate against plain versions and hand-computed cases."""
 
+import json
 import random
 
 import pytest
@@ -103,10 +104,10 @@ def test_calibration_by_hand(spark, truth):
     assert evaluate.calibration(exact, many).count() == 0
 
 
-GOOD = '{"decision":"match","candidate_id":"C1","exception_type":null,"confidence":0.7,"rationale":"amount and day agree","evidence_ids":["B1"]}'
+GOOD = '{"decision":"accept_candidate","candidate_id":"C1","exception_type":null,"confidence":0.7,"rationale":"amount and day agree","evidence_ids":["B1"]}'
 BAD = [
-    ('"C1"', '"C9"', "unknown_candidate"), ("0.7", "1.4", "schema"), ("null", '"NO_SUCH"', "schema"), ('"rationale"', '"amount_paise":1,"rationale"', "schema"), (GOOD, "prose only", "not_json"), ("}", "", "not_json"), ('"match"', "null", "schema"),
-    ("amount and day agree", "", "schema"), ('["B1"]', '["B9"]', "unlisted_evidence"), ('"match"', '"no_match"', "inconsistent"), ("0.7", '"0.7"', "schema"), ('["B1"]', '{"a":{}}', "schema"),
+    ('"C1"', '"C9"', "unknown_candidate"), ("0.7", "1.4", "schema"), ("null", '"NO_SUCH"', "schema"), ('"rationale"', '"amount_paise":1,"rationale"', "schema"), (GOOD, "prose only", "not_json"), ("}", "", "not_json"), ('"accept_candidate"', "null", "schema"),
+    ("amount and day agree", "", "schema"), ('["B1"]', '["B9"]', "unlisted_evidence"), ('"accept_candidate"', '"no_match"', "inconsistent"), ("0.7", '"0.7"', "schema"), ('["B1"]', '{"a":{}}', "schema"),
 ]
 
 
@@ -189,3 +190,42 @@ def test_splits_take_credits_of_the_right_sum(spark, run):
     for r in out:
         n, target = parts[r.driver]
         assert r.variance_paise == target - sum(credit[b] for b in r.bank_ids) and abs(r.variance_paise) <= 100 * n
+
+
+def _scripted(system, user):
+    """Takes the first candidate of lines with an even id, invents one for the others."""
+    record = user.split("Record: ")[1].split(",")[0]
+    first = user.split("candidate_id ")[1].split()[0]
+    chosen = first if int(record[-3:]) % 2 == 0 else "CND-none"
+    return json.dumps({"decision": "accept_candidate", "candidate_id": chosen, "exception_type": None, "confidence": 0.95, "rationale": "scripted in a test", "evidence_ids": [record]}), 1200, 150
+
+
+def test_hybrid_run_asks_applies_and_remembers(spark, run, tmp_path):
+    from tallyloom.sources.store import Store
+
+    sources, rules = run
+    sources = [x.where("k < 400") for x in sources]
+    with pytest.raises(adjudicate.Unavailable):
+        engine.run(*sources, mode="hybrid")
+    cold = engine.run(*sources, mode="hybrid", transport=_scripted)
+    out, calls = cold.groups.collect(), cold.calls.collect()
+    asked = [r for r in out if r.call_id]
+    assert asked and {r.match_id for r in calls} == {b for r in asked for b in r.bank_ids[:1]} | {r.match_id for r in calls} and not any(r.cache_hit for r in calls if r.violation)
+    for r in asked:
+        won = r.tier == "llm_adjudicated"
+        assert r.decided_by == "llm" and len(r.log) == 2 and r.log[1].outcome == ("matched" if won else "rejected")
+        chosen = next((c for c in r.candidates if won and c.ledger_ids == r.ledger_ids and c.gateway_ids == r.gateway_ids), None)
+        assert not won or chosen and r.amount_paise == chosen.amount_paise and r.variance_paise == chosen.variance_paise
+        assert won or r.exception_type == "UNMATCHED_RESIDUAL" and r.status == "needs_review"
+    assert {r.tier for r in asked} == {"llm_adjudicated", "unmatched"}
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.remember(cold.calls, "model")
+
+    def down(system, user):
+        raise AssertionError("a warm run calls nobody")
+
+    warm = engine.run(*sources, mode="hybrid", transport=down, cache=store.cache(), retry_after=0)
+    assert all(r.cache_hit for r in warm.calls.collect())
+    assert sorted(map(str, (r[:11] for r in warm.groups.collect()))) == sorted(map(str, (r[:11] for r in out)))
+    table = evaluate.ablation({"rules_only": rules, "hybrid": cold.groups}, harness.view(spark, SMALL, "truth"))
+    assert table.count() == 2 and evaluate.throughput(cold.records, cold.seconds) > 0

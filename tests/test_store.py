@@ -29,6 +29,10 @@ def test_decisions_are_appended(spark, tmp_path):
     s.decide("R1", "M1", "approve", note="fine")
     s.decide("R1", "M1", "reassign", "CND-1")
     assert {r.action for r in s.decisions("R1").collect()} == {"approve", "reassign"}
+    from tallyloom.operators import views
+
+    last = views.decided(s.table("matches", "R1"), s.decisions("R1")).first()
+    assert (last.action, last.candidate_id) == ("reassign", "CND-1")
     for bad in (("R1", "M1", "reassign"), ("R1", "M1", "delete")):
         with pytest.raises(ValueError):
             s.decide(*bad)
@@ -50,3 +54,13 @@ def test_truth(spark, tmp_path):
     entry = {"truth_id": "T1", "ledger_ids": ["L1"], "gateway_ids": [], "bank_ids": ["B1"], "exception_type": None, "scenario": "clean", "is_resolvable": True, "amount_paise": 5}
     (tmp_path / "t.json").write_text(json.dumps({"dataset": "d", "seed": 1, "entries": [entry, entry]}, indent=1))
     assert ingest.read_truth(spark, f"file://{tmp_path}/t.json").count() == 2
+
+
+def test_counterpart_is_read_from_the_index(spark, tmp_path):
+    from tallyloom.operators import views
+
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    df = spark.createDataFrame([("M1", "needs_review", None, 0.5, 1, 1)], GROUPS)
+    for i, (dataset, mode, seed) in enumerate([("standard", "rules_only", 42), ("hard", "hybrid", 42), ("hard", "rules_only", 7), ("hard", "rules_only", 42)]):
+        s.save(f"R{i}", {"matches": df}, {"dataset": dataset, "mode": mode, "seed": seed})
+    assert [r.run_id for r in views.counterpart(s.runs(), "R0").collect()] == ["R3"]
