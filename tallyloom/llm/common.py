@@ -2,76 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, materialize, new_path
+
+__all__ = ["WORD", "about", "crc_mod", "drop", "free_name", "long_rows", "materialize", "new_path", "table", "unit_hash", "word_count"]
+
 #: A word is a run of characters outside this class (a fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; a local one is set only where none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+def long_rows(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """df; from now on its session sends Python at most about so many bytes at once, as one row may be a whole book.
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
-
-
-def long_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df; from now on its session sends Python at most so many rows at once, as one of them may be a whole book."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, rows)
+    A smaller limit of the session's own stays.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most_bytes:
+        spark.conf.set(key, str(most_bytes))
     return df
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again.
-
-    The copy survives the loss of any executor, and what made it is never run twice.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tallyloom_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df, once nothing reads it any more."""
-    path = getattr(df, "_tallyloom_path", None)
-    if path and path in _written:
-        spark = _written.pop(path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def release() -> None:
-    """Delete every intermediate table of this process."""
-    for path, spark in list(_written.items()):
-        with contextlib.suppress(Exception):  # the session may be gone already
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _written.pop(path, None)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not use, whatever the case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:

@@ -248,4 +248,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
 
 
 def op3_cotrain(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labels that may be; see classify()."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

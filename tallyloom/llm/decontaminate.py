@@ -15,6 +15,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import long_rows, materialize, table
 
@@ -108,14 +109,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 16
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Texts are compared as
     normalize() gives them, whole. Returns doc_id, item_id, n_edits (int): one row for each document
     row and item row. Null, empty or purely punctuation texts match nothing, on either side; items
-    shorter than chars_per_edit must occur exactly. Null ids are carried through.
+    shorter than chars_per_edit must occur exactly, be it inside a word. Null ids are carried through. An
+    empty benchmark gives no pairs.
 
     Only items are sent to the tasks, in blocks of about block_chars characters each, by hash of
-    their text; every block is held against all rows, so a benchmark of any size is looked for.
+    their text and id; every block is held against all rows, so a benchmark of any size is looked for.
     """
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
-    dealt = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("text"), F.lit(n)).alias("block"))
+    dealt = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("text", "item_id"), F.lit(n)).alias("block"))
     few = long_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     of = {"doc_id": few.schema["doc_id"].dataType.simpleString(), "item_id": dealt.schema["item_id"].dataType.simpleString()}
 
@@ -126,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 16
                 rows = [(d, x, e) for d, t in enumerate(b.column(1)) for x, e in matcher.find(normalize(t.as_py()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], "int32")), pa.array([items[r[1]][0] for r in rows], ids), pa.array([r[2] for r in rows], "int32")], ["doc_id", "item_id", "n_edits"])
 
-        ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[of["item_id"]]
+        ids = to_arrow_type(dealt.schema["item_id"].dataType)
         return few.mapInArrow(run, f"doc_id {of['doc_id']}, item_id {of['item_id']}, n_edits int")
 
     blocks = ([(r.item_id, r.text and bytes(r.text)) for r in dealt.where(F.col("block") == b).collect()] for b in range(n))
@@ -143,4 +145,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold; see contaminated()."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_rows, materialize, table
+from .common import free_name, long_rows, materialize, table, word_count
 
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -106,23 +107,23 @@ def judge(docs: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """docs that judge() keeps; all columns stay and texts are not shuffled.
 
-    The counts are taken twice, for the hosts and for the documents, as that costs less than a
-    shuffle of the texts.
+    Texts are read twice, for the hosts and for the documents, as that costs less than a shuffle of them.
+    Words are counted by a native function, and only texts with enough of them go to Python.
     """
-    blocked = host_verdicts(materialize(counted(docs), "counts"), **options).where("blocked").select(F.col("host").alias("_host"))
+    host = free_name(docs, "_host")
+    blocked = host_verdicts(materialize(counted(docs), "counts"), **options).where("blocked").select(F.col("host").alias(host))
+    n_words = word_count(F.col("text"))
 
     @F.pandas_udf("boolean")
-    def good(texts):
-        def fails(x):
-            n, _, _, _, repeated = text_counts(x.encode() if isinstance(x, str) else None)
-            return n < 50 or 100 * repeated > 50 * n
+    def repetitive(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: isinstance(x, str) and 100 * repeat_words(words := x.encode().split()) > 50 * len(words)).astype(bool)
 
-        return texts.map(lambda x: not fails(x))
-
-    return docs.join(blocked, F.col("source").eqNullSafe(F.col("_host")), "left_anti").where(good("text")).select(*docs.columns)
+    good = docs.join(blocked, docs["source"].eqNullSafe(blocked[host]), "left_anti").where(n_words >= 50)
+    return good.where(~repetitive("text")).select(*docs.columns)
 
 
 def op2_host_rules(spark, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents; see judge()."""
     return judge(table(spark, sf_dir, "documents"))
 
 

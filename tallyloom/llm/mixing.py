@@ -8,7 +8,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import free_name, materialize, table, word_count
 
 #: Weights by a source's place in code-point order (null last), repeating; share of all sizes; copies at most.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
@@ -141,16 +141,24 @@ def mix(docs: DataFrame, sources: Column, weights=WEIGHTS, share: float = SHARE,
         (r.pattern, sizes[first := min(m)], targets[first], f // r.size if r.size else 0, *cuts.get(r.pattern, (-1, None, 0, 1)))
         for r, m, f in zip(sums, members, flows, strict=True)
     ]
-    plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, source_size long, target double, _whole long, _bucket long, _place long, _part long, _words long"))
     made = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c.lower() not in made]
-    at = F.pmod(F.col("_at"), F.lit(n))
-    first = (at < F.col("_bucket")) | (at == F.col("_bucket")) & (F.col("_at") < F.col("_place"))
-    more = F.when(first, F.col("size")).when((at == F.col("_bucket")) & (F.col("_at") == F.col("_place")), F.expr("_part * size div _words")).otherwise(F.lit(0))
-    ready = docs.select(*keep, word_count(F.col("text")).alias("size"), pattern.alias("_pattern"), place.alias("_at"))
-    return ready.join(plan, "_pattern").select(*keep, "size", "source_size", "target", (F.col("_whole") * F.col("size") + more).cast("long").alias("taken"))
+    kinds = {"pattern": "string", "total": "long", "goal": "double", "whole": "long", "bucket": "long", "spot": "long", "part": "long", "words": "long"}
+    names = {c: free_name(docs, f"_{c}") for c in (*kinds, "at", "count")}
+    of = {c: F.col(n) for c, n in names.items()}
+    plan = F.broadcast(spark.createDataFrame(rows, ", ".join(f"{names[c]} {k}" for c, k in kinds.items())))
+    at = F.pmod(of["at"], F.lit(n))
+    first = (at < of["bucket"]) | (at == of["bucket"]) & (of["at"] < of["spot"])
+    here = (at == of["bucket"]) & (of["at"] == of["spot"])
+    share = F.expr(f"{names['part']} * {names['count']} div {names['words']}")
+    more = F.when(first, of["count"]).when(here, share).otherwise(F.lit(0))
+    ready = docs.select(*keep, word_count(F.col("text")).alias(names["count"]), pattern.alias(names["pattern"]), place.alias(names["at"]))
+    taken = (of["whole"] * of["count"] + more).cast("long")
+    out = ready.join(plan, names["pattern"])
+    return out.select(*keep, of["count"].alias("size"), of["total"].alias("source_size"), of["goal"].alias("target"), taken.alias("taken"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents by their source; see mix()."""
     docs = table(spark, sf_dir, "documents")
     return mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")

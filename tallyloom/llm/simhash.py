@@ -141,15 +141,17 @@ def _ball_links(hot: DataFrame, d: int) -> DataFrame:
     return points.join(least.select("point", "v"), "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def fingerprint_links(fps: DataFrame, max_distance: int = 4, n_pivots: int = 16, bucket_limit: int = 4096) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_distance: int = 4, n_pivots: int = 16, bucket_limit: int = 4096, task_rows: int = 1_000_000) -> DataFrame:
     """Distinct fingerprints (fp) -> links (u, v) that connect all pairs within max_distance bits.
 
     Not every pair is returned, but a set of links with the same connected components.
     """
     spark, d = fps.sparkSession, max_distance
-    masks = _masks(d, _blocks_for(fps.count(), d))
+    rows = fps.count()
+    masks = _masks(d, _blocks_for(rows, d))
     keys = "array(" + ",".join(f"struct({t} as t, fp & {m}L as key)" if m != -(1 << 63) else f"struct({t} as t, shiftleft(shiftright(fp, 63), 63) as key)" for t, m in enumerate(masks)) + ")"
-    dealt = fps.select("fp", F.explode(F.expr(keys)).alias("k")).select("fp", "k.t", "k.key")
+    spread = fps.repartition(max(spark.sparkContext.defaultParallelism, rows * len(masks) // task_rows), "fp")
+    dealt = spread.select("fp", F.explode(F.expr(keys)).alias("k")).select("fp", "k.t", "k.key")
     hot = materialize(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit).select("t", "key"), "hot")
     any_hot = bool(hot.take(1))
     cold = dealt.join(hot, ["t", "key"], "left_anti") if any_hot else dealt

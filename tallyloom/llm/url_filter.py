@@ -95,6 +95,7 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages; see the functions above."""
     return judge(table(spark, sf_dir, "pages"))
 
 

@@ -101,8 +101,8 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
     named = pages.select("page_id", "url", payload.alias("payload"))
     same = F.sha1("payload")
     dups = named.where(F.octet_length("payload") >= least_bytes).select("page_id", same.alias("sha")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    dups = materialize(dups.where("n > 1").select("sha", "first"), "payloads")  # its size is known, so a small one is broadcast
-    plan = capture_key(named.withColumn("sha", same)).join(dups, "sha", "left")
+    dups = materialize(dups.where("n > 1"), "payloads")
+    plan = _first_pages(capture_key(named.withColumn("sha", same)), dups)
     plan = plan.select("key", "page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("first"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +131,34 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
     return Archive(folder, captures, _index(captures, folder))
 
 
+def _first_pages(named: DataFrame, dups: DataFrame, most: int = 200_000) -> DataFrame:
+    """named (sha, page_id, url, payload, key) with `first`, by dups (sha, first, n).
+
+    At most `most` payloads are broadcast. Beyond that the most frequent ones, `most` of them at most, are, so that they
+    gather in no task; rows of the others are joined by sha, each with few copies.
+    """
+    if dups.count() <= most:
+        return named.join(F.broadcast(dups.select("sha", "first")), "sha", "left")
+    total = dups.agg(F.sum("n")).first()[0]
+    often = F.col("n") > max(100, total // most)
+    hot = F.broadcast(dups.where(often).select("sha", F.col("first").alias("hot")))
+    rare = dups.where(~often).select("sha", "first")
+    told = named.join(hot, "sha", "left")
+    # a sha with few copies is no hot key; rows of frequent ones have none here and are spread by their page
+    key = F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("of "), F.xxhash64("page_id", "url").cast("string")))
+    return told.withColumn("sha", key).join(rare, "sha", "left").withColumn("first", F.coalesce("hot", "first")).drop("hot")
+
+
 def _rows(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
-def _index(captures: DataFrame, folder: str) -> DataFrame:
+def _tasks(df: DataFrame, n: int) -> int:
+    """At least the session's parallelism, so that few large tasks are not made of many small keys."""
+    return max(n, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _index(captures: DataFrame, folder: str, task_lines: int = 200_000) -> DataFrame:
     """Sort captures by key, pack every LINES of them into a block, and return the directory."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +189,7 @@ def _index(captures: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    ordered = captures.repartitionByRange("key", "file", "begin").sortWithinPartitions("key", "file", "begin")
+    ordered = captures.repartitionByRange(_tasks(captures, captures.count() // task_lines), "key", "file", "begin").sortWithinPartitions("key", "file", "begin")
     return materialize(ordered.mapInArrow(pack, "key string, file string, begin long, length long, lines long"), "directory")
 
 
@@ -209,11 +232,11 @@ def _captures(reader: Reader, lines: list[str], with_payload: bool) -> Iterator[
         yield key, _page(x["warc-record-id"]), x.get("warc-target-uri"), x["payload"] if with_payload else None, x["payload-bytes"], x["warc-payload-digest"].removeprefix("sha1:"), x["warc-type"], _page(x.get("warc-refers-to"))
 
 
-def lookup(archive: Archive, keys: DataFrame, with_payload: bool = True, most_blocks: int = 200_000) -> DataFrame:
+def lookup(archive: Archive, keys: DataFrame, with_payload: bool = True, most_blocks: int = 200_000, task_bytes: int = 128 << 20) -> DataFrame:
     """The captures (KINDS) of every distinct key in keys (column key); unknown keys and null give none.
 
     The directory goes to the tasks if it has most_blocks entries at most; beyond that all blocks are
-    read by read_all() and joined with the keys.
+    read by read_all() and joined with the keys. A task looks up so many keys as would read about task_bytes of archives.
     """
     folder = archive.folder
     wanted = keys.select("key").where("key is not null").distinct()
@@ -235,7 +258,8 @@ def lookup(archive: Archive, keys: DataFrame, with_payload: bool = True, most_bl
                         rows += _captures(reader, own, with_payload)
                 yield _rows(rows, FIELDS)
 
-    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, KINDS)
+    size = archive.captures.agg(F.sum("length")).first()[0] or 0
+    return wanted.repartitionByRange(_tasks(wanted, size // task_bytes), "key").sortWithinPartitions("key").mapInArrow(run, KINDS)
 
 
 def read_all(archive: Archive, with_payload: bool = True) -> DataFrame:
@@ -254,6 +278,7 @@ def read_all(archive: Archive, with_payload: bool = True) -> DataFrame:
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by their keys; see write() and lookup()."""
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
     found = lookup(write(pages), capture_key(pages.select("page_id", "url")), with_payload=False)
