@@ -129,34 +129,45 @@ def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, k: int, similari
     return materialize(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "similar-sets")
 
 
-def set_links(docs: DataFrame, own: DataFrame, guesses: DataFrame, k: int, similarity: float, share: float = 0.25) -> DataFrame:
+def set_links(docs: DataFrame, own: DataFrame, guesses: DataFrame, k: int, similarity: float, share: float = 0.1, rounds: int = 2) -> DataFrame:
     """Links (u, v) of set numbers that connect all pairs so similar.
 
     own: as prefixes() gives it; guesses (u, v): pairs that may well be alike. These are verified first, with the pairs of
-    each set and the smallest that it meets, if they share so large a share of its prefix. The groups so found need no more
-    comparing inside, and only then all other pairs that meet are counted: of two prefixes the one that ends first holds
-    all its elements that the other set has, so the count bounds the overlap, and only pairs that may reach the similarity
-    are verified. Copies of a set meet once.
+    each set and the most typical one that it meets by an element (of the largest group found so far, and of those the one
+    most of whose prefix is met), if they share so large a share of its prefix. The groups so found, in `rounds` rounds, need
+    no more comparing inside, and only then all other pairs that meet are counted: of two prefixes the one that ends first
+    holds all its elements that the other set has, so the count bounds the overlap, and only pairs that may reach the
+    similarity are verified. Copies of a set meet once.
     """
     sets = materialize(own.where("n > 0").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "late", "last", "hashes"))), "sets")
     keys = sets.select("id", F.explode("hashes").alias("h"))
-    met = keys.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    keys = materialize(keys.join(met.select("h", "least"), "h"), "met")
-    facts = sets.select("id", "n", F.size("hashes").alias("p"), "late", "last")
-    told = lambda pairs: pairs.join(facts.select(*(F.col(c).alias(f"{c}_u") for c in facts.columns)).withColumnRenamed("id_u", "u"), "u").join(
-        facts.select(*(F.col(c).alias(f"{c}_v") for c in facts.columns)).withColumnRenamed("id_v", "v"), "v"
-    )
-    fits = _alike(F.col("n_u"), F.col("n_v"), similarity)
-    stars = keys.where("id <> least").groupBy(F.col("id").alias("u"), F.col("least").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    stars = told(stars).where(fits & (F.col("c") >= F.lit(share) * F.col("p_u"))).select("u", "v")
-    near = verified(docs, own, stars.unionByName(told(guesses).where(fits).select("u", "v")).distinct(), k, similarity)
-    group = materialize(connected_components(near).withColumnRenamed("node", "id"), "alike")
-    keys = keys.select("id", "h").join(group, "id", "left").select("id", "h", F.coalesce("component", "id").alias("c"))
-    a, b = (keys.select("h", *(F.col(x).alias(x + y) for x in ("id", "c"))) for y in "ab")
-    rest = a.join(b, "h").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")))
-    rest = told(rest.groupBy(F.col("ida").alias("u"), F.col("idb").alias("v")).agg(F.count(F.lit(1)).alias("c"))).where(fits)
-    most = lambda x: F.col("c") + F.col(f"n_{x}") - F.col(f"p_{x}")
-    first = lambda x, y: F.struct(f"late_{x}", f"last_{x}") <= F.struct(f"late_{y}", f"last_{y}")
-    bound = F.least(F.when(first("u", "v"), most("u")), F.when(first("v", "u"), most("v")))
-    needed = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v"))
+    met = keys.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    keys = materialize(keys.join(met.select("h"), "h"), "met")
+    facts = sets.select("id", "n", F.size("hashes").alias("p"), "late", "last").join(keys.groupBy("id").agg(F.count(F.lit(1)).alias("w")), "id")
+    keys = materialize(keys.join(facts, "id"), "met-facts")
+    known = keys.withColumns({"c": F.col("id"), "g": F.lit(1).cast("bigint")})
+    sizes = facts.select("id", "n")
+    guessed = guesses.join(sizes.withColumnsRenamed({"id": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"id": "v", "n": "nv"}), "v")
+    near = None
+    for r in range(rounds):
+        best = known.groupBy("h").agg(F.max(F.struct("g", F.col("w") / F.col("p"), "id", "c", "n")).alias("x"))
+        pairs = known.join(best, "h").where((F.col("c") != F.col("x.c")) & _alike(F.col("n"), F.col("x.n"), similarity))
+        pairs = pairs.groupBy(F.col("id").alias("u"), F.col("x.id").alias("v")).agg(F.count(F.lit(1)).alias("both"), F.first("p").alias("p"))
+        pairs = pairs.where(F.col("both") >= F.lit(share) * F.col("p")).select("u", "v")
+        if not r:
+            pairs = pairs.unionByName(guessed.where(_alike(F.col("nu"), F.col("nv"), similarity)).select("u", "v")).distinct()
+        found = verified(docs, own, pairs, k, similarity)
+        near = found if near is None else near.unionByName(found)
+        group = materialize(connected_components(near).withColumnRenamed("node", "id"), "alike")
+        group = group.join(group.groupBy("component").agg(F.count(F.lit(1)).alias("of")), "component")
+        known = keys.join(group, "id", "left").withColumns({"c": F.coalesce("component", "id"), "g": F.coalesce("of", F.lit(1).cast("bigint"))})
+        known = materialize(known.drop("component", "of"), "met-groups")
+    a, b = (known.select("h", *(F.col(x).alias(x + y) for x in ("id", "c", "n", "p", "late", "last"))) for y in "ab")
+    rest = a.join(b, "h").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"), similarity))
+    facts = [F.first(x + y).alias(x + y) for y in "ab" for x in ("n", "p", "late", "last")]
+    rest = rest.groupBy(F.col("ida").alias("u"), F.col("idb").alias("v")).agg(F.count(F.lit(1)).alias("both"), *facts)
+    most = lambda x: F.col("both") + F.col(f"n{x}") - F.col(f"p{x}")
+    first = lambda x, y: F.struct(f"late{x}", f"last{x}") <= F.struct(f"late{y}", f"last{y}")
+    bound = F.least(F.when(first("a", "b"), most("a")), F.when(first("b", "a"), most("b")))
+    needed = similarity / (1 + similarity) * (F.col("na") + F.col("nb"))
     return near.unionByName(verified(docs, own, rest.where(bound >= needed - 1e-6).select("u", "v"), k, similarity))
