@@ -31,21 +31,31 @@ def _early(edges: DataFrame, drivers: DataFrame) -> DataFrame:
     return drivers.join(waiting, "driver", "left_anti")
 
 
-def _settled(edges: DataFrame, claimers: DataFrame) -> DataFrame:
-    """Drivers whose tentative decision is final: before them, on any of their resources, come only drivers that are
-    themselves final and claim nothing.
+def idle_before(edges: DataFrame, claimers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(idle, first): drivers that claim nothing, whatever comes of the others, and for each resource the first of the rest.
 
-    The idle drivers shrink by those that come after one that is not idle, until none does; each pass is one join.
+    claimers: drivers that tentatively claim something. The others are idle for good if before them, on any of their
+    resources, come only drivers that are so too; they shrink by those that come after another until none does, each pass
+    being one join.
     """
     idle = materialize(edges.join(claimers, "driver", "left_anti").select("driver").distinct())
     while True:
-        others = edges.join(idle, "driver", "left_anti").groupBy("resource").agg(F.min("ord").alias("first"))
-        after = edges.join(others, "resource").where("ord > first").select("driver").distinct()
+        first = materialize(edges.join(idle, "driver", "left_anti").groupBy("resource").agg(F.min("ord").alias("first")))
+        after = edges.join(first, "resource").where("ord > first").select("driver").distinct()
         kept = materialize(idle.join(after, "driver", "left_anti"))
-        if kept.count() == idle.count():
-            return kept.unionByName(claimers.join(after, "driver", "left_anti"))
+        same = kept.count() == idle.count()
         drop(idle)
         idle = kept
+        if same:
+            return idle, first
+        drop(first)
+
+
+def _settled(edges: DataFrame, claimers: DataFrame) -> DataFrame:
+    """Drivers whose tentative decision is final: the idle ones, and claimers that come after none but idle ones."""
+    idle, first = idle_before(edges, claimers)
+    after = edges.join(first, "resource").where("ord > first").select("driver").distinct()
+    return idle.unionByName(claimers.join(after, "driver", "left_anti"))
 
 
 def resolve(edges: DataFrame, decide: Callable[[DataFrame], DataFrame], greedy: bool = False, alive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from ..conf import Conf
 from ..functions import canonical, money, refs
 from ..scratch import drop
 from .blocking import band_join, date_band_join
-from .pools import checkpointed, resolve, unique_within
+from .pools import checkpointed, idle_before, resolve, unique_within
 
 EVIDENCE = "array<struct<label:string,detail:string,weight:double,record_ids:array<string>>>"
 CANDIDATE = (
@@ -376,9 +376,10 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
     it; if one part finds none, sets of the open credits near any part are searched. The parts of an invoice number are
     taken by its first invoice that succeeds.
 
-    All open invoices are told at once, round by round. One whose parts all find a credit needs to be first only on what it
-    takes. The others meet the credits of their window that are no larger than what is to be found, and wait for the
-    invoices before them on any of those; their sets are searched in parallel, one row an invoice.
+    All open invoices are told at once, round by round. One whose parts all find a credit hangs only on what it takes. The
+    others meet the credits of their window that are no larger than what is to be found; their sets are searched in
+    parallel, one row an invoice, and again only if a credit of theirs was taken since. A finding stands if no invoice before
+    it, on any of those credits, may take one.
     """
     window, tolerance = conf.date_window_days + 3, conf.amount_tolerance_paise
     parts = checkpointed(split_payments(ledger, gateway))
@@ -388,7 +389,7 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
     named = named.where(refs.match_kind(F.col("keys"), F.array("invoice_no", "settlement_id", "order_id")) <= 4)
     named = checkpointed(named.select("driver", "invoice_no", "g", "b", "credit"))
     jobs = checkpointed(parts.groupBy("driver", "invoice_no", "gross_paise", "target", "n").agg(F.array_sort(F.collect_list("g")).alias("parts")))
-    left, met, out = jobs, None, None
+    left, met, out, tried = jobs, None, None, None
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -404,41 +405,48 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
         wide = left.join(told, "driver", "left_anti").select("driver", "target", "n")
         fresh = wide if met is None else wide.join(met.select("driver").distinct(), "driver", "left_anti")
         if fresh.take(1):
-            days = parts.select("driver", "paid_on").join(fresh, "driver").join(left.select("driver"), "driver", "left_semi")
+            days = parts.select("driver", "paid_on").join(fresh, "driver")
             near = date_band_join(days, credits.drop("keys"), "paid_on", "value_date", window).where(F.col("credit") <= F.col("target") + tolerance * F.col("n"))
             if out is not None:
                 near = near.join(out.select(F.explode("bank_ids").alias("b")), "b", "left_anti")
             # an invoice with no credit to meet is known by an edge of its own
             near = near.select("driver", "b", "credit").unionByName(fresh.select("driver", F.concat(F.lit(" "), "driver").alias("b"), F.lit(None).cast("bigint").alias("credit")))
             met = checkpointed(near.distinct() if met is None else near.distinct().unionByName(met))
-        same = left.select("driver", F.concat(F.lit("no "), "invoice_no").alias("b"))
-        edges = named.select("driver", "b").unionByName(same)
-        if met is not None:
-            edges = edges.unionByName(met.select("driver", "b"))
-        edges = checkpointed(edges.join(left.select("driver"), "driver", "left_semi").distinct())
-        first = edges.groupBy("b").agg(F.min("driver").alias("first"))
-        beaten = lambda own: own.join(first, "b").where("driver > first").select("driver").distinct()
-        takes = told.select("driver", F.explode("chosen").alias("b")).unionByName(same.join(told, "driver", "left_semi"))
-        ready = told.join(beaten(takes), "driver", "left_anti")
-        sums = ready.select("driver", F.explode("chosen").alias("b")).join(credits.select("b", "credit"), "b").groupBy("driver").agg(F.array_sort(F.collect_list("b")).alias("bank_ids"), F.sum("credit").alias("total"))
-        found = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.lit(True).alias("whole"))
-        if met is not None:
-            free = wide.join(beaten(edges.join(wide, "driver", "left_semi")), "driver", "left_anti")
+        if met is not None:  # search the sets of those that were not yet, or lost a credit since
+            ask = wide if tried is None else wide.join(tried, "driver", "left_anti")
             pool = met.where("credit is not null").groupBy("driver").agg(F.collect_list(F.struct("b", "credit")).alias("pool"))
             none = F.array().cast("array<struct<b:string,credit:bigint>>")
-            tried = free.join(pool, "driver", "left").select("driver", "target", "n", F.coalesce("pool", none).alias("pool"))
-            found = found.unionByName(tried.mapInPandas(search, FOUND))
-        found = checkpointed(found)
-        good = found.where("ways > 0")
+            ask = ask.join(pool, "driver", "left").select("driver", "target", "n", F.coalesce("pool", none).alias("pool"))
+            new = ask.repartition(4 * ledger.sparkSession.sparkContext.defaultParallelism, "driver").mapInPandas(search, FOUND)
+            tried = checkpointed(new if tried is None else new.unionByName(tried))
+        sums = told.select("driver", F.explode("chosen").alias("b")).join(credits.select("b", "credit"), "b").groupBy("driver").agg(F.array_sort(F.collect_list("b")).alias("bank_ids"), F.sum("credit").alias("total"))
+        may = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.lit(True).alias("whole"))
+        if tried is not None:
+            may = may.unionByName(tried.where("ways > 0"))
+        may = checkpointed(may)
+        same = left.select("driver", F.concat(F.lit("no "), "invoice_no").alias("resource"))
+        edges = named.select("driver", F.col("b").alias("resource")).unionByName(same)
+        if met is not None:
+            edges = edges.unionByName(met.join(told, "driver", "left_anti").select("driver", F.col("b").alias("resource")))
+        edges = checkpointed(edges.join(left.select("driver"), "driver", "left_semi").distinct().withColumn("ord", F.col("driver")))
+        idle, first = idle_before(edges, may.select("driver"))
+        # one that is told by names hangs on what it takes alone, any other on all that it meets
+        takes = told.select("driver", F.explode("chosen").alias("resource")).unionByName(same.join(told, "driver", "left_semi"))
+        hangs = takes.unionByName(edges.join(told, "driver", "left_anti").select("driver", "resource"))
+        beaten = hangs.join(first, "resource").where("driver > first").select("driver").distinct()
+        good = checkpointed(may.join(beaten, "driver", "left_anti"))
         out = good if out is None else out.unionByName(good)
-        # invoices that took, failed for good, or lost their parts to one of the same number are done
-        numbers = left.join(good.select("driver"), "driver", "left_semi").select("invoice_no").distinct()
-        after = checkpointed(left.join(found.select("driver"), "driver", "left_anti").join(numbers, "invoice_no", "left_anti"))
+        # invoices that took, can take nothing, or lost their parts to one of the same number are done
+        numbers = left.join(good, "driver", "left_semi").select("invoice_no").distinct()
+        done = good.select("driver").unionByName(idle)
+        after = checkpointed(left.join(done, "driver", "left_anti").join(numbers, "invoice_no", "left_anti"))
         gone = good.select(F.explode("bank_ids").alias("b")).distinct()
         rest = checkpointed(named.join(gone, "b", "left_anti"))
         if met is not None:
-            met = checkpointed(met.join(gone, "b", "left_anti"))
-        for old in (told, edges, named):
+            hit = met.join(gone, "b", "left_semi").select("driver").distinct()
+            tried = checkpointed(tried.join(hit, "driver", "left_anti").join(after.select("driver"), "driver", "left_semi"))
+            met = checkpointed(met.join(gone, "b", "left_anti").join(after.select("driver"), "driver", "left_semi"))
+        for old in (told, edges, named, may, idle, first):
             drop(old)
         left, named = after, rest
     if out is None:

@@ -460,7 +460,7 @@ def residual_sweep(spark, sf_dir):
 def candidates_topk(spark, sf_dir):
     """Ranked candidates of all credits, against all payments and invoices."""
     l, g, b = _prepared(spark, sf_dir)
-    return candidates.ranked(candidates.pool(l, g, b, CONF), CONF).select("b", "place", "g", "l", "milli")
+    return candidates.ranked(candidates.pool(l, g, b, CONF, CONF.max_candidates), CONF).select("b", "place", "g", "l", "milli")
 
 
 _SHOWN = ("ledger_ids", "gateway_ids", "bank_ids")

@@ -263,4 +263,5 @@ def test_candidates_are_the_first_of_the_window(spark):
             want |= {(c[0], x[0], first.get(x[3])) for x in near} | {(c[0], None, x[0]) for x in [x for x in ledger if abs((x[3] - c[1]).days) <= 45][:40]}
     assert got == want
     best = candidates.ranked(candidates.pool(l, g, b, CONF), CONF).collect()
+    assert sorted(map(str, best)) == sorted(map(str, candidates.ranked(candidates.pool(l, g, b, CONF, CONF.max_candidates), CONF).collect()))
     assert all(x.milli >= y.milli for x, y in combinations(sorted(best, key=lambda r: (r.b, r.place)), 2) if x.b == y.b)
