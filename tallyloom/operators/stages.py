@@ -18,7 +18,7 @@ from ..conf import Conf
 from ..functions import canonical, money, refs
 from ..scratch import drop
 from .blocking import band_join, date_band_join
-from .pools import checkpointed, idle_before, resolve, unique_within
+from .pools import checkpointed, resolve, unique_within
 
 EVIDENCE = "array<struct<label:string,detail:string,weight:double,record_ids:array<string>>>"
 CANDIDATE = (
@@ -358,7 +358,7 @@ def split_payments(ledger: DataFrame, gateway: DataFrame) -> DataFrame:
     return paid.join(many, "driver")
 
 
-FOUND = "driver string, bank_ids array<string>, total bigint, ways int, whole boolean"
+FOUND = "driver string, bank_ids array<string>, total bigint, ways int, whole boolean, hangs array<string>"
 
 
 def _direct(named: DataFrame) -> DataFrame:
@@ -378,8 +378,8 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
 
     All open invoices are told at once, round by round. One whose parts all find a credit hangs only on what it takes. The
     others meet the credits of their window that are no larger than what is to be found; their sets are searched in
-    parallel, one row an invoice, and again only if a credit of theirs was taken since. A finding stands if no invoice before
-    it, on any of those credits, may take one.
+    parallel, one row an invoice, and again only if a credit of theirs was taken since. A finding stands unless an invoice
+    before it takes one of the credits it hangs on, or may yet.
     """
     window, tolerance = conf.date_window_days + 3, conf.amount_tolerance_paise
     parts = checkpointed(split_payments(ledger, gateway))
@@ -396,8 +396,9 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
             rows = []
             for r in f.itertuples():
                 sets, whole = search_subsets([(x["b"], int(x["credit"])) for x in r.pool], int(r.target), tolerance * int(r.n), max(int(r.n), 3))
-                rows.append((r.driver, *(sets[0] if sets else (None, None)), len(sets), whole))
-            yield pd.DataFrame(rows, columns=["driver", "bank_ids", "total", "ways", "whole"])
+                hangs = sorted({b for own, _ in sets for b in own})
+                rows.append((r.driver, *(sets[0] if sets else (None, None)), len(sets), whole, hangs))
+            yield pd.DataFrame(rows, columns=["driver", "bank_ids", "total", "ways", "whole", "hangs"])
 
     while left.take(1):
         told = _direct(named).join(left.select("driver", "n"), "driver").where(F.size("chosen") == F.col("n")).select("driver", "chosen")
@@ -420,7 +421,7 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
             new = ask.repartition(4 * ledger.sparkSession.sparkContext.defaultParallelism, "driver").mapInPandas(search, FOUND)
             tried = checkpointed(new if tried is None else new.unionByName(tried))
         sums = told.select("driver", F.explode("chosen").alias("b")).join(credits.select("b", "credit"), "b").groupBy("driver").agg(F.array_sort(F.collect_list("b")).alias("bank_ids"), F.sum("credit").alias("total"))
-        may = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.lit(True).alias("whole"))
+        may = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.lit(True).alias("whole"), F.col("bank_ids").alias("hangs"))
         if tried is not None:
             may = may.unionByName(tried.where("ways > 0"))
         may = checkpointed(may)
@@ -428,13 +429,28 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
         edges = named.select("driver", F.col("b").alias("resource")).unionByName(same)
         if met is not None:
             edges = edges.unionByName(met.join(told, "driver", "left_anti").select("driver", F.col("b").alias("resource")))
-        edges = checkpointed(edges.join(left.select("driver"), "driver", "left_semi").distinct().withColumn("ord", F.col("driver")))
-        idle, first = idle_before(edges, may.select("driver"))
-        # one that is told by names hangs on what it takes alone, any other on all that it meets
-        takes = told.select("driver", F.explode("chosen").alias("resource")).unionByName(same.join(told, "driver", "left_semi"))
-        hangs = takes.unionByName(edges.join(told, "driver", "left_anti").select("driver", "resource"))
-        beaten = hangs.join(first, "resource").where("driver > first").select("driver").distinct()
-        good = checkpointed(may.join(beaten, "driver", "left_anti"))
+        edges = checkpointed(edges.join(left.select("driver"), "driver", "left_semi").distinct())
+        number = lambda own: same.join(own, "driver", "left_semi")
+        # what a finding hangs on: the sets found, as they stay the first ones while their credits are open; if the search was
+        # cut off, all that was looked at; nothing if there is no set, as losses make none
+        hangs = may.select("driver", F.explode("hangs").alias("resource")).unionByName(number(may))
+        if tried is not None:
+            cut = tried.where("not whole and ways < 2").select("driver")
+            hangs = hangs.unionByName(edges.join(cut, "driver", "left_semi").select("driver", "resource"))
+        hangs = checkpointed(hangs.distinct())
+        claims = may.select("driver", F.explode("bank_ids").alias("resource")).unionByName(number(may))
+        first = claims.groupBy("resource").agg(F.min("driver").alias("first"))
+        # findings that an earlier one takes from are unsure, and so are those that such a one may still take from
+        unsure = checkpointed(hangs.join(first, "resource").where("driver > first").select("driver").distinct())
+        while True:
+            first = edges.join(unsure, "driver", "left_semi").groupBy("resource").agg(F.min("driver").alias("first"))
+            more = hangs.join(first, "resource").where("driver > first").select("driver").distinct().join(unsure, "driver", "left_anti")
+            more = checkpointed(more)
+            if not more.take(1):
+                break
+            unsure = checkpointed(unsure.unionByName(more))
+        good = checkpointed(may.join(unsure, "driver", "left_anti"))
+        idle = left.select("driver").join(may, "driver", "left_anti").join(unsure, "driver", "left_anti")
         out = good if out is None else out.unionByName(good)
         # invoices that took, can take nothing, or lost their parts to one of the same number are done
         numbers = left.join(good, "driver", "left_semi").select("invoice_no").distinct()
@@ -446,7 +462,7 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
             hit = met.join(gone, "b", "left_semi").select("driver").distinct()
             tried = checkpointed(tried.join(hit, "driver", "left_anti").join(after.select("driver"), "driver", "left_semi"))
             met = checkpointed(met.join(gone, "b", "left_anti").join(after.select("driver"), "driver", "left_semi"))
-        for old in (told, edges, named, may, idle, first):
+        for old in (told, edges, named, may, hangs):
             drop(old)
         left, named = after, rest
     if out is None:

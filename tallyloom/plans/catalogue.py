@@ -669,7 +669,7 @@ def fee_parts(spark, sf_dir):
     return view(spark, sf_dir, "gateway").select("record_id", fee.alias("fee"), tax.alias("tax"), rest.alias("rest"))
 
 
-@query(oracle("""select l, 'Invoice ' || invoice_no || ', its payment and its credit agree in reference, amount and dates.' as rationale, 'Receipt|Reference|Amounts equal|' || case when value_date = settled then 'Same day' else 'Days apart' end as labels,
+@query(oracle("""select l, 'Invoice ' || ledger.invoice_no || ', its payment and its credit agree in reference, amount and dates.' as rationale, 'Receipt|Reference|Amounts equal|' || case when value_date = settled then 'Same day' else 'Days apart' end as labels,
   l || ' ' || f.g as cited from exact f join ledger on ledger.record_id = l join gateway on gateway.record_id = f.g join bank on bank.record_id = f.b""", *_EXACT))
 def exact_evidence(spark, sf_dir):
     """What the exact pass says for its groups."""
