@@ -192,12 +192,16 @@ def test_splits_take_credits_of_the_right_sum(spark, run):
         assert r.variance_paise == target - sum(credit[b] for b in r.bank_ids) and abs(r.variance_paise) <= 100 * n
 
 
-def _scripted(system, user):
-    """Takes the first candidate of lines with an even id, invents one for the others."""
-    record = user.split("Record: ")[1].split(",")[0]
-    first = user.split("candidate_id ")[1].split()[0]
-    chosen = first if int(record[-3:]) % 2 == 0 else "CND-none"
-    return json.dumps({"decision": "accept_candidate", "candidate_id": chosen, "exception_type": None, "confidence": 0.95, "rationale": "scripted in a test", "evidence_ids": [record]}), 1200, 150
+def _script():
+    """Takes the first candidate of lines with an even id, invents one for the others. Made here, so that workers get it by value."""
+
+    def ask(system, user):
+        record = user.split("Record: ")[1].split(",")[0]
+        first = user.split("candidate_id ")[1].split()[0]
+        chosen = first if int(record[-3:]) % 2 == 0 else "CND-none"
+        return json.dumps({"decision": "accept_candidate", "candidate_id": chosen, "exception_type": None, "confidence": 0.95, "rationale": "scripted in a test", "evidence_ids": [record]}), 1200, 150
+
+    return ask
 
 
 def test_hybrid_run_asks_applies_and_remembers(spark, run, tmp_path):
@@ -207,7 +211,7 @@ def test_hybrid_run_asks_applies_and_remembers(spark, run, tmp_path):
     sources = [x.where("k < 400") for x in sources]
     with pytest.raises(adjudicate.Unavailable):
         engine.run(*sources, mode="hybrid")
-    cold = engine.run(*sources, mode="hybrid", transport=_scripted)
+    cold = engine.run(*sources, mode="hybrid", transport=_script())
     out, calls = cold.groups.collect(), cold.calls.collect()
     asked = [r for r in out if r.call_id]
     assert asked and {r.match_id for r in calls} == {b for r in asked for b in r.bank_ids[:1]} | {r.match_id for r in calls} and not any(r.cache_hit for r in calls if r.violation)
