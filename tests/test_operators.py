@@ -193,12 +193,12 @@ def test_splits_take_credits_of_the_right_sum(spark, run):
 
 
 def _script():
-    """Takes the first candidate of lines with an even id, invents one for the others. Made here, so that workers get it by value."""
+    """Takes the first candidate of lines of an even order, invents one for the others. Made here, so that workers get it by value."""
 
     def ask(system, user):
         record = user.split("Record: ")[1].split(",")[0]
         first = user.split("candidate_id ")[1].split()[0]
-        chosen = first if int(record[-3:]) % 2 == 0 else "CND-none"
+        chosen = first if int(record[4:]) // 100 % 2 == 0 else "CND-none"
         return json.dumps({"decision": "accept_candidate", "candidate_id": chosen, "exception_type": None, "confidence": 0.95, "rationale": "scripted in a test", "evidence_ids": [record]}), 1200, 150
 
     return ask
