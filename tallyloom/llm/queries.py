@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, decontaminate, host_rules, html_extract, language, mixing, simhash, toxicity, url_filter, warc
+from . import conversation_repair, cotrain, decontaminate, host_rules, html_extract, language, mixing, simhash, toxicity, url_filter, warc, weighted_sampling, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_warc": warc.op9_warc,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_weighted_sampling": weighted_sampling.op11_weighted_sampling,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": host_rules.SQL, "op8_url_filter": url_filter.SQL, "op9_warc": warc.SQL}
+    return {"op2_host_rules": host_rules.SQL, "op8_url_filter": url_filter.SQL, "op9_warc": warc.SQL, "op12_conversation_repair": conversation_repair.SQL}
