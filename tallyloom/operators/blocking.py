@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import refs
 from .pools import checkpointed
 
 
@@ -33,6 +34,87 @@ def date_band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: st
     return band_join(a, b, "_l", "_r", days).drop("_l", "_r")
 
 
+def _cells(left: DataFrame, right: DataFrame, amounts: tuple[str, str], tolerance: int, days: tuple[str, str] | None, within: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with a cell of amount and day (_a, _d), the right one in every cell in which its partners may lie, and
+    the condition of being near."""
+    epoch = F.lit("1970-01-01").cast("date")
+    day = lambda side: _bucket(F.datediff(days[side], epoch), within + 1) if days else F.lit(0).cast("bigint")
+    around = lambda x, wide: F.explode(F.array(*(x + i for i in ((-1, 0, 1) if wide else (0,)))))
+    a = left.withColumns({"_a": _bucket(F.col(amounts[0]), tolerance + 1), "_d": day(0)})
+    b = right.withColumn("_a", around(_bucket(F.col(amounts[1]), tolerance + 1), tolerance)).withColumn("_d", around(day(1), days and within))
+    near = F.abs(F.col(amounts[0]) - F.col(amounts[1])) <= tolerance
+    return a, b, near & (refs.days_apart(F.col(days[0]), F.col(days[1])) <= within) if days else near
+
+
+def grid_join(left: DataFrame, right: DataFrame, amounts: tuple[str, str], tolerance: int, days: tuple[str, str], within: int) -> DataFrame:
+    """Rows of both sides whose amounts differ by tolerance, and whose days by so many, at most.
+
+    Cells of amount and day are equi-joined, so records of one price meet those of their own days alone.
+    """
+    a, b, near = _cells(left, right, amounts, tolerance, days, within)
+    return a.join(b, ["_a", "_d"]).where(near).drop("_a", "_d")
+
+
+#: A cell is crowded if its pairs are over so many for each of its rows.
+CROWD = 16
+#: References this short may be named inside longer words.
+SHORT = (4, 5)
+
+
+def _swaps(x: Column) -> list[Column]:
+    """Texts with two letters swapped have the same letters, and every third letter alike from the first, second or third on."""
+    letters = F.array_join(F.array_sort(F.split(x, "")), "")
+    every = lambda i: F.array_join(F.filter(F.split(x, ""), lambda _, at: at % 3 == i), "")
+    return [F.concat(F.lit(f"s{i}"), letters, every(i)) for i in range(3)]
+
+
+def _anchors(texts: Column, as_key: bool, kinds: int) -> Column:
+    """Where references and keys must meet to be of one of the first kinds: by side, so that a tail of the one meets the places of
+    the other."""
+    own, other = ("k", "w") if as_key else ("w", "k")
+
+    def places(x: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - n, F.lit(0))), lambda i: F.concat(F.lit(other), F.substring(x, i + 1, F.lit(n))))
+
+    def of(x: Column) -> Column:
+        inside = [places(x, n) for n in ((ANCHOR, *SHORT) if as_key else (ANCHOR,))]  # a short reference has no six places
+        return F.concat(F.array(F.concat(F.lit(own), refs.last6(x)), *(_swaps(x) if kinds >= 4 else [])), *inside)
+
+    return F.array_distinct(F.flatten(F.transform(texts, of)))
+
+
+def named_join(
+    left: DataFrame, right: DataFrame, ids: tuple[list[str], list[str]], amounts: tuple[str, str], tolerance: int, wanted: list[str], keys: str, kinds: int,
+    days: tuple[str, str] | None = None, within: int = 0, crowd: int = CROWD,
+) -> DataFrame:
+    """Rows near in amount, and in day if days are given, of which the right one's keys name a wanted reference of the left
+    one by one of the first `kinds` kinds of match_kind(), which is column kind. ids: columns that tell the rows of each side.
+
+    Cells of amount and day are equi-joined. Where one is crowded, as when thousands of records have one price, its rows meet by
+    reference inside the cell instead: a tail of the one at a place of the other, or equal letters and every third alike. What is crowded is
+    counted, by a partial count of both sides. Neither way loses a pair.
+    """
+    a, b, near = _cells(left, right, amounts, tolerance, days, within)
+    kind = refs.match_kind(F.col(keys), F.array(*wanted))
+    count = lambda df, name: df.groupBy("_a", "_d").agg(F.count(F.lit(1)).alias(name))
+    busy = count(a, "n").join(count(b, "m"), ["_a", "_d"]).where(F.col("n") * F.col("m") > crowd * (F.col("n") + F.col("m")))
+    busy = checkpointed(busy.select("_a", "_d"))
+    out = lambda pairs: pairs.where(near).withColumn("kind", kind).where(F.col("kind") <= kinds).drop("_a", "_d")
+    if not busy.take(1):
+        return out(a.join(b, ["_a", "_d"]))
+    few = out(a.join(busy, ["_a", "_d"], "left_anti").join(b, ["_a", "_d"]))
+    met = crowded_pairs(a, b, busy, ids, wanted, keys, kinds)
+    return few.unionByName(out(met.join(left, ids[0]).join(right, ids[1])).select(*few.columns))
+
+
+def crowded_pairs(a: DataFrame, b: DataFrame, busy: DataFrame, ids: tuple[list[str], list[str]], wanted: list[str], keys: str, kinds: int) -> DataFrame:
+    """The different pairs of ids whose rows share a cell of busy and an anchor of a reference."""
+    wants = F.filter(F.transform(F.filter(F.array(*wanted), lambda w: w.isNotNull()), refs.normalize_ref), lambda w: F.length(w) >= SHORT[0])
+    of = lambda df, own, texts, as_key: df.join(busy, ["_a", "_d"], "left_semi").select(*own, "_a", "_d", F.explode(_anchors(texts, as_key, kinds)).alias("_on"))
+    x, y = of(a, ids[0], wants, False), of(b, ids[1], F.transform(keys, lambda k: k["full"]), True)
+    return x.join(y, ["_a", "_d", "_on"]).select(*ids[0], *ids[1]).distinct()
+
+
 def _substrings(column: str, lengths: list[int]) -> Column:
     """The different substrings of the given lengths."""
     of = lambda n: F.expr(f"if(length({column}) >= {n}, transform(sequence(1, length({column}) - {n} + 1), i -> substring({column}, i, {n})), array())")

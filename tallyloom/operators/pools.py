@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..scratch import drop, materialize
+from .components import connected_components, contracted
 
 checkpointed = materialize
+#: Drivers that wait for each other are replayed in one task if they have so many edges at most.
+REPLAYED = 100_000
 
 
 def open_rows(records: DataFrame, claims: DataFrame) -> DataFrame:
@@ -58,7 +65,35 @@ def _settled(edges: DataFrame, claimers: DataFrame) -> DataFrame:
     return idle.unionByName(claimers.join(after, "driver", "left_anti"))
 
 
-def resolve(edges: DataFrame, decide: Callable[[DataFrame], DataFrame], greedy: bool = False, alive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def conflicts(edges: DataFrame) -> DataFrame:
+    """(driver, component) of the drivers that share a resource with another: the smallest driver that they reach by shared ones."""
+    first = edges.groupBy("resource").agg(F.min("driver").alias("first"))
+    links = edges.join(first, "resource").where("driver <> first").select("driver", "first").distinct()
+    return connected_components(contracted(links)).withColumnRenamed("node", "driver")
+
+
+def replayed(edges: DataFrame, rule: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """Claims of each component's drivers, taken one by one in order: rule(edges of a driver to open resources) gives the rows
+    that it claims. edges: with component. A component is one task's at a time, so its size must be bounded."""
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        of, taken, out = defaultdict(list), set(), []
+        for row in table.to_pylist():
+            of[row["ord"], row["driver"]].append(row)
+        for key in sorted(of):
+            claims = rule([r for r in of[key] if r["resource"] not in taken])
+            taken.update(c["resource"] for c in claims)
+            out += claims
+        return pa.Table.from_pylist(out, arrow)
+
+    return edges.groupBy("component").applyInArrow(run, schema)
+
+
+def resolve(
+    edges: DataFrame, decide: Callable[[DataFrame], DataFrame], greedy: bool = False, alive: Callable[[DataFrame], DataFrame] | None = None,
+    rule: Callable[[list[dict]], list[dict]] | None = None, most: int = REPLAYED,
+) -> DataFrame:
     """Claims as if drivers were taken one by one in order, decided many at a time.
 
     edges: driver, ord, resource and whatever decide() reads; every resource that can sway a driver
@@ -71,8 +106,11 @@ def resolve(edges: DataFrame, decide: Callable[[DataFrame], DataFrame], greedy:
     drivers come that claim nothing is final too, so contests without claims take one round.
     greedy: what a driver claims are the best of its open resources whatever the others are, so it needs to be first
     on those alone, and one that claims nothing never will.
-    alive(edges left) drops edges of drivers that can claim nothing any more. Rounds follow the longest chain of
-    drivers that wait for each other's claims.
+    alive(edges left) drops edges of drivers that can claim nothing any more.
+    rule: decide() for the edges of one driver, as rows. With it, what the first round leaves is dealt out by connected
+    components of drivers that share resources; those of `most` edges at most are replayed in order, each in one task, however
+    long their chains are. Only larger components go on by rounds, which follow the longest chain of drivers that wait for each
+    other's claims.
     """
     keep = alive or (lambda df: df)
     left, out, slow = materialize(keep(edges)), None, greedy
@@ -103,10 +141,24 @@ def resolve(edges: DataFrame, decide: Callable[[DataFrame], DataFrame], greedy:
         drop(final)
         left, before = after, drivers
         drivers = left.select("driver").distinct().count()
+        if rule and drivers:
+            claims, left = _replay_small(left, rule, claims.schema, most)
+            out, rule = out.unionByName(claims), None
+            drivers = left.select("driver").distinct().count()
         slow = greedy or drivers > 0.5 * before
     return out if out is not None else decide(left)
 
 
+def _replay_small(left: DataFrame, rule: Callable[[list[dict]], list[dict]], schema: StructType, most: int) -> tuple[DataFrame, DataFrame]:
+    """(claims, edges left): the components of `most` edges at most replayed, and the edges of the others."""
+    own = F.coalesce("component", "driver").alias("component")  # a driver that shares nothing is a component
+    rows = left.join(conflicts(left), "driver", "left").select(*(left[c] for c in left.columns), own)
+    rows = materialize(rows, "components")
+    large = materialize(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"), "large")
+    claims = materialize(replayed(rows.join(large, "component", "left_anti"), rule, schema), "replayed")
+    return claims, materialize(rows.join(large, "component", "left_semi").drop("component"), "left")
+
+
 def numbered(df: DataFrame, *order: str, column: str = "position") -> DataFrame:
     """df with 1, 2, 3, ... in the given total order, without gathering the rows in one task.
 

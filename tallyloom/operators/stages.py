@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..conf import Conf
 from ..functions import canonical, money, refs
 from ..scratch import drop
-from .blocking import band_join, date_band_join
+from .blocking import band_join, date_band_join, grid_join, named_join
 from .pools import checkpointed, resolve, unique_within
 
 EVIDENCE = "array<struct<label:string,detail:string,weight:double,record_ids:array<string>>>"
@@ -117,14 +117,15 @@ def exact_pairs(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Co
     says that an open debit of the same amount names them too."""
     l, g, b = _named(ledger, "l"), _named(gateway, "g"), _named(bank, "b")
     good = (F.col("g_amount_paise") == F.col("l_gross_paise")) & (F.col("g_refund_paise") == 0) & (F.col("g_status") == "captured") & F.col("g_settlement_id").isNotNull()
-    paid = l.join(g, F.col("l_invoice_key") == F.col("g_receipt_key")).where(good)
-    hits = paid.join(b.where("b_direction = 'credit'"), F.col("b_amount_paise") == F.col("g_net_paise"))
-    hits = hits.where(refs.dates_in_order(F.col("l_issue_date"), F.col("g_captured"), F.col("g_settled"), F.col("b_value_date")))
-    hits = hits.where(refs.days_apart(F.col("g_paid_on"), F.col("b_value_date")) <= conf.date_window_days)
-    wanted = F.array("g_settlement_id", "g_order_id", "l_invoice_no")
-    hits = hits.withColumn("kind", refs.match_kind(F.col("b_keys"), wanted)).where("kind <= 2")
-    debits = b.where("b_direction = 'debit'").select(F.col("b_amount_paise").alias("d_amount"), F.col("b_keys").alias("d_keys"))
-    reversed_ = hits.join(debits, F.col("d_amount") == F.col("b_amount_paise")).where(refs.match_kind(F.col("d_keys"), wanted) <= 4)
+    paid = checkpointed(l.join(g, F.col("l_invoice_key") == F.col("g_receipt_key")).where(good))
+    wanted = ["g_settlement_id", "g_order_id", "l_invoice_no"]
+    both = (["l_record_id", "g_record_id"], ["b_record_id"])
+    days = ("g_paid_on", "b_value_date")
+    hits = named_join(paid, b.where("b_direction = 'credit'"), both, ("g_net_paise", "b_amount_paise"), 0, wanted, "b_keys", 2, days, conf.date_window_days)
+    hits = checkpointed(hits.where(refs.dates_in_order(F.col("l_issue_date"), F.col("g_captured"), F.col("g_settled"), F.col("b_value_date"))))
+    debits = b.where("b_direction = 'debit'").select(F.col("b_record_id").alias("d_record_id"), F.col("b_amount_paise").alias("d_amount"), F.col("b_keys").alias("d_keys"))
+    three = ["l_record_id", "g_record_id", "b_record_id"]
+    reversed_ = named_join(hits.select(*three, "b_amount_paise", *wanted), debits, (three, ["d_record_id"]), ("b_amount_paise", "d_amount"), 0, wanted, "d_keys", 4)
     flag = reversed_.select("l_record_id", "b_record_id").distinct().withColumn("reversed", F.lit(True))
     return hits.join(flag, ["l_record_id", "b_record_id"], "left").withColumn("reversed", F.coalesce("reversed", F.lit(False)))
 
@@ -136,6 +137,12 @@ def _single(edges: DataFrame) -> DataFrame:
     return edges.join(good, "driver", "left_semi").select("driver", "resource", "kind")
 
 
+def _single_rule(rows: list[dict]) -> list[dict]:
+    """_single() for one driver."""
+    good = sorted(r["kind"] for r in rows) == ["b", "g"] and not any(r["reversed"] for r in rows)
+    return [{c: r[c] for c in ("driver", "resource", "kind")} for r in rows] if good else []
+
+
 def exact(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
     """Invoices with exactly one open payment by receipt, exact in all respects, and exactly one credit.
 
@@ -152,7 +159,7 @@ def exact(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) ->
         both = left.groupBy("driver").agg(F.count_distinct("kind").alias("n")).where("n = 2")
         return left.join(both, "driver", "left_semi")
 
-    won = resolve(edges, _single, alive=alive).groupBy("driver").agg(
+    won = resolve(edges, _single, alive=alive, rule=_single_rule).groupBy("driver").agg(
         F.max(F.when(F.col("kind") == "g", F.col("resource"))).alias("g"), F.max(F.when(F.col("kind") == "b", F.col("resource"))).alias("b")
     )
     out = won.join(pairs.withColumnsRenamed({"l_record_id": "driver", "g_record_id": "g", "b_record_id": "b"}).drop("reversed"), ["driver", "g", "b"])
@@ -176,16 +183,27 @@ def payment_of(ledger: DataFrame, gateway: DataFrame) -> DataFrame:
     return both.unionByName(unique_within(rest.join(tails, "tail").select("l_record_id", "g_record_id"), "l_record_id"))
 
 
-def tolerant_scored(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
-    """Every invoice, its payment, and each credit within tolerance of the net: thousandths and exception."""
+#: Confidence, in thousandths, before anything speaks against a credit, and what no reference at all takes from it.
+SURE, UNNAMED = 980, 250
+
+
+def tolerant_scored(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf, floor: int = 0) -> DataFrame:
+    """Every invoice, its payment, and each credit within tolerance of the net that may reach `floor` thousandths: these, and
+    the exception. Where the floor is too high for credits that name nothing, records of one amount meet by reference."""
     l, g, b = _named(ledger, "l"), _named(gateway, "g"), _named(bank, "b")
     paid = payment_of(ledger, gateway).join(l, "l_record_id").join(g, "g_record_id")
-    near = band_join(paid, b.where("b_direction = 'credit'"), "g_net_paise", "b_amount_paise", conf.amount_tolerance_paise)
-    near = near.withColumn("rank", refs.match_kind(F.col("b_keys"), F.array("g_settlement_id", "g_order_id", "l_invoice_no")))
+    credits, amounts, wanted = b.where("b_direction = 'credit'"), ("g_net_paise", "b_amount_paise"), ["g_settlement_id", "g_order_id", "l_invoice_no"]
+    kinds = [i for i, (_, _, less) in enumerate(refs.KINDS, 1) if SURE - less >= floor]
+    if SURE - UNNAMED >= floor:
+        near = band_join(paid, credits, *amounts, conf.amount_tolerance_paise)
+        near = near.withColumn("rank", refs.match_kind(F.col("b_keys"), F.array(*wanted)))
+    else:
+        near = named_join(checkpointed(paid), credits, (["l_record_id"], ["b_record_id"]), amounts, conf.amount_tolerance_paise, wanted, "b_keys", max(kinds, default=0))
+        near = near.withColumnRenamed("kind", "rank")
     near = near.withColumn("variance", F.col("g_net_paise") - F.col("b_amount_paise")).withColumn("gap", refs.days_apart(F.col("g_paid_on"), F.col("b_value_date")))
     near = near.withColumn("fee_ok", money.fee_in_band(F.col("g_fee_paise"), F.col("g_amount_paise"), F.col("g_method"))).withColumn("name", refs.name_similarity(F.col("l_customer_name"), F.col("b_narration")))
     less = (
-        refs.kind_value(F.col("rank"), 2) + F.when(F.col("rank") == 5, 250).otherwise(0) + F.when(F.col("variance") != 0, 50).otherwise(0) + F.when(F.col("gap") > 0, 50).otherwise(0)
+        refs.kind_value(F.col("rank"), 2) + F.when(F.col("rank") == 5, UNNAMED).otherwise(0) + F.when(F.col("variance") != 0, 50).otherwise(0) + F.when(F.col("gap") > 0, 50).otherwise(0)
         + F.when(F.col("fee_ok"), 0).otherwise(50) + F.when((F.col("name") >= 0.4) & (F.col("name") < 0.85), 100).otherwise(0)
     )
     why = (
@@ -194,7 +212,17 @@ def tolerant_scored(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf
     )
     kept = ["l_record_id", "g_record_id", "b_record_id", "l_gross_paise", "l_invoice_no", "l_customer_name", "variance", "gap", "rank", "fee_ok", "name"]
     kept += ["g_fee_paise", "g_amount_paise", "g_method", F.coalesce("g_settlement_id", "l_invoice_no").alias("wanted")]
-    return near.select(*kept, F.col("b_amount_paise").alias("credit_paise"), (F.lit(980) - less).alias("milli"), why.alias("exception"))
+    return near.select(*kept, F.col("b_amount_paise").alias("credit_paise"), (F.lit(SURE) - less).alias("milli"), why.alias("exception"))
+
+
+def _best_rule(rows: list[dict]) -> list[dict]:
+    """What one invoice takes of its open credits and payment: the best credit, if its payment is open."""
+    fits = [((-r["milli"], r["credit_paise"], r["resource"]), r["resource"]) for r in rows if r["milli"] is not None]
+    payments = [r["resource"] for r in rows if r["milli"] is None]
+    if not fits or not payments:
+        return []
+    b, g = min(fits)[1], max(payments)
+    return [{"driver": rows[0]["driver"], "resource": x, "b": b, "g": g} for x in (b, g)]
 
 
 def tolerant(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
@@ -204,7 +232,7 @@ def tolerant(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf)
     to be taken are still looked at, as a better one may be gone.
     """
     floor = int(conf.auto_clear_threshold * 1000 + 0.5)
-    scored = checkpointed(tolerant_scored(ledger, gateway, bank, conf).where(F.col("milli") >= floor))
+    scored = checkpointed(tolerant_scored(ledger, gateway, bank, conf, floor).where(F.col("milli") >= floor))
     keep = [F.col("l_record_id").alias("driver"), F.col("l_record_id").alias("ord")]
     edges = scored.select(*keep, F.col("b_record_id").alias("resource"), "g_record_id", "milli", "credit_paise")
     edges = edges.unionByName(scored.select(*keep, F.col("g_record_id").alias("resource"), "g_record_id", F.lit(None).cast("int").alias("milli"), F.lit(None).cast("bigint").alias("credit_paise")).distinct())
@@ -217,7 +245,7 @@ def tolerant(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf)
         best = best.where("x is not null and g is not null")
         return best.select("driver", F.explode(F.array(F.col("x.resource"), F.col("g"))).alias("resource"), F.col("x.resource").alias("b"), "g")
 
-    won = resolve(edges, decide, greedy=True).select("driver", "b", "g").distinct()
+    won = resolve(edges, decide, greedy=True, rule=_best_rule).select("driver", "b", "g").distinct()
     out = won.join(scored.withColumnsRenamed({"l_record_id": "driver", "g_record_id": "g", "b_record_id": "b"}), ["driver", "g", "b"])
     near = F.filter(
         F.array(
@@ -247,11 +275,27 @@ def settlement_batches(gateway: DataFrame) -> DataFrame:
 
 def batch_fits(gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
     """Credits and the whole batches that sum to them within tolerance, a few days apart at most."""
-    fits = band_join(bank.where("direction = 'credit'"), settlement_batches(gateway), "amount_paise", "total_paise", conf.amount_tolerance_paise)
-    fits = fits.where(refs.days_apart(F.col("settled_on"), F.col("value_date")) <= conf.date_window_days + 2)
+    credits, amounts, days = bank.where("direction = 'credit'"), ("amount_paise", "total_paise"), ("value_date", "settled_on")
+    fits = grid_join(credits, settlement_batches(gateway), amounts, conf.amount_tolerance_paise, days, conf.date_window_days + 2)
     return fits.withColumn("hinted", refs.match_kind(F.col("keys"), F.array("settlement_id")) <= 4)
 
 
+def _batch_rule(rows: list[dict], limit: int) -> list[dict]:
+    """What one credit takes of the open settlements that fit it and the open invoices of their receipts."""
+    fits = [r for r in rows if r["l"] is None]
+    hinted = [r for r in fits if r["hinted"]]
+    chosen = hinted if len(hinted) == 1 else fits
+    out = lambda r, resource, number: {c: r[c] for c in ("driver", "settlement_id", "l", "receipt")} | {"resource": resource, "chosen": number}
+    if len(chosen) != 1:
+        return [out(r, None, len(chosen)) for r in chosen]
+    if chosen[0]["n"] > limit:  # too large to take
+        return []
+    bills: dict[str, dict] = {}
+    for r in sorted((r for r in rows if r["l"] is not None and r["settlement_id"] == chosen[0]["settlement_id"]), key=lambda r: r["l"]):
+        bills.setdefault(r["receipt"], r)
+    return [out(chosen[0], chosen[0]["resource"], 1), *(out(r, f"l {r['l']}", 0) for r in bills.values())]
+
+
 def batches(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -> DataFrame:
     """Credits that carry one whole settlement, with the first open invoice of each of its payments' receipts; a credit that
     several settlements could make up stays open to choice, with each of them as a candidate."""
@@ -283,7 +327,7 @@ def batches(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf)
     def alive(left: DataFrame) -> DataFrame:
         return left.join(left.where("l is null").select("driver").distinct(), "driver", "left_semi")
 
-    won = checkpointed(resolve(edges, decide, alive=alive))
+    won = checkpointed(resolve(edges, decide, alive=alive, rule=lambda rows: _batch_rule(rows, conf.batch_limit)))
     of = named.join(won.where("l is not null").select("driver", "settlement_id", "receipt", "l"), ["driver", "settlement_id", "receipt"])
     bills = of.groupBy("driver").agg(F.array_sort(F.collect_list("l")).alias("ledger"))  # an invoice paid twice in a batch shows twice
     single = won.where("chosen = 1").select("driver", "settlement_id").join(fits, ["driver", "settlement_id"]).join(bills, "driver", "left")
