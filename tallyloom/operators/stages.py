@@ -8,9 +8,6 @@ rationale, evidence, and candidates where a choice is left open.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from ..functions import canonical, money, refs
 from ..scratch import drop
 from .blocking import band_join, date_band_join, grid_join, named_join
 from .pools import checkpointed, resolve, unique_within
+from .sums import first_sums
 
 EVIDENCE = "array<struct<label:string,detail:string,weight:double,record_ids:array<string>>>"
 CANDIDATE = (
@@ -360,39 +358,6 @@ def batches(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf)
     return out.unionByName(open_.select(*rows))
 
 
-def search_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most: int, solutions: int = 2, budget: int = 250_000) -> tuple[list[tuple[list[str], int]], bool]:
-    """Sets of at most `most` items that sum to target within tolerance, as (sorted ids, total); and whether all were looked at.
-
-    Larger values are tried first, of equal ones the smaller id. A set that fits is not extended.
-    Stops at `solutions` sets, or once `budget` partial sets were looked at.
-    """
-    order = sorted(items, key=lambda x: (-x[1], x[0]))
-    rest = [0] * (len(order) + 1)
-    for i in range(len(order) - 1, -1, -1):
-        rest[i] = rest[i + 1] + order[i][1]
-    found: list[tuple[list[str], int]] = []
-    looked = 0
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, 0, ())]
-    while stack and len(found) < solutions:
-        at, total, chosen = stack.pop()
-        looked += 1
-        if looked > budget:
-            return found, False
-        if chosen and abs(total - target) <= tolerance:
-            found.append((sorted(order[i][0] for i in chosen), total))
-            continue
-        if total > target + tolerance or len(chosen) >= most or total + rest[at] < target - tolerance:
-            continue
-        # pushed last to first, so that the first is looked at next
-        stack += [(i + 1, total + order[i][1], (*chosen, i)) for i in range(len(order) - 1, at - 1, -1) if total + order[i][1] <= target + tolerance]
-    return found, True
-
-
-def find_subsets(items: list[tuple[str, int]], target: int, tolerance: int, most: int, **limits: int) -> list[tuple[list[str], int]]:
-    """The sets alone that search_subsets() finds."""
-    return search_subsets(items, target, tolerance, most, **limits)[0]
-
-
 def split_payments(ledger: DataFrame, gateway: DataFrame) -> DataFrame:
     """Invoices with two open payments or more under their very number: the payments, and sums over them."""
     payments = gateway.select(F.col("receipt").alias("invoice_no"), F.col("record_id").alias("g"), "net_paise", "paid_on", "settlement_id", "order_id")
@@ -402,7 +367,18 @@ def split_payments(ledger: DataFrame, gateway: DataFrame) -> DataFrame:
     return paid.join(many, "driver")
 
 
-FOUND = "driver string, bank_ids array<string>, total bigint, ways int, whole boolean, hangs array<string>"
+def split_pools(parts: DataFrame, credits: DataFrame, conf: Conf) -> DataFrame:
+    """(driver, b, credit): credits a few days from any part of an invoice, and no larger than all its parts together."""
+    window, tolerance = conf.date_window_days + 3, conf.amount_tolerance_paise
+    days = parts.select("driver", "target", "n", "paid_on")
+    near = date_band_join(days, credits.select("b", "value_date", "credit"), "paid_on", "value_date", window)
+    return near.where(F.col("credit") <= F.col("target") + tolerance * F.col("n")).select("driver", "b", "credit").distinct()
+
+
+def split_sums(wide: DataFrame, pools: DataFrame, conf: Conf) -> DataFrame:
+    """first_sums() of invoices (driver, target, n) over their pools: sets of n credits, 3 at least, at most."""
+    asks = wide.select("driver", "target", (conf.amount_tolerance_paise * F.col("n")).alias("tolerance"), F.greatest("n", F.lit(3)).alias("most"))
+    return first_sums(asks, pools.select("driver", F.col("b").alias("item"), F.col("credit").alias("amount")))
 
 
 def _direct(named: DataFrame) -> DataFrame:
@@ -421,13 +397,13 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
     taken by its first invoice that succeeds.
 
     All open invoices are told at once, round by round. One whose parts all find a credit hangs only on what it takes. The
-    others meet the credits of their window that are no larger than what is to be found; their sets are searched in
-    parallel, one row an invoice, and again only if a credit of theirs was taken since. A finding stands unless an invoice
-    before it takes one of the credits it hangs on, or may yet.
+    others meet the credits of their window that are no larger than what is to be found; their first two sets come by
+    first_sums(), and anew only if a credit of these was taken since. A finding stands unless an invoice before it takes
+    one of the credits it hangs on, or may yet.
     """
     window, tolerance = conf.date_window_days + 3, conf.amount_tolerance_paise
     parts = checkpointed(split_payments(ledger, gateway))
-    credits = bank.where("direction = 'credit'").select(F.col("record_id").alias("b"), "value_date", F.col("amount_paise").alias("credit"), "keys")
+    credits = checkpointed(bank.where("direction = 'credit'").select(F.col("record_id").alias("b"), "value_date", F.col("amount_paise").alias("credit"), "keys"))
     near = F.exists("days", lambda d: refs.days_apart(d, F.col("value_date")) <= window)  # near any part
     named = parts.join(credits, F.col("credit") == F.col("net_paise")).where(near)
     named = named.where(refs.match_kind(F.col("keys"), F.array("invoice_no", "settlement_id", "order_id")) <= 4)
@@ -435,37 +411,27 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
     jobs = checkpointed(parts.groupBy("driver", "invoice_no", "gross_paise", "target", "n").agg(F.array_sort(F.collect_list("g")).alias("parts")))
     left, met, out, tried = jobs, None, None, None
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                sets, whole = search_subsets([(x["b"], int(x["credit"])) for x in r.pool], int(r.target), tolerance * int(r.n), max(int(r.n), 3))
-                hangs = sorted({b for own, _ in sets for b in own})
-                rows.append((r.driver, *(sets[0] if sets else (None, None)), len(sets), whole, hangs))
-            yield pd.DataFrame(rows, columns=["driver", "bank_ids", "total", "ways", "whole", "hangs"])
-
     while left.take(1):
         told = _direct(named).join(left.select("driver", "n"), "driver").where(F.size("chosen") == F.col("n")).select("driver", "chosen")
         told = checkpointed(told)
         wide = left.join(told, "driver", "left_anti").select("driver", "target", "n")
         fresh = wide if met is None else wide.join(met.select("driver").distinct(), "driver", "left_anti")
         if fresh.take(1):
-            days = parts.select("driver", "paid_on").join(fresh, "driver")
-            near = date_band_join(days, credits.drop("keys"), "paid_on", "value_date", window).where(F.col("credit") <= F.col("target") + tolerance * F.col("n"))
+            near = split_pools(parts.join(fresh.select("driver"), "driver", "left_semi"), credits, conf)
             if out is not None:
                 near = near.join(out.select(F.explode("bank_ids").alias("b")), "b", "left_anti")
             # an invoice with no credit to meet is known by an edge of its own
-            near = near.select("driver", "b", "credit").unionByName(fresh.select("driver", F.concat(F.lit(" "), "driver").alias("b"), F.lit(None).cast("bigint").alias("credit")))
-            met = checkpointed(near.distinct() if met is None else near.distinct().unionByName(met))
+            near = near.unionByName(fresh.select("driver", F.concat(F.lit(" "), "driver").alias("b"), F.lit(None).cast("bigint").alias("credit")))
+            met = checkpointed(near if met is None else near.unionByName(met))
         if met is not None:  # search the sets of those that were not yet, or lost a credit since
             ask = wide if tried is None else wide.join(tried, "driver", "left_anti")
-            pool = met.where("credit is not null").groupBy("driver").agg(F.collect_list(F.struct("b", "credit")).alias("pool"))
-            none = F.array().cast("array<struct<b:string,credit:bigint>>")
-            ask = ask.join(pool, "driver", "left").select("driver", "target", "n", F.coalesce("pool", none).alias("pool"))
-            new = ask.repartition(4 * ledger.sparkSession.sparkContext.defaultParallelism, "driver").mapInPandas(search, FOUND)
+            new = split_sums(ask, met.where("credit is not null"), conf)
+            new = new.select(
+                "driver", F.get("found", F.lit(0))["items"].alias("bank_ids"), F.get("found", F.lit(0))["total"].alias("total"), F.size("found").alias("ways"), F.array_distinct(F.flatten("found.items")).alias("hangs"),
+            )
             tried = checkpointed(new if tried is None else new.unionByName(tried))
         sums = told.select("driver", F.explode("chosen").alias("b")).join(credits.select("b", "credit"), "b").groupBy("driver").agg(F.array_sort(F.collect_list("b")).alias("bank_ids"), F.sum("credit").alias("total"))
-        may = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.lit(True).alias("whole"), F.col("bank_ids").alias("hangs"))
+        may = sums.select("driver", "bank_ids", "total", F.lit(1).alias("ways"), F.col("bank_ids").alias("hangs"))
         if tried is not None:
             may = may.unionByName(tried.where("ways > 0"))
         may = checkpointed(may)
@@ -475,13 +441,9 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
             edges = edges.unionByName(met.join(told, "driver", "left_anti").select("driver", F.col("b").alias("resource")))
         edges = checkpointed(edges.join(left.select("driver"), "driver", "left_semi").distinct())
         number = lambda own: same.join(own, "driver", "left_semi")
-        # what a finding hangs on: the sets found, as they stay the first ones while their credits are open; if the search was
-        # cut off, all that was looked at; nothing if there is no set, as losses make none
-        hangs = may.select("driver", F.explode("hangs").alias("resource")).unionByName(number(may))
-        if tried is not None:
-            cut = tried.where("not whole and ways < 2").select("driver")
-            hangs = hangs.unionByName(edges.join(cut, "driver", "left_semi").select("driver", "resource"))
-        hangs = checkpointed(hangs.distinct())
+        # what a finding hangs on: the sets found, as they stay the first ones while their credits are open; nothing if there is
+        # no set, as losses make none
+        hangs = checkpointed(may.select("driver", F.explode("hangs").alias("resource")).unionByName(number(may)).distinct())
         claims = may.select("driver", F.explode("bank_ids").alias("resource")).unionByName(number(may))
         first = claims.groupBy("resource").agg(F.min("driver").alias("first"))
         # findings that an earlier one takes from are unsure, and so are those that such a one may still take from
@@ -503,7 +465,7 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
         gone = good.select(F.explode("bank_ids").alias("b")).distinct()
         rest = checkpointed(named.join(gone, "b", "left_anti"))
         if met is not None:
-            hit = met.join(gone, "b", "left_semi").select("driver").distinct()
+            hit = tried.select("driver", F.explode("hangs").alias("b")).join(gone, "b", "left_semi").select("driver").distinct()
             tried = checkpointed(tried.join(hit, "driver", "left_anti").join(after.select("driver"), "driver", "left_semi"))
             met = checkpointed(met.join(gone, "b", "left_anti").join(after.select("driver"), "driver", "left_semi"))
         for old in (told, edges, named, may, hangs):
@@ -512,8 +474,7 @@ def splits(ledger: DataFrame, gateway: DataFrame, bank: DataFrame, conf: Conf) -
     if out is None:
         return ledger.sparkSession.createDataFrame([], GROUP)
     full = out.join(jobs, "driver")
-    more = F.when(F.col("whole"), F.lit("")).otherwise(F.lit(" The search stopped at its budget."))
-    why = F.concat(F.lit("Invoice "), F.col("invoice_no"), F.lit(" was paid in "), F.col("n").cast("string"), F.lit(" parts by "), F.size("bank_ids").cast("string"), F.lit(" credits."), more)
+    why = F.concat(F.lit("Invoice "), F.col("invoice_no"), F.lit(" was paid in "), F.col("n").cast("string"), F.lit(" parts by "), F.size("bank_ids").cast("string"), F.lit(" credits."))
     detail = F.concat(F.lit("Credits of "), money.format_inr(F.col("total")), F.lit(" for payments of "), money.format_inr(F.col("target")), F.lit(" net."))
     evidence = F.array(proof("Parts add up", detail, 0.8, F.concat("parts", "bank_ids")))
     return full.select(

@@ -432,10 +432,38 @@ def batch_match(spark, sf_dir):
 
 @query()
 def split_match(spark, sf_dir):
-    out = stages.splits(*_prepared(spark, sf_dir), CONF)
+    """The split pass as a run meets it: copies of payments and bank lines are set aside before."""
+    l, g, b = _written(spark, sf_dir)
+    copies = pools.checkpointed(residual.shadows(g, b))
+    out = stages.splits(l, pools.open_rows(g, copies), pools.open_rows(b, copies), CONF)
     return out.select("driver", *(F.array_join(c, " ").alias(c) for c in ("gateway_ids", "bank_ids")), "amount_paise", "variance_paise", "milli")
 
 
+_SETS = """parts as (select l.record_id as driver, g.net_paise, g.settled from ledger l join gateway g on g.receipt = l.invoice_no),
+wide as (select driver, sum(net_paise) as target, count(*) * 100 as tol from parts group by driver having count(*) >= 2),
+pool as (select distinct p.driver, b.record_id as b, b.amount_paise as credit, target, tol from parts p join wide using (driver) join bank b on abs(b.value_date - p.settled) <= 6 and b.amount_paise <= target + tol where b.direction = 'credit'),
+items as materialized (select *, row_number() over (partition by driver order by credit desc, b) as pos from pool),
+two as (select x.driver, x.pos as p1, y.pos as p2, x.b as b1, y.b as b2, x.credit + y.credit as total, x.target, x.tol from items x join items y on x.driver = y.driver and y.pos > x.pos
+  where abs(x.credit - x.target) > x.tol and x.credit + y.credit <= x.target + x.tol),
+sets as (select driver, [pos] as seq, [b] as ids, credit as total from items where abs(credit - target) <= tol
+  union all select driver, [p1, p2], [b1, b2], total from two where abs(total - target) <= tol
+  union all select two.driver, [p1, p2, z.pos], [b1, b2, z.b], total + z.credit from two join items z on z.driver = two.driver and z.pos > p2 and z.credit between two.target - two.tol - total and two.target + two.tol - total where abs(total - two.target) > two.tol),
+ranked as (select *, row_number() over (partition by driver order by seq) as place from sets)"""
+
+
+@query(oracle("""select driver, coalesce(string_agg(array_to_string(list_sort(ids), ' '), ' | ' order by place) filter (place <= 2), '') as sets, cast(coalesce(sum(total) filter (place <= 2), 0) as bigint) as total
+  from wide left join ranked using (driver) group by driver""", _SETS))
+def sum_sets(spark, sf_dir):
+    """For every invoice of two payments or more the first two sets of credits near their days that sum to them."""
+    l, g, b = _written(spark, sf_dir)
+    parts = pools.checkpointed(stages.split_payments(l, g))
+    credits = b.where("direction = 'credit'").select(C("record_id").alias("b"), "value_date", C("amount_paise").alias("credit"))
+    found = stages.split_sums(parts.select("driver", "target", "n").distinct(), stages.split_pools(parts, credits, CONF), CONF)
+    sets = F.array_join(F.transform("found", lambda f: F.array_join(f["items"], " ")), " | ")
+    total = F.aggregate("found", F.lit(0).cast("bigint"), lambda t, f: t + f["total"])
+    return found.select("driver", sets.alias("sets"), total.alias("total"))
+
+
 @query(oracle("select record_id, amount_paise, 'CHARGEBACK_DEBIT' as exception_type, cast(600 as integer) as milli from bank where direction = 'debit'"))
 def residual_chargebacks(spark, sf_dir):
     return residual.chargebacks(view(spark, sf_dir, "bank"), view(spark, sf_dir, "gateway")).select(C("driver").alias("record_id"), "amount_paise", "exception_type", "milli")

@@ -3,6 +3,7 @@
 import json
 import random
 
+import models
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def test_numbering_is_total(spark):
 
 @pytest.mark.parametrize(("items", "target", "want"), [([("a", 1000), ("b", 2500), ("c", 4000)], 3500, [["a", "b"]]), ([("a", 1000), ("b", 1000), ("c", 500), ("d", 500)], 1500, [["a", "c"], ["a", "d"]]), ([("a", 100)], 999, [])])
 def test_subset_sum(items, target, want):
-    assert [ids for ids, _ in stages.find_subsets(items, target, 0, 5)] == want
+    assert [ids for ids, _ in models.find_subsets(items, target, 0, 5)] == want
 
 
 GROUPS = "match_id string, tier string, confidence double, status string, ledger_ids array<string>, gateway_ids array<string>, bank_ids array<string>, amount_paise long"

@@ -5,6 +5,7 @@ import random
 import re
 from itertools import combinations
 
+import models
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ class Plain:
                 hit = next((b["record_id"] for b in near if b["record_id"] not in took and b["amount_paise"] == g["net_paise"] and rank(b["keys"], [l["invoice_no"], g["settlement_id"], g["order_id"]]) <= 4), None)
                 took += [hit] if hit else []
             if len(took) < len(gs):
-                sets = stages.find_subsets([(b["record_id"], b["amount_paise"]) for b in near], sum(g["net_paise"] for g in gs), 100 * len(gs), max(len(gs), 3))
+                sets = models.find_subsets([(b["record_id"], b["amount_paise"]) for b in near], sum(g["net_paise"] for g in gs), 100 * len(gs), max(len(gs), 3))
                 took = sets[0][0] if sets else []
             if took:
                 out.append(self.take([l["record_id"]], [g["record_id"] for g in gs], took))
