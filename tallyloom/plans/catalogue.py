@@ -292,10 +292,14 @@ def date_band_join(spark, sf_dir):
     return blocking.date_band_join(l.select(C("record_id").alias("l"), "issue_date"), b.where("direction = 'debit'").select(C("record_id").alias("b"), "value_date"), "issue_date", "value_date", 2).select("l", "b")
 
 
-@query(oracle("select c.record_id from bank c where c.direction = 'credit' and not exists (select 1 from bank d where d.direction = 'debit' and d.amount_paise = c.amount_paise)"))
+@query(oracle("select record_id from gateway where record_id not in (select g from ranked where rank <= 4)", *_rank_ctes("select b.record_id as b, g.record_id as g, g.invoice_no, settlement_id, order_id from gateway g join bank b on b.direction = 'debit' and b.amount_paise = g.net_paise")))
 def reversal_antijoin(spark, sf_dir):
-    b = view(spark, sf_dir, "bank")
-    return b.where("direction = 'credit'").join(b.where("direction = 'debit'").select("amount_paise"), "amount_paise", "left_anti").select("record_id")
+    """Payments whose net no debit takes back: none of that amount names the settlement, order or invoice in any way."""
+    _, g, b = _written(spark, sf_dir)
+    g = g.select("record_id", "net_paise", "settlement_id", "order_id", "invoice_no")
+    debits = b.where("direction = 'debit'").select(C("record_id").alias("d"), "amount_paise", "keys")
+    hit = blocking.named_join(g, debits, (["record_id"], ["d"]), ("net_paise", "amount_paise"), 0, ["settlement_id", "order_id", "invoice_no"], "keys", 4)
+    return pools.open_rows(g, hit).select("record_id")
 
 
 _NAMING = f"""kk as (select distinct key from keys where length(key) >= 4 and direction = 'credit'),
@@ -505,6 +509,13 @@ def reconcile(spark, sf_dir):
     return out.select("match_id", "stage", "tier", "confidence", "status", *(F.array_join(c, " ").alias(c) for c in _SHOWN), F.array_join("candidates.candidate_id", " ").alias("candidates"), "amount_paise", "variance_paise", "exception_type", "rationale")
 
 
+@query()
+def run_scores(spark, sf_dir):
+    """How a whole run does against the truth: its scores, groups by stage, and recall by category."""
+    groups = pools.checkpointed(engine.reconcile(*harness.sources(spark, sf_dir), CONF))
+    return evaluate.report(groups, pools.checkpointed(view(spark, sf_dir, "truth")))
+
+
 def _takes_the_first(system: str, user: str) -> tuple[str, int, int]:
     """A scripted model: it takes the first candidate that has a payment, and else none."""
     first = re.search(r"1\. candidate_id (\S+)\n  invoice [^\n]*\n  payment", user)
@@ -588,10 +599,24 @@ def calibration_error(spark, sf_dir):
 _SIDE = "array_to_string(list_sort(list_filter({0}, lambda x: not list_contains({1}, x))), ' ')"
 
 
-@query(oracle(f"""select match_id, tier, confidence, amount_paise, {_SIDE.format('tids', 'pids')} as missing, {_SIDE.format('pids', 'tids')} as extra from (select j.*, list_concat(list_concat(j.ledger_ids, j.gateway_ids), j.bank_ids) as pids, coalesce(list_concat(list_concat(t.ledger_ids, t.gateway_ids), t.bank_ids), cast([] as varchar[])) as tids
-  from judged j left join overlap o using (match_id) left join truth t on t.truth_no = o.truth_no where claim and not correct)""", *_JUDGED, *_OVERLAP))
+_WRONG = f"""wrong as (select *, case when near_no is null then 'No true group has any of its records.' else 'Nearest is true group ' || near_no || ' (' || near_scenario || ').' || case when missing = '' then '' else ' It lacks ' || replace(missing, ' ', ', ') || '.' end
+    || case when extra = '' then '' else ' It should not hold ' || replace(extra, ' ', ', ') || '.' end || case when missing = '' and extra = '' then ' An earlier group holds just these records.' else '' end
+    || case near_scenario when 'merged' then ' Sums that fit need not be the sums that belong together.' when 'narration_noise' then ' Its bank line names nothing, so size and day were all there was.' else '' end end as reason
+  from (select match_id, tier, confidence, amount_paise, near_no, near_scenario, {_SIDE.format('tids', 'pids')} as missing, {_SIDE.format('pids', 'tids')} as extra
+    from (select j.*, t.truth_no as near_no, t.scenario as near_scenario, list_concat(list_concat(j.ledger_ids, j.gateway_ids), j.bank_ids) as pids, coalesce(list_concat(list_concat(t.ledger_ids, t.gateway_ids), t.bank_ids), cast([] as varchar[])) as tids
+      from judged j left join overlap o using (match_id) left join truth t on t.truth_no = o.truth_no where claim and not correct)))"""
+
+
+@query(oracle("select match_id, tier, confidence, amount_paise, missing, extra, reason from wrong", *_JUDGED, *_OVERLAP, _WRONG))
 def false_positives(spark, sf_dir):
-    return evaluate.false_positives(*_proposals(spark, sf_dir)).select("match_id", "tier", "confidence", "amount_paise", F.array_join("missing", " ").alias("missing"), F.array_join("extra", " ").alias("extra"))
+    return evaluate.false_positives(*_proposals(spark, sf_dir)).select("match_id", "tier", "confidence", "amount_paise", F.array_join("missing", " ").alias("missing"), F.array_join("extra", " ").alias("extra"), "reason")
+
+
+@query(oracle("""select * from (select 'false_positive' as kind, match_id as id, amount_paise, reason from wrong order by amount_paise desc, id limit 5)
+  union all select * from (select 'false_negative', cast(truth_no as varchar), amount_paise, 'No group has just these records.' from truth where is_resolvable and truth_no not in (select truth_no from judged where correct) order by amount_paise desc, truth_no limit 5)""", *_JUDGED, *_OVERLAP, _WRONG))
+def top_failures(spark, sf_dir):
+    """The five largest failures of each kind, as a report shows them."""
+    return evaluate.top_failures(*_proposals(spark, sf_dir))
 
 
 @query(oracle("""select truth_no, scenario, exception_type, amount_paise, not is_resolvable as declined, case when is_resolvable then 'No group has just these records.' else 'Cannot be decided.' end as reason from truth where truth_no not in (select truth_no from judged where correct)""", *_JUDGED))
@@ -706,7 +731,7 @@ def fee_parts(spark, sf_dir):
   l || ' ' || f.g as cited from exact f join ledger on ledger.record_id = l join gateway on gateway.record_id = f.g join bank on bank.record_id = f.b""", *_EXACT))
 def exact_evidence(spark, sf_dir):
     """What the exact pass says for its groups."""
-    out = stages.exact(*_prepared(spark, sf_dir), CONF)
+    out = stages.exact(*_written(spark, sf_dir), CONF)
     return out.select(C("ledger_ids")[0].alias("l"), "rationale", F.array_join("evidence.label", "|").alias("labels"), F.array_join(C("evidence")[0]["record_ids"], " ").alias("cited"))
 
 
@@ -745,13 +770,12 @@ def scenario_counts(spark, sf_dir):
     return evaluate.scenarios(view(spark, sf_dir, "truth"))
 
 
-@query(oracle("""select 'stage' as section, tier as label, cast(count(*) as double) as value from proposals group by tier
+@query(oracle(f"""select 'stage' as section, tier as label, cast(count(*) as double) as value from proposals group by tier
   union all select 'recall', coalesce(t.exception_type, 'NONE'), floor(count(j.truth_no) / count(*) * 10000 + 0.5) / 10000 from truth t left join (select distinct truth_no from judged where correct) j using (truth_no) group by 2
-  union all select 'score', 'true_positives', cast(count(*) as double) from judged where correct""", *_JUDGED))
+  union all select 'score', label, value from (unpivot (select columns(*)::double from ({ORACLES['score_run']})) on columns(*) into name label value value)""", *_JUDGED))
 def run_report(spark, sf_dir):
-    """The report's rows of stages and recall, and of its scores the first."""
     groups, truth = _proposals(spark, sf_dir)
-    return evaluate.report(groups.withColumn("stage", C("tier")), truth).where("section <> 'score' or label = 'true_positives'")
+    return evaluate.report(groups.withColumn("stage", C("tier")), truth)
 
 
 @query(oracle("""select match_id, case match_no % 4 when 0 then 'llm_adjudicated' else 'unmatched' end as tier, case match_no % 4 when 0 then amount_paise + 1 else amount_paise end as amount_paise,

@@ -6,6 +6,8 @@ settlement batch of those that are settled together.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: (first, last residue, name)
@@ -117,4 +119,8 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def oracle(select: str, *ctes: str) -> str:
     """DuckDB SQL over the views: more common table expressions, then the select."""
-    return "with " + ",\n".join([views(True), *ctes]) + "\n" + select
+    of = views(True)
+    for name in ("ledger", "gateway", "bank"):  # else each use of a view is computed anew
+        of = of.replace(f"\n{name} as (", f"\n{name} as materialized (")
+    more = [re.sub(r"^(tokens|keys|pairs|wants|ranked) as \(", r"\1 as materialized (", c) for c in ctes]
+    return "with " + ",\n".join([of, *more]) + "\n" + select
