@@ -1,56 +1,5 @@
-"""Connected components with DataFrame operations only."""
+"""Connected components with DataFrame operations only, shared with the rest of the library."""
 
-from __future__ import annotations
+from ..operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import drop, materialize
-
-
-def _lower_to_min(pairs: DataFrame) -> DataFrame:
-    """Pairs (u, v): every u learns the smallest of itself and its neighbours, m."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least.select("u", F.least("u", "m").alias("m")), "u")
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Label the nodes of an undirected graph.
-
-    edges: two columns of one orderable type, the ends of each edge. Edges with a null end and
-    self-loops link nothing and are left out; repeated edges are harmless.
-    Returns (node, component): one row per node that has an edge, component being the smallest
-    node that it reaches. An empty input gives an empty result.
-
-    Each round points every larger neighbour at the local minimum (large star), then every node
-    at the minimum of its smaller neighbours (small star), until the edges form stars. Both steps
-    are a partial aggregate and an equi-join whose hot keys AQE may split; the number of rounds
-    grows with the logarithm of the longest path. Each round is written to the shared folder, so
-    no lineage builds up and a lost executor costs only the round at work.
-    """
-    a, b = edges.columns
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b)))
-    now = materialize(now.where(~F.col(now.columns[2])).select("u", "v").distinct(), "edges")
-    seen = _fingerprint(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lower_to_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _lower_to_min(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = materialize(small.where("u <> v").distinct(), "edges")
-        drop(now)
-        now, before, seen = after, seen, _fingerprint(after)
-        if seen == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Rows and two order-free sums over them: equal before and after only if a round changed nothing."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum((h % 1000000007).cast("decimal(38,0)")), F.bit_xor(h)).first())
+__all__ = ["connected_components"]
