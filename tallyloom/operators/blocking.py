@@ -129,15 +129,29 @@ def _tail(column: str) -> Column:
     return F.right(F.col(column), F.lit(ANCHOR))
 
 
-def inside(needles: DataFrame, hays: DataFrame, needle: str, hay: str) -> DataFrame:
+def grams(texts: DataFrame, column: str) -> DataFrame:
+    """(column, _on): every six characters of the texts that have so many, as a table."""
+    return checkpointed(texts.select(column, F.explode(_substrings(column, [ANCHOR])).alias("_on")))
+
+
+def anchored(needle_grams: DataFrame, hay_grams: DataFrame, needle: str, hay: str) -> DataFrame:
+    """(needle, hay): hays with the rarest six characters of a needle, all of whose others some hay has as well.
+
+    How many hays have six characters is counted; a stem or an ending that all texts share anchors none of them.
+    """
+    seen = hay_grams.groupBy("_on").agg(F.count(F.lit(1)).alias("n"))
+    rarest = needle_grams.join(seen, "_on", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_on")).alias("x"))
+    return rarest.where("x.n > 0").select(needle, F.col("x._on").alias("_on")).join(hay_grams, "_on").select(needle, hay)
+
+
+def inside(needles: DataFrame, hays: DataFrame, needle: str, hay: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pairs (needle, hay) of different texts, one column each, in which the first is part of the second.
 
-    The last six characters of a needle are six characters somewhere in the hay: one row for each of its places, an
-    equi-join, and a check. Shorter needles meet the substrings of their few lengths.
+    A needle of six characters or more meets the hays that have its rarest six characters: an equi-join, and a check. Shorter
+    needles meet the substrings of their few lengths. tables: grams() of both sides, if they are there already.
     """
-    places = hays.select(hay, F.explode(_substrings(hay, [ANCHOR])).alias("_on"))
-    long = needles.where(F.length(needle) >= ANCHOR).select(needle, _tail(needle).alias("_on"))
-    out = long.join(places, "_on").where(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    own, places = tables or (grams(needles, needle), grams(hays, hay))
+    out = anchored(own, places, needle, hay).where(F.contains(F.col(hay), F.col(needle)))
     short = hays.select(hay, F.explode(_substrings(hay, list(range(1, ANCHOR)))).alias(needle))
     few = needles.where((F.length(needle) < ANCHOR) & (F.col(needle) != ""))
     return out.unionByName(short.join(few, needle).select(needle, hay)) if few.take(1) else out
@@ -147,8 +161,8 @@ def reference_join(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pairs (key_id, full, want_id, target) in which a key names a wanted reference in any of the four ways.
 
     keys: key_id, full; wanted: want_id, target (both normalized). Every way is an equality: of the
-    whole, of the tail, of the sorted letters, and for containment of an anchor of the one with a
-    place of the other. Different texts meet first, so a word that all lines share meets a reference
+    whole, of the tail, of the sorted letters, and for containment of the rarest anchor of the one with
+    a place of the other. Different texts meet first, so a word that all lines share meets a reference
     once; their rows are looked up by the texts that did match.
     """
     k = keys.where("full <> ''").select("key_id", "full")
@@ -156,12 +170,13 @@ def reference_join(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     f, t = checkpointed(k.select("full").distinct()), checkpointed(w.select("target").distinct())
     long = f.where("length(full) >= 6")
     letters = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
+    of_keys, of_wanted = grams(long, "full"), grams(t, "target")
     by = [
         f.select("full", F.col("full").alias("target")).join(t, "target"),
         long.withColumn("on", _tail("full")).join(t.withColumn("on", _tail("target")), "on"),
         long.withColumn("on", letters("full")).join(t.withColumn("on", letters("target")), "on"),
-        inside(long, t, "full", "target"),
-        inside(t, long, "target", "full"),
+        inside(long, t, "full", "target", (of_keys, of_wanted)),
+        inside(t, long, "target", "full", (of_wanted, of_keys)),
     ]
     pairs = by[0].select("full", "target")
     for more in by[1:]:
@@ -172,4 +187,6 @@ def reference_join(keys: DataFrame, wanted: DataFrame) -> DataFrame:
 def contained(keys: DataFrame, known: DataFrame) -> DataFrame:
     """Keys (column full) equal to, inside, or around some known reference (column target), distinct."""
     k, t = checkpointed(keys.select("full").distinct()), checkpointed(known.select("target").distinct())
-    return inside(k, t, "full", "target").select("full").unionByName(inside(t, k, "target", "full").select("full")).distinct()
+    of_keys, of_known = grams(k, "full"), grams(t, "target")
+    named = inside(k, t, "full", "target", (of_keys, of_known)).select("full")
+    return named.unionByName(inside(t, k, "target", "full", (of_known, of_keys)).select("full")).distinct()

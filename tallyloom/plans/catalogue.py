@@ -242,7 +242,7 @@ met as (select key from kd join (select distinct target, substr(target, i, 6) as
   from (select record_id, record_id in (select record_id from keys join met using (key)) as ok from bank)""", _TOKEN_CTE, _KEY_CTE, _KNOWN))
 def legibility(spark, sf_dir):
     """How much of the statement names a record of the ledger or its payments."""
-    return engine.legibility(*_prepared(spark, sf_dir))
+    return engine.legibility(*_written(spark, sf_dir))
 
 
 # --- joins --------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ met as (select key, key as want from kk union select key, want from kk join ww o
 
 @query(oracle(f"select distinct keys.record_id as b, l from met join keys using (key) join w using (want) where direction = 'credit' and {_RANK} <= 4 and abs(value_date - issue_date) <= 45", _TOKEN_CTE, _KEY_CTE, _NAMING))
 def named_invoices(spark, sf_dir):
-    l, _, b = _prepared(spark, sf_dir)
+    l, _, b = _written(spark, sf_dir)
     return residual.named_invoices(l, b)
 
 

@@ -99,3 +99,17 @@ def test_exact_pass_on_one_price(spark):
     pools = stages.prepared(ledger, gateway, bank)
     for matched in (stages.exact(*pools, stages.Conf()), stages.tolerant(*pools, stages.Conf())):
         assert matched.where("substr(driver, 2) = substr(bank_ids[0], 2)").count() == matched.count() == n
+
+
+@pytest.mark.parametrize("shared", ["stem", "ending", "both"])
+def test_anchors_of_texts_with_a_shared_part(spark, shared):
+    """20,000 references alike but for a number meet in proportion to what is found."""
+    n = 20_000
+    before, after = ("INVOICE2025" if shared != "ending" else ""), ("SETTLEMENT" if shared != "stem" else "")
+    number = F.lpad(F.conv((F.col("id") * 7919 + 10**7).cast("string"), 10, 36), 8, "Q")
+    ids = spark.range(n).select(F.concat(F.lit(before), number, F.lit(after)).alias("needle"))
+    hays = ids.select(F.concat(F.lit("NEFT"), "needle", F.lit("CR")).alias("hay")).unionByName(spark.range(n).select(F.concat(F.lit(before), F.lit("0"), F.lpad(F.col("id").cast("string"), 8, "Z"), F.lit(after)).alias("hay")))
+    met = blocking.anchored(blocking.grams(ids, "needle"), blocking.grams(hays, "hay"), "needle", "hay")
+    found = blocking.inside(ids, hays, "needle", "hay")
+    assert found.count() == n and met.count() <= 3 * n
+    assert found.where(F.col("hay") == F.concat(F.lit("NEFT"), "needle", F.lit("CR"))).count() == n
