@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql.types import LongType
 
 from ..conf import TAXONOMY, Conf
 from ..functions import canonical, money, refs
-from ..operators import adjudicate, blocking, candidates, evaluate, pools, residual, stages, statement, views
+from ..operators import adjudicate, blocking, candidates, digest, evaluate, pools, residual, stages, statement, views
 from ..sources import ingest
 from . import engine, harness
 from .harness import oracle, view
@@ -315,6 +316,26 @@ def named_invoices(spark, sf_dir):
     return residual.named_invoices(l, b)
 
 
+_DIGESTS = [
+    "leaf as (select row_number() over (order by record_id) - 1 as block, sha256(concat_ws('|', record_id, payment_id, receipt, amount_paise, fee_paise, net_paise, settled)) as digest from gateway)",
+    *(
+        f"level{i} as (select block // 1024 as block, count(*) as n, sha256(string_agg(digest, '' order by block)) as digest from {'leaf' if i == 1 else f'level{i - 1}'} group by 1)"
+        for i in (1, 2, 3)
+    ),
+]
+
+
+@query(oracle("""select 1 as level, * from level1 union all select 2, * from level2 where (select count(*) from level1) > 1
+  union all select 3, * from level3 where (select count(*) from level2) > 1""", *_DIGESTS))
+def digest_tree(spark, sf_dir):
+    """The digests of the payments in order, 1,024 a block, and of blocks of blocks up to one."""
+    g = view(spark, sf_dir, "gateway")
+    text = F.concat_ws("|", "record_id", "payment_id", "receipt", *(C(c).cast("string") for c in ("amount_paise", "fee_paise", "net_paise", "settled")))
+    levels = digest.tree(g, "record_id", text=text, size=1024).levels
+    out = [x.select(F.lit(i).alias("level"), "block", "n", "digest") for i, x in enumerate(levels, 1)]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 # --- aggregates, windows, sets ------------------------------------------------------------------
 
 _BATCHES = "batches as (select settlement_id, count(*) as n, cast(sum(net_paise) as bigint) as total_paise, cast(sum(amount_paise) as bigint) as gross_paise, string_agg(record_id, ' ' order by record_id) as members, arg_min(settled, record_id) as settled_on, bool_or(refund_paise > 0) as refunded from gateway group by settlement_id having count(*) >= 2)"
