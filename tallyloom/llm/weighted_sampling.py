@@ -244,10 +244,10 @@ class Page:
         begin = int(self.ends[whole - 1]) if whole else 0
         words = np.concatenate([self.words[:whole], word_hashes(kept[begin:] + added)[0]])
         own, again = sample_both(self.terms(), runs(words))
-        return own, (len(self.text), hashlib.sha256(kept + added).hexdigest(), _packed(own), _packed(again), likeness(own, again))
+        return own, (len(self.text), hashlib.sha256(kept + added).digest(), _packed(own), _packed(again), likeness(own, again))
 
 
-FACTS = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double"
+FACTS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double"
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     ranged = few.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
     kind = few.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(x.split()[0] for x in FACTS.split(", ")), "near_next"]
-    arrow = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    arrow = [pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64()]
 
     def batch(found: list[tuple], kinds: list, columns: list[str]) -> pa.RecordBatch:
         cells = zip(*found, strict=True) if found else [()] * len(kinds)
@@ -315,7 +315,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
 
 def op11_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, its edited text and the next document; fingerprints as 4 hex digits for each of 128 samples."""
+    """Every document, its edited text and the next document; fingerprints as 4 hex digits for each of 128 samples, hashes as 64."""
     digits = lambda c: F.lower(F.hex(c)).alias(c)
     found = beside_next(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", "edited_sha256", digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")

@@ -73,7 +73,7 @@ def test_edited_text_is_told_as_a_whole(text, following):
     own, facts = ws.Page(text.encode()).beside(ws.Page(following.encode()))
     m = len(text) // 3
     after = (text[: len(text) - m] + following[:m]).encode()
-    assert facts[:2] == (len(text), hashlib.sha256(after).hexdigest())
+    assert facts[:2] == (len(text), hashlib.sha256(after).digest())
     assert own.tolist() == ws.fingerprint(text.encode()).tolist() and facts[3] == ws._packed(ws.fingerprint(after))
 
 
@@ -119,7 +119,7 @@ def test_awkward_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert by[3].fingerprint == by[4].fingerprint == by[5].fingerprint == bytes(256) and by[3].near_edited == 1
     assert by[1].fingerprint == by[2].fingerprint and by[None].n_chars == 7 and by[6].n_chars == 330_000
-    assert by[None].edited_sha256 == hashlib.sha256(b"one t" + "é😀".encode()).hexdigest()  # after the last comes the first
+    assert by[None].edited_sha256 == hashlib.sha256(b"one t" + "é😀".encode()).digest()  # after the last comes the first
     assert ws.beside_next(empty(spark)).collect() == [] and ws.fingerprints(empty(spark)).collect() == []
     one = ws.beside_next(spark.createDataFrame([("a", "x y z")], "doc_id string, text string")).collect()
     assert (one[0].near_next, one[0].n_chars) == (1.0, 5)
