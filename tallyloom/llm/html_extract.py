@@ -68,7 +68,7 @@ STRONG = frozenset(
     "gdpr popup modal comment comments reply replies discussion disqus respond share sharing social related recommended "
     "recommendations pagination pager breadcrumb breadcrumbs".split()
 )
-#: Words of what is no part of an article beside it; inside it only where the host's template repeats it.
+#: Words of what is no part of an article, beside it or inside: of what they mark only headings inside an article stay.
 WEAK_WORDS = frozenset(
     "sidebar menu nav navbar navigation masthead footer banner notice notices alert overlay signup subscription promotion "
     "login search form widget toolbar skip copyright legal disclaimer complementary contentinfo".split()
@@ -142,8 +142,9 @@ def _judge(tag: str, said: int, inside: int) -> int:
         return inside & (HARD | LINK) | WHOLE
     main = said & IS_MAIN or tag in MAIN_TAGS
     hard = inside & HARD or said & HARD or tag in ASIDE_TAGS or tag == "header" and not inside & MAIN
-    weak = 0 if main and not said & WEAK else inside & WEAK | said & WEAK  # a main element is no part of a wrapper's sidebar
-    out = (HARD if hard else 0) | weak | (inside | (MAIN if main else 0)) & MAIN | (IS_MAIN if main else 0) | (IS_WEAK if said & WEAK else 0)
+    odd = bool(said & WEAK or tag == "header") and not main  # words of a main element say what it is about
+    weak = 0 if main or tag in HEADINGS and inside & MAIN else WEAK if odd else inside & WEAK
+    out = (HARD if hard else 0) | weak | (inside | (MAIN if main else 0)) & MAIN | (IS_MAIN if main else 0) | (IS_WEAK if odd else 0)
     return out | (HEADING if tag in HEADINGS else 0) | (LEVEL if tag in TEXTUAL else 0) | (LINK if tag == "a" or inside & LINK else 0)
 
 
@@ -288,7 +289,7 @@ def _tally(names: list[int], ups: list[int], flags: list[int], sizes: list[int],
     path = tokens(names, ups, split)
     chars, linked = [0] * len(path), [0] * len(path)
     for i in range(len(path) - 1, -1, -1):
-        if flags[i] & TEXT and not flags[i] & HARD and (flags[i] & MAIN or not flags[i] & WEAK):
+        if flags[i] & TEXT and not flags[i] & (HARD | WEAK):
             chars[i] = sizes[i]
             linked[i] = sizes[i] if flags[i] & LINK else 0
         if i:
@@ -420,13 +421,19 @@ def nest(rows: list[dict]) -> dict[int, int]:
     return out
 
 
-def deduce(rows: list[dict], most_text: float, repeated: float, most_repeated: float, least_pages: int) -> Template:
+def _surely(on: int, pages: int, z: float = 1.645) -> float:
+    """Lower bound of the share of a host's pages that have a text (Wilson's, one-sided at 95%)."""
+    p, q = on / pages, z * z / pages
+    return (p + q / 2 - (q * (p * (1 - p) + q / 4)) ** 0.5) / (1 + q)
+
+
+def deduce(rows: list[dict], most_text: float, repeated: float, most_repeated: float) -> Template:
     """The template of one host from its frequent tokens (dicts of token, up, on, times, chars, linked, flags, place, pages,
     valid)."""
     nests, of = nest(rows), {r["token"]: r for r in rows if r["valid"]}
     own = lambda t: of[t]["chars"] - of[t]["linked"]
     above = lambda t: [t, *above(nests[t])] if t in nests else []
-    once = [t for t, r in of.items() if r["times"] == r["on"] and not r["flags"] & (TEXT | HARD) and (r["flags"] & MAIN or not r["flags"] & WEAK)]
+    once = [t for t, r in of.items() if r["times"] == r["on"] and not r["flags"] & (TEXT | HARD | WEAK)]
     if not once or ROOT not in of or own(ROOT) <= 0:
         return Template()
     full = [t for t in once if own(t) >= most_text * own(ROOT)]
@@ -445,7 +452,7 @@ def deduce(rows: list[dict], most_text: float, repeated: float, most_repeated: f
     outside = set(above(slot))
     inside = {t for t in of if t not in outside and slot in above(t)}
     pages = of[ROOT]["pages"]
-    said = [t for t in inside if of[t]["flags"] & TEXT and not of[t]["flags"] & HARD and pages >= least_pages and of[t]["on"] >= repeated * pages]
+    said = [t for t in inside if of[t]["flags"] & TEXT and not of[t]["flags"] & HARD and _surely(of[t]["on"], pages) >= repeated]
     if sum(of[t]["chars"] for t in said) > most_repeated * own(slot):
         said = []  # copies of an article, not a template
     dense = lambda r: r["chars"] > 0 and 2 * r["linked"] >= r["chars"] and not r["flags"] & (LEVEL | HEADING | IS_MAIN | LINK)
@@ -454,15 +461,14 @@ def deduce(rows: list[dict], most_text: float, repeated: float, most_repeated: f
 
 
 def templates(
-    named: DataFrame, frequent: float = 0.6, most_text: float = 0.6, repeated: float = 0.8, most_repeated: float = 0.3,
-    least_pages: int = 8, disorder: float = 0.1, rounds: int = 4,
+    named: DataFrame, frequent: float = 0.6, most_text: float = 0.6, repeated: float = 0.7, most_repeated: float = 0.3, disorder: float = 0.1, rounds: int = 4,
 ) -> DataFrame:
     """(host, slot, fixed, furniture, split): the template of each host of two different pages or more.
 
     named: host, html. Classes on under `frequent` of a host's pages are no template, nor are tokens that break their
     class's order on over `disorder` of their pages. The slot is the innermost element found once a page that holds most_text of the text outside
     furniture and links; from a text-level element, or one with a heading before it, it widens to its parent. A text is the
-    template's own, in the slot, if `repeated` of least_pages pages or more have it and such texts together are at most
+    template's own, in the slot, if surely (see _surely()) over `repeated` of the pages have it and such texts together are at most
     most_repeated of the slot's: above that they are copies of an article. Paths that occur equally often on
     all but `disorder` of their pages are told apart by place, in `rounds` rounds at most, each reaching a level deeper. A host has no more template tokens than 1 / frequent times those of a page.
     """
@@ -477,7 +483,7 @@ def templates(
         more = known.where(steady & (F.col("flags").bitwiseAND(TEXT) == 0) & (r + 1 < rounds))
         more = materialize(more.groupBy("host").agg(F.collect_set("token").alias("more")), "apart")
         own = materialize(known.join(more, "host", "left_anti"), "tokens-settled")
-        settled = left.join(F.broadcast(more.select("host")), "host", "left_anti") if r else left.join(more.select("host"), "host", "left_anti")
+        settled = left.join(more.select("host"), "host", "left_anti")
         done.append((own, _disordered(settled, own, disorder), split.join(more, "host", "left_anti")))
         if not more.take(1):
             break
@@ -489,7 +495,7 @@ def templates(
     valid = known.join(off, ["host", "token"], "left").withColumn("valid", F.coalesce("valid", F.lit(True)))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = deduce(frame.to_dict("records"), most_text, repeated, most_repeated, least_pages)
+        x = deduce(frame.to_dict("records"), most_text, repeated, most_repeated)
         return pd.DataFrame({"host": [key[0]], "slot": pd.array([x.slot], "Int64"), "fixed": [sorted(x.fixed)], "furniture": [sorted(x.furniture)]})
 
     found = valid.groupBy("host").applyInPandas(run, "host string, slot long, fixed array<long>, furniture array<long>")
@@ -502,7 +508,7 @@ def extract(source: str | None, template: Template = Template()) -> str:  # noqa
     """Main text of one page given its host's template; blocks are joined by an empty line.
 
     A page that has nothing in the template's slot, or whose host has no template, is read by its own structure: what lies
-    in its article or main elements, else all beside furniture.
+    in its article or main elements, else all beside furniture. A page of furniture alone has no main text.
     """
     page = parse(source or "")
     path, flags = tokens(page.names, page.ups, template.split), page.flags
@@ -511,12 +517,12 @@ def extract(source: str | None, template: Template = Template()) -> str:  # noqa
         up = page.ups[i]
         inside[i] = t == template.slot or i > 0 and inside[up]
         apart[i] = t in template.furniture or i > 0 and apart[up]
-    good = [i for i in page.texts if not flags[i] & HARD]
+    good = [i for i in page.texts if not flags[i] & (HARD | WEAK)]
     kept = [i for i in good if inside[i] and not apart[i]]
     if kept and template.slot is not None and any(flags[i] & WHOLE for i, t in enumerate(path) if t == template.slot):
-        kept = [i for i in kept if flags[i] & MAIN] or [i for i in kept if not flags[i] & WEAK]
-    kept = kept or [i for i in good if flags[i] & MAIN] or [i for i in good if not flags[i] & WEAK] or good
-    return "\n\n".join(page.texts[i] for i in [i for i in kept if path[i] not in template.fixed] or kept)
+        kept = [i for i in kept if flags[i] & MAIN] or kept
+    kept = kept or [i for i in good if flags[i] & MAIN] or good
+    return "\n\n".join(page.texts[i] for i in kept if path[i] not in template.fixed)
 
 
 def main_texts(pages: DataFrame, **options) -> DataFrame:

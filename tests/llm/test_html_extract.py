@@ -21,10 +21,51 @@ def test_structure_without_a_template():
 
 def test_class_words_neither_hide_an_article_nor_keep_a_comment():
     assert h.extract('<article><p>Story.</p></article><article class="comment"><p>rude</p></article>') == "Story."
-    assert h.extract('<article>A<div class="legal-note">kept?</div><label>L</label></article>') == "A\n\nkept?\n\nL"
+    assert h.extract('<article class="post category-legal">A<div class="legal-note">rights</div><label>L</label></article>') == "A\n\nL"
     assert h.extract('<div class="layout has-sidebar"><article>in</article></div><div class="sidebar">out</div>') == "in"
     assert h.extract('<div class="sidebar-left layout"><article>in</article></div>') == "in"
-    assert h.extract('<div class="search">all there is</div>') == "all there is"
+
+
+def test_furniture_alone_gives_no_text():
+    alone = ['<div class="menu"><a>Home</a> <a>News</a></div>', '<div class="sidebar">only sidebar</div>', '<div id="login">Log in</div>', '<div class="search">find</div>', "<nav>n</nav><footer>f</footer>"]
+    assert [h.extract(x) for x in alone] == [""] * len(alone)
+
+
+def test_notices_and_headers_go_from_an_article_but_for_their_headings():
+    assert h.extract('<article>A<div class="notice">We use cookies</div><header>By someone</header></article>') == "A"
+    assert h.extract('<article><header><h1>Title</h1><p>By someone</p></header><p>Body</p></article>') == "Title\n\nBody"
+    assert h.extract('<main><div class="banner"><h2>Part</h2>3 offers</div>Text</main>') == "Part\n\nText"
+
+
+GOLD = [
+    (  # a weblog
+        """<!doctype html><html><head><title>No</title></head><body class="post-template"><header class="site"><h1>My blog</h1>
+        <nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav></header><main role="main"><article class="post tag-search">
+        <header><h1>On&nbsp;rivers</h1><time>May 1</time></header><p>Rivers <em>run</em>
+           to the&#32;sea.<p>They do &mdash; mostly.<blockquote><p>Said one.</p></blockquote><ul><li>Po<li>Elbe</ul>
+        <div class="share-links"><a>Share</a></div></article><section id="comments"><h2>2 comments</h2><p>Nice!</p></section></main>
+        <aside>Archive</aside><footer>&copy; me</footer></body></html>""",
+        "On rivers\n\nRivers run to the sea.\n\nThey do \u2014 mostly.\n\nSaid one.\n\nPo\n\nElbe",
+    ),
+    (  # an old page without sections
+        """<HTML><BODY><TABLE><TR><TD class="navbar"><A HREF="x">Up</A></TD><TD id="body"><H2>Notes</H2><P>First.<P>Second<BR>line &lt;b&gt;.
+        <SCRIPT>document.write("<p>no</p>")</SCRIPT></TD></TR></TABLE><FORM><INPUT>Go</FORM><DIV CLASS="copyright">1999</DIV></BODY></HTML>""",
+        "Notes\n\nFirst.\n\nSecond line <b>.",
+    ),
+    (  # a shop's guide with adverts and a notice
+        """<body><div class="cookie-consent">OK?</div><div id="content"><h1>Guide</h1><p>Buy <a href=q>well</a>.</p><div class="ad">Cheap!</div>
+        <div class="alert">Shop closed</div><pre>a  b
+        c</pre><div hidden>trap</div><!-- <p>gone</p> --></div><div class="related"><p>More</p></div></body>""",
+        "Guide\n\nBuy well.\n\na b c",
+    ),
+    ("<body><nav><a>All</a></nav><div class=login-form>Sign in</div><footer>f</footer></body>", ""),
+]
+
+
+def test_whole_texts_of_pages_read_by_hand(spark):
+    assert [h.extract(x) for x, _ in GOLD] == [y for _, y in GOLD]
+    rows = [(i, f"http://h{i}.example/", x, None, None) for i, (x, _) in enumerate(GOLD)]  # each alone on its host
+    assert {r.page_id: r.text for r in h.main_texts(spark.createDataFrame(rows, PAGES)).collect()} == {i: y for i, (_, y) in enumerate(GOLD)}
 
 
 def _host(spark, sources, url="http://site.example/"):
@@ -64,15 +105,16 @@ def test_odd_pages_do_not_undo_the_template(spark):
 def test_repeated_text_in_the_slot_goes_unless_it_is_a_copy_of_an_article(spark):
     again = "<p>Read more on our site</p>"
     assert _host(spark, [_page(i, again) for i in range(12)]) == [_story(i) for i in range(12)]
+    assert _host(spark, [_page(i, again) for i in range(3)]) == [f"{_story(i)}\n\nRead more on our site" for i in range(3)]  # too few to tell
     copies = [f"<body><div>Menu {i}</div><div><h1>Same</h1><p>The very same long article of many words, copied all over.</p></div></body>" for i in range(12)]
     assert set(_host(spark, copies)) == {"Same\n\nThe very same long article of many words, copied all over."}
 
 
 def test_furniture_in_the_slot_is_known_by_the_template(spark):
-    """A weak word on all pages is furniture, on one page it is part of its article."""
+    """A weak word tells it, on all pages or on one."""
     strip = [_page(i, f'<div class="notice">We keep your data {i}</div>' if i != 5 else '<div class="legal">Only here</div>') for i in range(12)]
     got = _host(spark, strip)
-    assert got == [_story(i) + ("\n\nOnly here" if i == 5 else "") for i in range(12)]
+    assert got == [_story(i) for i in range(12)]
 
 
 def test_vectors_and_classes_are_those_of_brute_force(spark):
