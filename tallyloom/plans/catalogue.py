@@ -7,13 +7,14 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..conf import TAXONOMY, Conf
 from ..functions import canonical, money, refs
-from ..operators import adjudicate, blocking, candidates, digest, evaluate, pools, residual, stages, statement, views
+from ..operators import adjudicate, blocking, candidates, digest, evaluate, grams, paging, pools, residual, stages, statement, views
+from ..scratch import new_path
 from ..sources import ingest
 from . import engine, harness
 from .harness import oracle, view
@@ -654,6 +655,15 @@ def match_page(spark, sf_dir):
     return rows.select("match_id", "amount_paise", "status")
 
 
+@query(oracle("select match_id, amount_paise, status from proposals where status = 'needs_review' and confidence >= 0.6 order by amount_paise desc, match_id limit 50 offset 100", *_JUDGED[:2]))
+def match_page_cursor(spark, sf_dir):
+    """The third page of 50 by cursors over a sorted store."""
+    pages, cursor = paging.Sorted(spark, new_path(spark, "pages"), "amount").write(_proposals(spark, sf_dir)[0]), None
+    for _ in range(3):
+        rows, cursor = pages.page(cursor, 50, status="needs_review", least_confidence=0.6)
+    return rows.select("match_id", "amount_paise", "status")
+
+
 @query(oracle(f"""select match_id, {_LEVEL.replace('e =', 'exception_type =')} as severity, cast(greatest(0, coalesce(date '2026-03-31' - day, 0)) as integer) as age_days, coalesce(narration, '') as narration, case when confidence < 0.5 then 'low' when confidence < 0.8 then 'mid' else 'high' end as band from proposals
   left join (select match_id, max(day) as day, string_agg(narration, ' | ' order by narration) as narration from (select match_id, unnest(list_concat(ledger_ids, bank_ids)) as record_id from proposals) join (select record_id, issue_date as day, null as narration from ledger union all select record_id, value_date, narration from bank) using (record_id) group by match_id) using (match_id)
   where status <> 'auto_cleared'""", *_JUDGED[:2]))
@@ -682,6 +692,29 @@ def text_search(spark, sf_dir):
     return views.search(view(spark, sf_dir, "bank"), "/CR", "record_id", "narration").select("record_id", "narration")
 
 
+def _shown() -> Column:
+    return F.concat_ws(" ", "record_id", "narration")
+
+
+def _gram_index(spark, sf_dir) -> tuple[grams.Index, DataFrame]:
+    bank = view(spark, sf_dir, "bank")
+    return grams.Index(spark, new_path(spark, "grams")).write(bank, "record_id", _shown()), bank
+
+
+@query(oracle("select record_id, narration from bank where contains(lower(record_id || ' ' || narration), '/cr')"))
+def text_search_index(spark, sf_dir):
+    """text_search by way of the inverted table."""
+    index, bank = _gram_index(spark, sf_dir)
+    return index.search(bank, "record_id", _shown(), "/CR").select("record_id", "narration")
+
+
+@query(oracle("select record_id, narration from bank where contains(lower(record_id || ' ' || narration), 'neft') order by record_id limit 200 offset 100"))
+def explorer_page(spark, sf_dir):
+    """Records that hold a text, the 200 after the first 100."""
+    index, bank = _gram_index(spark, sf_dir)
+    return views.explorer(index.search(bank, "record_id", _shown(), "NEFT"), 100, 200).select("record_id", "narration")
+
+
 @query(oracle("select record_id, match_id from ledger left join (select unnest(ledger_ids) as record_id, max(match_id) as match_id from proposals group by 1) using (record_id)", *_JUDGED[:2]))
 def record_owners(spark, sf_dir):
     return views.owners(view(spark, sf_dir, "ledger").select("record_id"), _proposals(spark, sf_dir)[0])
