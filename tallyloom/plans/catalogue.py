@@ -15,7 +15,7 @@ from ..conf import TAXONOMY, Conf
 from ..functions import canonical, money, refs
 from ..operators import adjudicate, blocking, candidates, digest, evaluate, grams, paging, pools, residual, stages, statement, views
 from ..scratch import new_path
-from ..sources import ingest
+from ..sources import ingest, store
 from . import engine, harness
 from .harness import oracle, view
 
@@ -538,6 +538,14 @@ def run_scores(spark, sf_dir):
     return evaluate.report(groups, pools.checkpointed(view(spark, sf_dir, "truth")))
 
 
+@query()
+def run_progress(spark, sf_dir):
+    """The passes of a whole run as its progress table shows them, without times."""
+    kept = store.Store(spark, new_path(spark, "progress"))
+    engine.run(*harness.sources(spark, sf_dir), CONF, progress=kept.progress_of("run"))
+    return kept.progress("run").drop("seconds")
+
+
 def _takes_the_first(system: str, user: str) -> tuple[str, int, int]:
     """A scripted model: it takes the first candidate that has a payment, and else none."""
     first = re.search(r"1\. candidate_id (\S+)\n  invoice [^\n]*\n  payment", user)
