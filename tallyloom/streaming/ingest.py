@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import ingest
 
 KINDS = {"ledger": ingest.ledger, "gateway": ingest.gateway, "bank": ingest.bank}
+#: Rows of an export that agree in these are copies.
+KEYS = {"ledger": ("invoice_no", "gross_paise"), "gateway": ("payment_id", "amount_paise", "captured_at"), "bank": ("posted_at", "amount_paise", "narration_key")}
 
 
 def ingest_stream(spark: SparkSession, folder: str, source: str, out: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
@@ -40,3 +42,31 @@ def ingest_stream(spark: SparkSession, folder: str, source: str, out: str, check
 def progress(spark: SparkSession, out: str, source: str) -> DataFrame:
     """(source, batch_id, rows_read, at) of every finished batch."""
     return spark.read.parquet(f"{out}/progress-{source}").select("source", "batch_id", "rows_read", "at").orderBy("batch_id")
+
+
+def duplicate_stream(spark: SparkSession, out: str, source: str, checkpoint: str) -> StreamingQuery:
+    """Follow out/<source>, as ingest_stream() writes it, and keep what rows are copies of each other over all batches so far.
+
+    The ids of each key are the query's state, in its checkpoint, so each start reads new files only. Ids are a set, so a batch
+    that was written again counts once. Keys that gained a copy go to out/duplicates-<source>; see arrived_duplicates().
+    """
+    path = f"{out}/{source}"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    if source == "bank":
+        rows = rows.withColumn("narration_key", ingest.narration_key(F.col("narration")))
+    known = rows.groupBy(*KEYS[source]).agg(F.array_sort(F.collect_set("record_id")).alias("ids"))
+
+    def put(df: DataFrame, batch_id: int) -> None:
+        found = df.where("size(ids) > 1").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/duplicates-{source}")
+
+    return known.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arrived_duplicates(spark: SparkSession, out: str, source: str) -> DataFrame:
+    """(source, ids) of all that arrived: what ingest.duplicates() says of the whole table."""
+    key = ", ".join(f"{c} {spark.read.parquet(f'{out}/{source}').schema[c].dataType.simpleString()}" for c in KEYS[source] if c != "narration_key")
+    key += ", narration_key string" if "narration_key" in KEYS[source] else ""
+    found = spark.read.schema(f"{key}, ids array<string>, batch_id bigint").parquet(f"{out}/duplicates-{source}")
+    last = found.groupBy(*KEYS[source]).agg(F.max_by("ids", "batch_id").alias("ids"))
+    return last.select(F.lit(source).alias("source"), "ids")
