@@ -196,7 +196,7 @@ def grouped(own: DataFrame, links: DataFrame, most_hot: int) -> DataFrame:
 
 def similar_documents(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, n_pivots: int = 16, bucket_limit: int = 4096,
-    sample: int = 20_000, most_often: int = 100_000, most_hot: int = 100_000,
+    sample: int = 20_000, most_often: int = 100_000, most_hot: int = 100_000, crowd: int = 256,
 ) -> DataFrame:
     """(doc_id, component_id), one row per input row: texts whose sets of shingles have at least this Jaccard similarity are
     linked, directly or through others.
@@ -213,7 +213,7 @@ def similar_documents(
     ends = one.select(F.col("fp").alias("a"), F.col("v").alias("x")), one.select(F.col("fp").alias("b"), F.col("v").alias("y"))
     far = links.join(ends[0], F.col("u") == F.col("a")).join(ends[1], links["v"] == F.col("b")).select(F.col("x").alias("u"), F.col("y").alias("v"))
     same = own.where("n > 0").select("fp", F.col("id").alias("u")).distinct().join(one, "fp").where("u <> v").select("u", "v")
-    pairs = set_links(docs, own, far.unionByName(same), shingle, similarity)
+    pairs = set_links(docs, own, far.unionByName(same), shingle, similarity, crowd=crowd)
     return grouped(own.select("doc_id", F.col("id").alias("fp")), pairs, most_hot).select("doc_id", "component_id")
 
 
