@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import about, long_rows, materialize
+from .common import about, drop, long_rows, materialize
 from .components import connected_components
 
 SEED = 42
@@ -128,7 +128,9 @@ def verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, k: int, similari
     texts = elements(docs, own, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), k)
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return materialize(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "similar-sets")
+    out = materialize(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "similar-sets")
+    drop(pairs, texts)
+    return out
 
 
 def rarest_first(sets: DataFrame, similarity: float) -> DataFrame:
@@ -192,11 +194,14 @@ def set_links(docs: DataFrame, own: DataFrame, guesses: DataFrame, k: int, simil
     sets = materialize(own.where("n > 0").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "hashes"))), "sets")
     keys = sets.select("id", F.posexplode("hashes").alias("at", "h"))
     met = keys.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    keys = materialize(keys.join(met.select("h"), "h"), "met")
-    facts = sets.select("id", "n", F.size("hashes").alias("p")).join(keys.groupBy("id").agg(F.count(F.lit(1)).alias("w")), "id")
-    keys = materialize(keys.join(facts, "id"), "met-facts")
+    shared = materialize(keys.join(met.select("h"), "h"), "met")
+    facts = sets.select("id", "n", F.size("hashes").alias("p")).join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("w")), "id")
+    facts = materialize(facts, "set-facts")
+    drop(sets)
+    keys = materialize(shared.join(facts, "id"), "met-facts")
+    drop(shared)
     known = keys.withColumns({"c": F.col("id"), "g": F.lit(1).cast("bigint")})
-    sizes = materialize(facts.select("id", "n"), "met-sizes")
+    sizes = facts.select("id", "n")
     guessed = guesses.join(sizes.withColumnsRenamed({"id": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"id": "v", "n": "nv"}), "v")
     near = None
     for r in range(rounds):
@@ -209,16 +214,19 @@ def set_links(docs: DataFrame, own: DataFrame, guesses: DataFrame, k: int, simil
         found = verified(docs, own, pairs, k, similarity)
         near = found if near is None else near.unionByName(found)
         groups = groups_of(near)
-        known = materialize(in_groups(keys, groups), "met-groups") if r < rounds - 1 else known
+        drop(known)
+        known = materialize(in_groups(keys, groups), "met-groups") if r < rounds - 1 else None
     each = in_groups(keys, groups).groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
     crowded = materialize(each.where(F.col("all") * F.col("all") - F.col("same") > crowd * F.col("all")).select("h"), "crowded")
     asked = materialize(keys.join(crowded, "h", "left_semi").select("id").distinct(), "crowded-sets")
-    busy = elements(docs, own, asked, k).join(asked, "id", "left_semi")
-    busy = materialize(rarest_first(busy, similarity).join(sizes, "id"), "met-rarely")
+    whole = elements(docs, own, asked, k)
+    busy = materialize(rarest_first(whole.join(asked, "id", "left_semi"), similarity).join(sizes, "id"), "met-rarely")
+    drop(whole)
     known = in_groups(busy, groups)
     best = known.groupBy("h").agg(F.max(F.struct("g", -F.col("at") / F.col("n"), "id", "c", "n")).alias("x"))
     pairs = known.join(best, "h").where((F.col("c") != F.col("x.c")) & _alike(F.col("n"), F.col("x.n"), similarity))
     near = near.unionByName(verified(docs, own, pairs.select(F.col("id").alias("u"), F.col("x.id").alias("v")).distinct(), k, similarity))
     every = keys.join(crowded, "h", "left_anti").select("id", "h", "at", "n", F.lit(0).alias("order")).unionByName(busy.select("id", "h", "at", "n", F.lit(1).alias("order")))
     every = materialize(in_groups(every, groups_of(near)), "met-again")
+    drop(keys, busy)
     return near.unionByName(verified(docs, own, meetings(every, similarity, crowd).distinct(), k, similarity))
