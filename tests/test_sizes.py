@@ -4,8 +4,10 @@ import os
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
+from tallyloom.operators import blocking
 from tallyloom.plans import catalogue
 
 
@@ -48,3 +50,13 @@ def test_batch_match_where_credits_compete(spark, changed):
     con, sql = oracle.connect(d), catalogue.oracle_sql()["batch_match"]
     assert con.execute(f"select max(n) from (select count(*) as n from ({sql}) where gateway_ids <> '' group by gateway_ids)").fetchone()[0] == 2
     assert oracle.compare(catalogue.queries()["batch_match"](spark, d), con, sql) is None
+
+
+def test_numbers_of_the_same_digits_meet_by_swaps_alone(spark):
+    """Numbers whose digits are those of many others meet the ones with two of them swapped, and no more."""
+    n = 20_000
+    refs = spark.range(n).select(F.col("id"), F.format_string("INV2025%06d", "id").alias("x"))
+    got = blocking.reference_join(refs.toDF("key_id", "full"), refs.toDF("want_id", "target"), swapped=True).where("key_id <> want_id").cache()
+    swapped = got.where(F.col("full") == "INV2025012345").select("want_id").collect()
+    assert {r.want_id for r in swapped} == {k for k in range(n) if sorted(f"{k:06d}") == sorted("012345") and sum(a != b for a, b in zip(f"{k:06d}", "012345", strict=True)) == 2}
+    assert got.count() <= 10 * n
