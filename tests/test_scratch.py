@@ -38,3 +38,17 @@ def test_set_links_keeps_only_links_and_facts(spark):
     assert links.count() >= 360
     left = {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in set(scratch._written) - before}
     assert not left & {"sets", "met", "met-facts", "met-groups", "met-rarely", "set-elements", "set-pairs"}, left
+
+
+def test_containment_keeps_no_grams(spark):
+    """The six-character places of all texts are deleted once both directions have been joined."""
+    from tallyloom.operators import blocking
+
+    refs = spark.range(500).select("id", F.format_string("REF%08d", "id").alias("x"))
+    known = refs.select(F.concat(F.lit("AB"), "x").alias("target"))
+    before = set(scratch._written)
+    found = blocking.contained(refs.select(F.col("x").alias("full")), known)
+    assert found.count() == 500 and len(set(scratch._written) - before) == 2
+    before = set(scratch._written)
+    pairs = blocking.reference_join(refs.toDF("key_id", "full"), refs.toDF("want_id", "target"))
+    assert pairs.where("key_id = want_id").count() == 500 and len(set(scratch._written) - before) == 1
